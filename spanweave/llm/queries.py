@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import boosted_rules, chat_format, rff_quality
+from spanweave.llm import boosted_rules, chat_format, rff_quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,7 +28,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosted_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("passages")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_toxicity": op5_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_chat_format": op10_chat_format,
