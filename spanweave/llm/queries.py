@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import boosted_rules, chat_format, rff_quality, toxicity
+from spanweave.llm import boosted_rules, chat_format, media, packing, rff_quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,7 +32,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).drop("passages")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_digests(media.correct_types(media.store_texts(_read(spark, sf_dir, "documents"))))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
+    "op6_media_columns": op6_media_columns,
     "op5_toxicity": op5_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
