@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import boosted_rules, chat_format, media, packing, rff_quality, simhash, toxicity
+from spanweave.llm import boosted_rules, chat_format, media, packing, rff_quality, simhash, substring_index, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,7 +44,12 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.deduplicate(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_substring_dedup": op9_substring_dedup,
     "op1_simhash_dedup": op1_simhash_dedup,
     "op4_packing": op4_packing,
     "op6_media_columns": op6_media_columns,
