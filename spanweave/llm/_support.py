@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +73,10 @@ def label_sample(labels: DataFrame, target: str, most: int, key: str = "doc_id")
 def byte_values(array: pa.Array) -> list[bytes]:
     """The values of a binary Arrow column."""
     return array.to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, so that a worker holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)

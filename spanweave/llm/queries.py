@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import boosted_rules, chat_format, media, packing, rff_quality, simhash, substring_index, toxicity
+from spanweave.llm import boosted_rules, chat_format, html_tree, media, packing, rff_quality, simhash, substring_index, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,7 +48,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.deduplicate(_read(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_extraction": op3_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op1_simhash_dedup": op1_simhash_dedup,
     "op4_packing": op4_packing,
