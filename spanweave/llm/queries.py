@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import boosted_rules, chat_format, html_tree, media, packing, rff_quality, simhash, substring_index, toxicity
+from spanweave.llm import boosted_rules, chat_format, html_tree, media, mixing, packing, rff_quality, simhash, substring_index, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,7 +52,12 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(_read(spark, sf_dir, "pages"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
     "op3_html_extraction": op3_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op1_simhash_dedup": op1_simhash_dedup,
