@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op10_chat_format": op10_chat_format,
+    "pipeline": corpus_pipeline.run,
 }
 
 _ESC = r"regexp_replace({}, '([<\[])(~*)(\|(?:turn|sep|end|nl|im_start|im_end|endoftext)\|>|/?s>|/?INST\])', '\1~\2\3', 'g')"

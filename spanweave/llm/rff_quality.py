@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
-from spanweave.llm.doc_stats import FEATURES, labelled, with_statistics
+from spanweave.llm.doc_stats import FEATURES, labelled, statistics, with_statistics
 
 #: Labelled rows a fit reads at most; the fit's cost and what reaches the driver do not grow beyond it.
 MAX_LABELLED = 30_000
@@ -125,3 +125,22 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     """
     stats = S.written(with_statistics(docs, key=key, text=text))
     return score(stats, fit(stats, labels, target=target, key=key), key=key, threshold=threshold)
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", target: str = "quality", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, all columns kept, whose score is at least threshold.
+
+    The fit reads the statistics of all rows; the filter takes them again from each text as it passes, so that no text is
+    shuffled. Columns may have any names.
+    """
+    model = fit(S.written(with_statistics(docs, key=key, text=text)), labels, target=target, key=key)
+    rows = docs.select(S.text_bytes(text).alias("_b"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in S.slices(batches):
+            x = np.array([statistics(b)[1] for b in S.byte_values(batch.column(0))], float).reshape(-1, len(FEATURES))
+            good = batch.filter(pa.array(model.score(x) >= threshold))
+            yield pa.RecordBatch.from_arrays(good.columns[1:], good.schema.names[1:])
+
+    return rows.mapInArrow(judge, schema).toDF(*docs.columns)
