@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
+from spanweave.llm.words import BASES, mix, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of a partition, runs in a partition, text bytes hashed at once.
@@ -31,35 +32,6 @@ INDEX_BUCKETS = 256
 HISTORY = -1
 ANCHORS, WINDOWS = 0, 1
 _U = np.uint64
-_BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
-_SPACE = np.zeros(256, bool)
-_SPACE[list(S.SPACES.encode())] = True
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(29))) * _U(0xFF51AFD7ED558CCD)
-    return x ^ (x >> _U(32))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([[_U(1)], np.full(max(n - 1, 0), base, np.uint64)]))[:n]
-
-
-class _Powers:
-    """base^0.. and its inverses modulo 2^64, grown on demand."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, _U(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = tuple(_Powers(b) for b in _BASES)
 
 
 def _over(hashes: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
@@ -68,11 +40,11 @@ def _over(hashes: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
     while True:
         if width & size:
             n = len(hashes) - width + 1
-            out = part[done : done + n] if out is None else _mix(out * by + part[done : done + n])
+            out = part[done : done + n] if out is None else mix(out * by + part[done : done + n])
             done += size
         if size * 2 > width:
             return out
-        part = _mix(part[:-size] * by + part[size:])
+        part = mix(part[:-size] * by + part[size:])
         size *= 2
 
 
@@ -107,12 +79,7 @@ class Windows:
         self.of, self.at, self.anchor, self.h, self.check = (np.concatenate([p[i] for p in parts]) if parts else empty for i in range(5))
 
     def _hash(self, texts: list[bytes], first: int, anchors: bool, checks: bool) -> tuple[np.ndarray, ...]:
-        data = np.frombuffer(b" ".join(texts), np.uint8)  # a space between texts, so no word crosses them
-        inside = ~_SPACE[data]
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
-        count = np.diff(np.append(np.searchsorted(start, begin), len(start)))
+        joined, start, stop, count = word_spans(texts)  # no word crosses texts
         self.words[first : first + len(texts)] = count
         n = len(start) - WINDOW + 1
         if n <= 0:
@@ -120,14 +87,10 @@ class Windows:
         of = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
         whole = of[:n] == of[WINDOW - 1 :]
-        hashes = []
-        for powers in _POWERS[: 1 + checks]:
-            up, down = powers.get(len(data) + 1)
-            total = np.concatenate([[_U(0)], np.cumsum((data.astype(np.uint64) + _U(1)) * up[:-1])])
-            hashes.append(_mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
-        anchor = _smallest(_over(hashes[0], GRAM, _BASES[1]), WINDOW - GRAM + 1)[whole] if anchors else np.zeros(0, np.uint64)
-        h = _over(hashes[0], WINDOW, _BASES[0])[whole]
-        check = _over(hashes[1], WINDOW, _BASES[1])[whole] if checks else np.zeros(0, np.uint64)
+        hashes = [word_hashes(joined, start, stop, i) for i in range(1 + checks)]
+        anchor = _smallest(_over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole] if anchors else np.zeros(0, np.uint64)
+        h = _over(hashes[0], WINDOW, BASES[0])[whole]
+        check = _over(hashes[1], WINDOW, BASES[1])[whole] if checks else np.zeros(0, np.uint64)
         return of[:n][whole] + first, nth[:n][whole], anchor, h, check
 
 
