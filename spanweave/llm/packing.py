@@ -7,8 +7,10 @@ batches of one length can be drawn from it.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
+from spanweave.llm.words import word_hashes, word_spans
 
 MAX_TOKENS, END_ID = 4096, 2
 #: Cached words of a worker; the cache is emptied when full. Longer words are never cached.
-CACHED_WORDS, CACHED_LENGTH = 500_000, 48
-TEXTS_AT_ONCE = 256
+CACHED_WORDS, CACHED_LENGTH = 1_500_000, 48
+TEXTS_AT_ONCE = 1024
 
 
 def default_tokenizer() -> str:
@@ -31,11 +34,66 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class LetterMerger:
+    """Ids of many words of lower-case Latin-1 letters at once: such a word is one pre-token, joined by the file's merges.
+
+    In each round every word joins its leftmost pair of the lowest rank, all words together.
+    """
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        vocab, ending = model["vocab"], model["end_of_word_suffix"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order
+        self.joined = np.array([vocab[a + b] for a, b in merges], np.int64)
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        symbol = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.inner, self.final = (np.array([vocab[symbol[b] + e] for b in range(256)], np.int64) for e in ("", ending))
+
+    @staticmethod
+    def takes(word: bytes) -> bool:
+        if len(word) > CACHED_LENGTH:
+            return False
+        if word.isascii():
+            return word.isalpha() and word.islower()
+        text = word.decode()
+        return text.isalpha() and max(text) <= "\xff" and text.lower() == text
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        out = [b""] * len(words)
+        if not words:
+            return out
+        data, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size)
+        ids = self.inner[data]
+        ids[end - 1] = self.final[data[end - 1]]
+        of, none = np.repeat(np.arange(len(words)), size), len(self.ranks)
+        while len(ids):
+            key = ids[:-1] << 32 | ids[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
+            rank = np.append(np.where((self.keys[at] == key) & (of[:-1] == of[1:]), self.ranks[at], none), none)
+            start = np.flatnonzero(np.diff(of, prepend=-1))
+            size = np.diff(np.append(start, len(of)))
+            low = np.repeat(np.minimum.reduceat(rank, start), size)
+            for i, j in zip(start[low[start] == none].tolist(), (start + size)[low[start] == none].tolist()):
+                out[of[i]] = ids[i:j].astype("<u4").tobytes()
+            hit = np.flatnonzero((rank == low) & (low < none))
+            hit = hit[np.diff(of[hit], prepend=-1) != 0]
+            ids[hit] = self.joined[rank[hit]]
+            keep = low < none
+            keep[hit + 1] = False
+            ids, of = ids[keep], of[keep]
+        return out
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes.
+    """Ids of whole texts as little-endian uint32 bytes (the machine's order is taken to be that).
 
     The tokenizer drops white space before it joins anything, and neither its normalizer nor its pre-tokenizer looks over
-    white space, so a text's ids are its words' ids in a row; each distinct word is encoded once while it is cached.
+    white space, so a text's ids are its words' ids in a row; each distinct stem is encoded once while it is cached.
     """
 
     def __init__(self, path: str):
@@ -43,22 +101,63 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = LetterMerger(path)
         self.known: dict[bytes, bytes] = {}
+        self.points = {p.encode(): array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in ("", ".", ",")}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        fresh = list(set().union(*words) - self.known.keys())
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        joined, start, stop, count = word_spans(texts)
+        if not len(start):
+            return [b""] * len(texts)
+        hashes, checks = (word_hashes(joined, start, stop, i) for i in (0, 1))
+        _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        if (checks[first][same] != checks).any():  # two words of one hash: look each word up by itself
+            first = same = np.arange(len(start))
+        words = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
+        ids = list(map(self.known.get, words))
+        fresh = {w for w, x in zip(words, ids) if x is None}
+        if fresh:
+            self._learn(fresh)
+            ids = [self.known[w] if x is None else x for w, x in zip(words, ids)]
         for word in fresh:
             if len(word) > CACHED_LENGTH:
-                del self.known[word]
-        return out
+                self.known.pop(word, None)
+                self.known.pop(_stem(word)[0], None)
+        pool, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        n = size[same]
+        end = np.cumsum(n)
+        flat = pool[np.repeat((np.cumsum(size) - size)[same] - (end - n), n) + np.arange(end[-1])]
+        cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encodes the words' stems that are new, and puts stems and points together."""
+        parts = {w: _stem(w) for w in words}
+        stems = list({s for s, _ in parts.values()} - self.known.keys())
+        letters = [s for s in stems if self.merge.takes(s)]
+        self.known.update(zip(letters, self.merge(letters)))
+        rest = [s for s in stems if s not in self.known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for stem, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[stem] = array("I", e.ids).tobytes()
+        for word, (stem, point) in parts.items():
+            if word != stem:
+                self.known[word] = self.known[stem] + self.points[point]
+
+
+def _stem(word: bytes) -> tuple[bytes, bytes]:
+    """A word in lower case without a point or comma that follows a letter: these are tokens of their own.
+
+    The tokenizer lowers all letters itself. Words that may hold a special token stay as they are.
+    """
+    if b"<" in word:
+        return word, b""
+    if word[-1] in b".," and (word[-2:-1].isalpha() or word[-3:-2] == b"\xc3" and word[-2] not in b"\x97\xb7"):
+        return word[:-1].lower(), word[-1:]
+    return word.lower(), b""
 
 
 @lru_cache(maxsize=4)
