@@ -169,6 +169,10 @@ def sniff(data: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
+def detected(spans: list[tuple[int, int, str]]) -> str:
+    return spans[0][2] if spans and spans[0][0] == 0 else UNKNOWN
+
+
 def to_wav(payload: bytes) -> bytes:
     """8-bit mono PCM whose samples are the payload's bytes."""
     pad = b"\0" * (len(payload) & 1)
@@ -194,7 +198,7 @@ def store_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     kind = rows.schema["_k"].dataType.simpleString()
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in S.slices(batches):
             texts = S.byte_values(batch.column(1))
             media = [to_wav(t + b"\0" * (max(BLOCK, -(-len(t) // BLOCK) * BLOCK) - len(t))) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
@@ -214,9 +218,9 @@ def correct_types(cells: DataFrame, *, media: str = "media", declared: str = "de
     span = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in S.slices(batches):
             found = [None if d is None else sniff(d) for d in S.byte_values(batch.column(place))]
-            types = [None if f is None else f[0][2] if f and f[0][0] == 0 else UNKNOWN for f in found]
+            types = [None if f is None else detected(f) for f in found]
             inner = [[{"offset": a, "length": n, "type": t} for a, n, t in f or () if a] for f in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(types, pa.string()), pa.array(inner, span)], [*batch.schema.names, "detected", "embedded"])
 
@@ -230,21 +234,26 @@ def carve(media: bytes, embedded: list[dict]) -> list[bytes]:
 
 
 def read_digests(stored: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Reads stored WAV cells back: payload and stored digests and a feature of the samples. A cell that is no WAV file fails."""
-    rows = stored.select(key, "n_bytes", "media", "detected", "type_ok", "embedded")
+    """Sniffs stored WAV cells, reads them back: payload and stored digests and a feature of the samples.
+
+    A cell that is no WAV file fails. The types are found as in correct_types(), here in the pass that reads the cell.
+    """
+    rows = stored.select(key, "n_bytes", "media", "declared")
     kind = rows.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in S.slices(batches):
             out = []
-            for data, found, ok, inner in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            for data, declared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                spans = sniff(data)
+                found, inner = detected(spans), [x for x in spans if x[0]]
                 if found != "audio/wav":
                     raise ValueError(f"a stored cell is {found}, not audio/wav")
                 payload = from_wav(data)
                 samples = np.frombuffer(payload, np.uint8)
                 high = samples >= 128
                 turns = int((high[1:] != high[:-1]).sum())
-                feature = f"{found};{RATE};8;samples={len(samples)};sum={int(samples.sum(dtype=np.int64))};turns={turns};declared={'ok' if ok else 'corrected'};embedded={len(inner)}"
+                feature = f"{found};{RATE};8;samples={len(samples)};sum={int(samples.sum(dtype=np.int64))};turns={turns};declared={'ok' if found == declared else 'corrected'};embedded={len(inner)}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             cols = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -34,7 +34,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_digests(media.correct_types(media.store_texts(_read(spark, sf_dir, "documents"))))
+    return media.read_digests(media.store_texts(_read(spark, sf_dir, "documents")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
