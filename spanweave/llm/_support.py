@@ -1,49 +1,19 @@
-"""What the corpus operators share: shared-folder tables, bounded label samples, Arrow helpers."""
+"""What the corpus operators share: bounded label samples and Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.storage import shared_folder, written  # noqa: F401  the operators' way to shared tables
+
 #: Words are maximal runs of other characters than these six; bytes.split() cuts at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where a (local) session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spanweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, is read with its columns pruned.
-
-    The table is removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/spanweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
-
-
 def text_bytes(column: str = "text") -> Column:
     """A text column as UTF-8; null is the empty text."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
