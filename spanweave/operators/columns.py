@@ -204,15 +204,12 @@ def with_row_id(df: DataFrame, name: str, order: list[str] | None = None) -> Dat
     low = F.lit((1 << 33) - 1)
     raw = F.monotonically_increasing_id()
     kept = written(df.sort(*order).withColumn("_part", F.shiftright(raw, 33)).withColumn("_nth", raw.bitwiseAND(low)))
-    counts = kept.groupBy("_part").count().collect()  # one number per range
-    start, starts = 0, {}
-    for r in sorted(counts):
-        starts[r["_part"]] = start
+    start, starts = 0, []
+    for r in sorted(kept.groupBy("_part").count().collect()):  # one number per range
+        starts.append((r["_part"], start))
         start += r["count"]
-    if not starts:
-        return kept.drop("_part", "_nth").withColumn(name, F.lit(0).cast("long"))
-    base = F.create_map(*(F.lit(x).cast("long") for kv in starts.items() for x in kv))
-    return kept.withColumn(name, base[F.col("_part")] + F.col("_nth")).drop("_part", "_nth")
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
+    return kept.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
 
 
 def with_label(df: DataFrame, name: str, of: list[str]) -> DataFrame:

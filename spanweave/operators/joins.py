@@ -103,9 +103,7 @@ def _dimension_pairs(l: Dataset, r: Dataset, s: DimensionJoin, how: str) -> Data
                 raise ValueError("slices must be non-null, bounded and not empty, scopes non-null")
     pads = {k: s.predicates[d].pad if d in s.predicates else 0 for k, d in dims.items()}
     condition = fold(Column.__and__, (overlap(pads[k]).condition(F.col("l" + k), F.col("r" + k)) for k in dims))
-    if on:
-        scope = fold(Column.__and__, (F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(len(on))))
-        return a.join(b, scope & condition, _HOW[how])
+    condition = fold(Column.__and__, (F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(len(on))), condition)
     first = next(iter(dims))
     pairs = range_join(a, b, "l" + first, "r" + first, condition, pads[first]).select(LEFT, RIGHT)
     if how in ("left", "outer"):
@@ -156,7 +154,7 @@ def match(l: Dataset, r: Dataset, *, on: Sequence = (), predicates: Mapping[str,
     b = _side(r, {f"_y{i}": t[1] for i, t in enumerate(terms)}, RIGHT)
     condition = fold(Column.__and__, (t[2].condition(F.col(f"_x{i}"), F.col(f"_y{i}")) for i, t in enumerate(terms)))
     pairer = next((i for i, t in enumerate(terms) if isinstance(t[2], overlap)), None)
-    if pairer is None or any(isinstance(t[2], equals) for t in terms):
+    if pairer is None:
         return _plan(a.join(b, condition), l, r, "pair_id", dense)
     pairs = range_join(a.where(f"_x{pairer} is not null"), b.where(f"_y{pairer} is not null"), f"_x{pairer}", f"_y{pairer}", condition, terms[pairer][2].pad)
     return _plan(pairs, l, r, "pair_id", dense)

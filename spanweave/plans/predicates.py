@@ -55,7 +55,8 @@ def range_join(left: DataFrame, right: DataFrame, a: str, b: str, condition: Col
     """Inner theta join of interval columns a and b that overlap, as an equality join on bins.
 
     Both sides stand once in each bin they touch; a pair is taken in the one bin where its overlap begins, so each pair
-    comes once. No side is broadcast or crossed.
+    comes once. No side is broadcast or crossed. Equalities in the condition join the bin as keys, so even one key that
+    holds a large share of the rows is dealt out by its bins.
     """
     x, y = F.col(a), F.col(b)
     w = width or bin_width(left, right, x, y, pad)

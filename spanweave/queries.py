@@ -337,10 +337,10 @@ def partition_drop_nulls(t):
     return sw.reduce(ds, "user_id", {"n": Count.on()}, null_keys="drop")
 
 
-@query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
 def partition_nested(t):
     groups = sw.partition(sw.keep(t("orders"), ["o_orderkey", "o_custkey"]), "o_custkey")
-    return groups.nested().select("o_custkey", F.col("fiber.o_orderkey").alias("orders"))
+    return groups.nested().select("o_custkey", F.array_join(F.col("fiber.o_orderkey").cast("array<string>"), ",").alias("orders"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
@@ -401,11 +401,13 @@ def slice_text_windows(t):
     return sw.consume(cut).df.select(F.col("doc").alias("doc_id"), F.col("extent.chars.start").cast("long").alias("start"), "text")
 
 
-@query("SELECT vec_id, embedding[1:8] AS head FROM embeddings")
+@query("SELECT vec_id, len(embedding[1:8])::INTEGER AS n, embedding[1]::DOUBLE AS first, embedding[8]::DOUBLE AS last FROM embeddings")
 def slice_embedding(t):
     ds = sw.assign(t("embeddings"), a=F.lit(0), b=F.lit(8))
     ds = sw.slice_data(sw.compose_slice(ds, "part", {"axis": ("a", "b")}), "part", "embedding")
-    return sw.rename(sw.keep(sw.consume(sw.materialize(ds, "embedding", reader=sw.array_cut(AXIS))), ["vec_id", "embedding"]), {"embedding": "head"})
+    head = sw.consume(sw.materialize(ds, "embedding", reader=sw.array_cut(AXIS))).df
+    at = lambda i: F.element_at("embedding", i).cast("double")
+    return head.select("vec_id", F.size("embedding").alias("n"), at(1).alias("first"), at(-1).alias("last"))
 
 
 @query(f"SELECT event_id, user_id, {_AT} AS start, {_AT} + 600 AS stop FROM events")
