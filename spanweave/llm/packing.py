@@ -11,7 +11,7 @@ import json
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
-from spanweave.llm.words import word_hashes, word_spans
+from spanweave.llm.words import chunks, word_hashes, word_spans
 
 MAX_TOKENS, END_ID = 4096, 2
 #: Cached words of a worker; the cache is emptied when full. Longer words are never cached.
-CACHED_WORDS, CACHED_LENGTH = 1_500_000, 48
-TEXTS_AT_ONCE = 1024
+CACHED_WORDS, CACHED_LENGTH = 700_000, 48
+#: Text bytes that are encoded at once.
+CHUNK = 3_000_000
 
 
 def default_tokenizer() -> str:
@@ -103,61 +104,55 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.merge = LetterMerger(path)
         self.known: dict[bytes, bytes] = {}
-        self.points = {p.encode(): array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in ("", ".", ",")}
+        self.points = [self.tokenizer.encode(p, add_special_tokens=False).ids[0] for p in (".", ",")]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids by stem: a word in lower case, and without a point or comma that follows a letter, as these are tokens of
+        their own. The tokenizer lowers all letters itself. Texts that may hold a special token stay as they are."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        joined, start, stop, count = word_spans(texts)
+        plain = not any(b"<" in t for t in texts)
+        joined, start, stop, count = word_spans([t.lower() for t in texts] if plain else texts)
         if not len(start):
             return [b""] * len(texts)
-        hashes, checks = (word_hashes(joined, start, stop, i) for i in (0, 1))
-        _, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        data = np.frombuffer(joined, np.uint8)
+        last, letter, lead = data[stop - 1], data[stop - 2], data[stop - 3]  # they may reach over the start: see long
+        long = stop - start
+        ends_letter = (long > 1) & (letter >= 97) & (letter <= 122) | (long > 2) & (lead == 0xC3) & (letter >= 128) & (letter != 0x97) & (letter != 0xB7)
+        cut = ends_letter & ((last == 46) | (last == 44)) & plain
+        stop = stop - cut
+        hashes, checks = word_hashes(joined, start, stop, 2)
+        order = np.argsort(hashes)
+        new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+        first, same = order[new], np.empty(len(order), np.int64)
+        same[order] = np.cumsum(new) - 1
         if (checks[first][same] != checks).any():  # two words of one hash: look each word up by itself
             first = same = np.arange(len(start))
-        words = [joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        ids = list(map(self.known.get, words))
-        fresh = {w for w, x in zip(words, ids) if x is None}
-        if fresh:
-            self._learn(fresh)
-            ids = [self.known[w] if x is None else x for w, x in zip(words, ids)]
-        for word in fresh:
-            if len(word) > CACHED_LENGTH:
-                self.known.pop(word, None)
-                self.known.pop(_stem(word)[0], None)
+        ids = self._look([joined[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())])
         pool, size = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        n = size[same]
-        end = np.cumsum(n)
-        flat = pool[np.repeat((np.cumsum(size) - size)[same] - (end - n), n) + np.arange(end[-1])]
-        cut = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
-        return [flat[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Encodes the words' stems that are new, and puts stems and points together."""
-        parts = {w: _stem(w) for w in words}
-        stems = list({s for s, _ in parts.values()} - self.known.keys())
-        letters = [s for s in stems if self.merge.takes(s)]
-        self.known.update(zip(letters, self.merge(letters)))
-        rest = [s for s in stems if s not in self.known]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for stem, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[stem] = array("I", e.ids).tobytes()
-        for word, (stem, point) in parts.items():
-            if word != stem:
-                self.known[word] = self.known[stem] + self.points[point]
-
-
-def _stem(word: bytes) -> tuple[bytes, bytes]:
-    """A word in lower case without a point or comma that follows a letter: these are tokens of their own.
-
-    The tokenizer lowers all letters itself. Words that may hold a special token stay as they are.
-    """
-    if b"<" in word:
-        return word, b""
-    if word[-1] in b".," and (word[-2:-1].isalpha() or word[-3:-2] == b"\xc3" and word[-2] not in b"\x97\xb7"):
-        return word[:-1].lower(), word[-1:]
-    return word.lower(), b""
+        own = size[same]
+        end = np.cumsum(own + cut)
+        flat = np.empty(end[-1], "<u4")
+        flat[end[cut] - 1] = np.where(last[cut] == 46, *self.points)
+        done = np.cumsum(own)
+        within = np.arange(done[-1]) - np.repeat(done - own, own)
+        flat[np.repeat(end - own - cut, own) + within] = pool[np.repeat((np.cumsum(size) - size)[same], own) + within]
+        at = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+    def _look(self, stems: list[bytes]) -> list[bytes]:
+        """Ids of distinct stems, known or new."""
+        ids = list(map(self.known.get, stems))
+        fresh = list({s for s, x in zip(stems, ids) if x is None})
+        letters = [s for s in fresh if self.merge.takes(s)]
+        new = dict(zip(letters, self.merge(letters)))
+        rest = [s for s in fresh if s not in new]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            new.update((stem, array("I", e.ids).tobytes()) for stem, e in zip(part, got))
+        self.known.update((s, x) for s, x in new.items() if len(s) <= CACHED_LENGTH)
+        return [new[s] if x is None else x for s, x in zip(stems, ids)]
 
 
 @lru_cache(maxsize=4)
@@ -187,26 +182,31 @@ def pack(
     kind = rows.schema["_k"].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    names = [key, "start", "length", "ids_crc32", "doc_tokens", "bucket", *["ids"] * with_ids]
+
+    def pieces_of(documents: pa.Array, texts: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> pa.RecordBatch:
+        of, out = [], []
+        for i, ids in enumerate(encode(texts)):
+            ids += end
+            start, view, total = 0, memoryview(ids), len(ids) // 4
+            for n in cuts(total, max_tokens):
+                piece = view[4 * start : 4 * (start + n)]
+                of.append(i)
+                out.append((start, n, zlib.crc32(piece), total, n.bit_length() - 1, np.frombuffer(piece, "<u4").tolist() if with_ids else None))
+                start += n
+        cols = list(zip(*out)) if out else [()] * 6
+        arrays = [documents.take(pa.array(of, pa.int32())), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32())]
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.array(cols[5], pa.list_(pa.int32()))] * with_ids], names)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(at, TEXTS_AT_ONCE)
-                of, out = [], []
-                for i, ids in enumerate(encode(S.byte_values(batch.column(1)))):
-                    ids += end
-                    start, view, total = 0, memoryview(ids), len(ids) // 4
-                    for n in cuts(total, max_tokens):
-                        piece = view[4 * start : 4 * (start + n)]
-                        of.append(i)
-                        out.append((start, n, zlib.crc32(piece), total, n.bit_length() - 1, np.frombuffer(piece, "<u4").tolist() if with_ids else None))
-                        start += n
-                cols = list(zip(*out)) if out else [()] * 6
-                arrays = [batch.column(0).take(pa.array(of, pa.int32())), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.int32())]
-                names = [key, "start", "length", "ids_crc32", "doc_tokens", "bucket"]
-                if with_ids:
-                    arrays, names = [*arrays, pa.array(cols[5], pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        coder = encoder(path)
+        try:
+            for batch in batches:
+                texts = S.byte_values(batch.column(1))
+                for a, b in chunks(texts, CHUNK):
+                    yield pieces_of(batch.column(0).slice(a, b - a), texts[a:b], coder.encode)
+        finally:
+            coder.known.clear()  # a worker outlives its task
 
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
     pieces = rows.mapInArrow(cut, schema)

@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
-from spanweave.llm.words import BASES, mix, word_hashes, word_spans
+from spanweave.llm.words import BASES, chunks, mix, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of a partition, runs in a partition, text bytes hashed at once.
 PART_BYTES, RUNS, CHUNK = 24 << 20, 4, 1 << 20
-#: Buckets of a stored index; fixed, as batches of any size must meet in them.
+#: Buckets of a stored index unless told; fixed per index, as batches of any size must meet in them. A bucket is merged
+#: by one task, so an index of N windows wants about N / 10 million buckets.
 INDEX_BUCKETS = 256
 HISTORY = -1
 ANCHORS, WINDOWS = 0, 1
@@ -56,24 +57,13 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(part[: len(x) - width + 1], part[width - size :]) if size < width else part
 
 
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= CHUNK:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 class Windows:
     """The words and windows of some texts, in order. of: a window's text; at: its first word; words: words of each text."""
 
     def __init__(self, texts: list[bytes], anchors: bool = True, checks: bool = True):
         self.words = np.zeros(len(texts), np.int64)
         parts: list[tuple[np.ndarray, ...]] = []
-        for a, b in _chunks(texts):
+        for a, b in chunks(texts, CHUNK):
             parts.append(self._hash(texts[a:b], a, anchors, checks))
         empty = np.zeros(0, np.uint64)
         self.of, self.at, self.anchor, self.h, self.check = (np.concatenate([p[i] for p in parts]) if parts else empty for i in range(5))
@@ -87,7 +77,7 @@ class Windows:
         of = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
         whole = of[:n] == of[WINDOW - 1 :]
-        hashes = [word_hashes(joined, start, stop, i) for i in range(1 + checks)]
+        hashes = word_hashes(joined, start, stop, 1 + checks)
         anchor = _smallest(_over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole] if anchors else np.zeros(0, np.uint64)
         h = _over(hashes[0], WINDOW, BASES[0])[whole]
         check = _over(hashes[1], WINDOW, BASES[1])[whole] if checks else np.zeros(0, np.uint64)
@@ -285,7 +275,7 @@ def _parts(docs: DataFrame, text: str) -> int:
 
 
 def deduplicate(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", history: DataFrame | None = None, with_text: bool = False, rest: list[str] | None = None
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", history: DataFrame | None = None, buckets: int | None = None, with_text: bool = False, rest: list[str] | None = None
 ) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 for every row; kept_text (null where nothing is removed) and `rest` on request.
 
@@ -295,7 +285,7 @@ def deduplicate(
     """
     rest = rest or []
     parts = _parts(docs, text)
-    buckets = INDEX_BUCKETS if history is not None else parts
+    buckets = buckets or (INDEX_BUCKETS if history is not None else parts)
     own = docs.where(F.col(key).isNotNull())
     dealt = _dealt(own, key, text, rest, parts, parts * RUNS)
 
@@ -340,8 +330,8 @@ class SubstringIndex:
     Each batch's ids must be larger than those before it, as only an earlier document's passage is kept.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _folders(self) -> list[str]:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -359,9 +349,9 @@ class SubstringIndex:
         """Writes the batch's anchors and windows as one run."""
         own = docs.where(F.col(key).isNotNull())
         parts = _parts(own, text)
-        dealt = _dealt(own, key, text, [], parts, parts * RUNS).groupBy("run")
-        anchors = dealt.applyInArrow(lambda g: _anchor_run(g, INDEX_BUCKETS), _UP).withColumn("kind", F.lit(ANCHORS))
-        windows = dealt.applyInArrow(lambda g: _window_run(g, None, INDEX_BUCKETS), _UP).withColumn("kind", F.lit(WINDOWS))
+        dealt, buckets = _dealt(own, key, text, [], parts, parts * RUNS).groupBy("run"), self.buckets
+        anchors = dealt.applyInArrow(lambda g: _anchor_run(g, buckets), _UP).withColumn("kind", F.lit(ANCHORS))
+        windows = dealt.applyInArrow(lambda g: _window_run(g, None, buckets), _UP).withColumn("kind", F.lit(WINDOWS))
         self._write(anchors.unionByName(windows), name)
 
     def _write(self, rows: DataFrame, name: str) -> None:
@@ -378,7 +368,7 @@ class SubstringIndex:
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def deduplicate(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-        return deduplicate(docs, key=key, text=text, history=self.runs(), **more)
+        return deduplicate(docs, key=key, text=text, history=self.runs(), buckets=self.buckets, **more)
 
 
 def _compacted(group: pa.Table) -> pa.Table:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from spanweave.llm import _support as S
@@ -19,20 +21,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-class _Powers:
-    """base^0.. and its inverses modulo 2^64, grown on demand."""
+_powers = [np.ones(1, np.uint64) for _ in BASES]
 
-    def __init__(self, base: np.uint64):
-        self.bases = (base, _U(pow(int(base), -1, 1 << 64)))
-        self.rows = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.rows[0]) < n:
-            self.rows = tuple(np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, b, np.uint64)])) for b in self.bases)
-        return self.rows[0][:n], self.rows[1][:n]
+def _powers_of(which: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n - 1) modulo 2^64, grown on demand to the longest word."""
+    if len(_powers[which]) < n:
+        _powers[which] = np.multiply.accumulate(np.concatenate([[_U(1)], np.full(n - 1, BASES[which], np.uint64)]))
+    return _powers[which]
 
 
-_POWERS = tuple(_Powers(b) for b in BASES)
+def chunks(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about `size` bytes; a longer text is a range of its own."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -45,10 +53,14 @@ def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nd
     return joined, start, stop, np.diff(np.append(np.searchsorted(start, begin), len(start)))
 
 
-def word_hashes(joined: bytes, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
-    """Hash `which` (0 or 1) of each word: a polynomial over its bytes, from prefix sums, and its length, mixed."""
-    up, down = _POWERS[which].get(len(joined) + 1)
-    terms = np.frombuffer(joined, np.uint8).astype(np.uint64) + _U(1)
-    terms *= up[:-1]
-    total = np.concatenate([[_U(0)], np.cumsum(terms)])
-    return mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+def word_hashes(joined: bytes, start: np.ndarray, stop: np.ndarray, many: int) -> list[np.ndarray]:
+    """The first `many` (1 or 2) hashes of each word: polynomials over its bytes, and its length, mixed."""
+    if not len(start):
+        return [np.zeros(0, np.uint64)] * many
+    data = np.frombuffer(joined, np.uint8)[start[0] :]
+    begin, size = start - start[0], stop - start
+    gap = np.diff(np.append(begin, len(data)))
+    place = np.arange(len(data)) - np.repeat(begin, gap)
+    value = np.where(place < np.repeat(size, gap), data.astype(np.uint64) + _U(1), _U(0))
+    place = np.minimum(place, size.max() - 1)
+    return [mix(np.add.reduceat(value * _powers_of(i, int(size.max()))[place], begin) + size.astype(np.uint64)) for i in range(many)]

@@ -163,7 +163,7 @@ def test_substring_null_ids(spark):
 
 def test_substring_index_over_batches(spark, docs, corpus, tmp_path):
     """Batches of rising ids against an index, compacted on the way, give what one batch gives."""
-    index = substring_index.SubstringIndex(spark, str(tmp_path / "index"))
+    index = substring_index.SubstringIndex(spark, str(tmp_path / "index"), buckets=16)
     found = {}
     for n, (a, b) in enumerate(((0, 15), (15, 30), (30, 60))):
         batch = docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))
