@@ -77,8 +77,9 @@ class Windows:
         of = np.repeat(np.arange(len(texts)), count)
         nth = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
         whole = of[:n] == of[WINDOW - 1 :]
+        # Minima crowd at the low end; mixed again they fall evenly into the buckets.
         hashes = word_hashes(joined, start, stop, 1 + checks)
-        anchor = _smallest(_over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole] if anchors else np.zeros(0, np.uint64)
+        anchor = mix(_smallest(_over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole]) if anchors else np.zeros(0, np.uint64)
         h = _over(hashes[0], WINDOW, BASES[0])[whole]
         check = _over(hashes[1], WINDOW, BASES[1])[whole] if checks else np.zeros(0, np.uint64)
         return of[:n][whole] + first, nth[:n][whole], anchor, h, check
