@@ -1,4 +1,4 @@
-"""What a Spark session needs once: this package on its executors."""
+"""What a Spark session needs once: this package on its executors, and Arrow batches that suit whole texts."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's default: some MB of texts, not tens.
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -22,4 +24,6 @@ def ship(spark: SparkSession) -> SparkSession:
                 out.write(file, file.relative_to(root.parent))
         context.addPyFile(str(path))
         _shipped.add(context.applicationId)
+        if spark.conf.get(_ROWS) == "10000":
+            spark.conf.set(_ROWS, "2000")
     return spark
