@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanweave.llm import _support, mixing, packing, rff_quality, simhash, substring_index
+from spanweave.llm import _support, mixing, packing, rff_quality, shingle_sets, substring_index
 from spanweave.session import ship
 
 
@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest id."""
+    """One document of each group that shares 80 % of its five-word shingles stays, that of the smallest id."""
     ship(spark)
-    return simhash.dedup(docs)
+    return shingle_sets.dedup(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
