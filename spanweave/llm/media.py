@@ -8,6 +8,7 @@ valid media further inside are carved.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -121,9 +122,19 @@ def _zip(d: bytes, at: int) -> int:
     return 0
 
 
+_PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
+_PDF_TABLE = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+
+
 def _pdf(d: bytes, at: int) -> int:
-    end = d.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and d.find(b"startxref", at, end) >= 0 else 0
+    """To the last %%EOF before the next header whose startxref leads to a table; 0 is a linearised first page's."""
+    stop = d.find(b"%PDF-", at + 5)
+    length = 0
+    for m in _PDF_END.finditer(d, at, stop if stop >= 0 else len(d)):
+        table = int(m[1])
+        if table < m.start() - at and _PDF_TABLE.match(d, at + table) or table == 0 and b"/Linearized" in d[at : at + 1024]:
+            length = m.end() - at
+    return length
 
 
 #: Magic bytes, type, validator: (bytes, first byte) -> length, 0 if the structure isn't whole.

@@ -414,3 +414,21 @@ def test_queries_are_registered():
     assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
     json.dumps(entry.oracle_sql())
+
+
+def pdf(revisions):
+    out = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    for _ in range(revisions):
+        table = len(out)
+        out += b"xref\n0 1\n0000000000 65535 f \ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF\n" % table
+    return out[:-1]
+
+
+def test_pdf_revisions_are_whole():
+    two, one = pdf(2), pdf(1)
+    assert media.sniff(two) == [(0, len(two), "application/pdf")]
+    assert media.sniff(b"some text " + two + b" between " + one + b" tail") == [(10, len(two), "application/pdf"), (19 + len(two), len(one), "application/pdf")]
+    assert media.sniff(b"%PDF-1.4 startxref 9999 %%EOF") == []
+    first = b"%PDF-1.4\n1 0 obj\n<</Linearized 1>>\nendobj\nstartxref\n0\n%%EOF\n"
+    linear = first + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(first)
+    assert media.sniff(linear) == [(0, len(linear), "application/pdf")]
