@@ -64,11 +64,13 @@ N_FEATURES = _AT_LINK + 2 * (len(_LINKS) + 1)
 
 
 @lru_cache(maxsize=50_000)
+def _kind_of_word(word: str) -> int:
+    return max((i + 1 for i, k in _KIND_OF if word == k or len(k) > 3 and word.startswith(k)), default=0)
+
+
 def _kind(names: str) -> int:
     """The kind that the words of a class or id tell, the last of _KINDS first: content-sidebar is a sidebar."""
-    words = [w.lower() for w in _WORDS.findall(names)]
-    found = {i + 1 for w in words for i, k in _KIND_OF if w == k or len(k) > 3 and w.startswith(k)}
-    return max(found, default=0)
+    return max((_kind_of_word(w.lower()) for w in _WORDS.findall(names)), default=0)
 
 
 class Page:
@@ -174,7 +176,7 @@ class Page:
                         y = int(value)
                     elif k.lower() != "style":
                         words.append(value)
-                kind = _kind(" ".join(words)[:200]) if words else 0
+                kind = _kind(" ".join(words)) if words else 0
             stack.append((name, self._node(top, _GROUPS.get(name, _OTHER), kind, "", 0, y)))
         flush()
 

@@ -58,3 +58,9 @@ def test_extract(spark):
 @pytest.mark.parametrize("html, blocks", [("<ul><li>a<li>b</ul>c", ["a", "b", "c"]), ("<p>x<p>y<div>z</div>w", ["x", "y", "z", "w"]), ("<table><tr><td>1<td>2<tr><td>3</table>", ["1", "2", "3"]), ("a<br>b <i>c</i>", ["a b c"])])
 def test_blocks(html, blocks):
     assert [t for t in H.Page(html).text if t] == blocks
+
+
+def test_telling_word_behind_long_class():
+    long = " ".join(f"px-{i}" for i in range(80))
+    page = H.Page(f'<body><div class="{long}" id="comments"><p>x</p></div></body>')
+    assert H._kind("comments") in page.kind
