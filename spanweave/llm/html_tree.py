@@ -28,8 +28,12 @@ TRAINING_PAGES, SEED, STEPS, RATE, RIDGE = 260, 11, 260, 0.6, 5e-5
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source br".split()
 )
+#: Formulas stand within their paragraph.
+_MATH = frozenset("math semantics mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mfenced menclose mpadded mphantom".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template svg math iframe object canvas textarea select video audio xmp title".split())
+#: Elements whose content is no text of the page. An unclosed one takes the rest of the page only if HTML reads it as raw text.
+_RAW = frozenset("script style noscript template svg iframe object canvas textarea select video audio title".split())
+_SWALLOWS = frozenset("script style iframe textarea title".split())
 _CLOSES = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
     "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "body": ("head", ("html",)),
@@ -130,7 +134,7 @@ class Page:
             if m[1] in ("!", "?"):
                 continue
             if m[1]:
-                if name in _INLINE:
+                if name in _INLINE or name in _MATH:
                     links = 0 if name == "a" else links
                     if name == "br":
                         add(" ")
@@ -140,14 +144,19 @@ class Page:
                     while stack.pop()[0] != name:
                         pass
                 continue
+            unclosed = False
             if name in _RAW or name == "head":
                 if not m[3].endswith("/"):
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
-                    if name == "head" and not end:
-                        continue
-                    pos = end.end() if end else n
-                continue
-            if name in _INLINE:
+                    if end:
+                        pos = end.end()
+                    elif name in _SWALLOWS:
+                        pos = n
+                    elif name != "head":
+                        unclosed = True
+                if not unclosed:
+                    continue
+            if name in _INLINE or name in _MATH:
                 if name == "a":
                     links = 1
                 elif name == "br":

@@ -64,3 +64,13 @@ def test_telling_word_behind_long_class():
     long = " ".join(f"px-{i}" for i in range(80))
     page = H.Page(f'<body><div class="{long}" id="comments"><p>x</p></div></body>')
     assert H._kind("comments") in page.kind
+
+
+@pytest.mark.parametrize("tag", ["select", "svg", "object", "canvas", "video", "audio", "noscript", "template"])
+def test_unclosed_elements_keep_the_page(tag):
+    assert "the article" in H.Page(f"<body><{tag}><article><p>the article</p></article></body>").text
+
+
+def test_formulas_and_xmp_keep_their_text():
+    page = H.Page("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><xmp>some code</xmp><p>on</p><script>gone</script></article>")
+    assert [t for t in page.text if t] == ["so x=2 holds", "some code", "on"]
