@@ -24,7 +24,7 @@ from spanweave.llm import _support as S
 #: Bounds of what a fit reads and of the model that executors get, at every input size.
 MAX_LABELLED, MAX_UNITS = 20_000, 200_000
 BEGINNINGS = (9, 7, 6, 5, 4)
-PRIOR, LEAST_COUNT, LEAST_Z, COST, SIGNIFICANT = 10.0, 4, 2.5, -0.25, 0.05
+PRIOR, LEAST_PRIOR, LEAST_COUNT, LEAST_Z, LEAST_LOG_ODDS, COST, SIGNIFICANT = 10.0, 0.5, 4, 2.5, 0.5, -0.25, 0.05
 CALIBRATION_FOLD, RIDGE = 3, 0.05
 #: Upper to lower case A-Z; ASCII points and symbols part words. Other bytes stay.
 _TABLE = bytes(x + 32 if 65 <= x <= 90 else x if x > 127 or chr(x).isalnum() else 32 for x in range(256))
@@ -127,7 +127,12 @@ def _scale(values: np.ndarray, counts: np.ndarray) -> float:
 
 def _log_odds(counts: dict[bytes, tuple[int, int]]) -> dict[bytes, float]:
     """Unit -> score. The prior's PRIOR pseudo-documents fall to the two sides as the unit's shorter beginning does,
-    or, where that isn't counted, as all units do; so a rare word keeps its beginning's log-odds and a common one has its own."""
+    or, where that isn't counted, as all units do; so a rare word keeps its beginning's log-odds and a common one has its
+    own. Each side gets LEAST_PRIOR at least, so beginnings that count the same documents don't add up their evidence.
+
+    Log-odds count as evidence of label 1 if they are LEAST_Z deviations of the observed counts above 0; those at or below
+    0 count as they are, but cost COST at least. A unit between is left out, and its beginnings speak for it.
+    """
     n0, n1 = (sum(c[i] for u, c in counts.items() if not u.endswith(b"*")) for i in (0, 1))
     base = np.log(n1 / n0)
     delta: dict[bytes, float] = {}
@@ -136,9 +141,13 @@ def _log_odds(counts: dict[bytes, tuple[int, int]]) -> dict[bytes, float]:
         word = u.removesuffix(b"*")
         parent = next((delta[x] for x in units(word)[1:] if x != u and x in delta), 0.0)
         share = 1 / (1 + np.exp(-(base + parent)))
-        y0, y1 = counts[u][0] + PRIOR * (1 - share), counts[u][1] + PRIOR * share
+        c0, c1 = counts[u]
+        y0, y1 = c0 + max(PRIOR * (1 - share), LEAST_PRIOR), c1 + max(PRIOR * share, LEAST_PRIOR)
         delta[u] = float(np.log(y1 / y0) - base)
-        table[u] = delta[u] if delta[u] >= max(LEAST_Z * np.sqrt(1 / y0 + 1 / y1), 0.5) else COST
+        if delta[u] >= max(LEAST_Z * np.sqrt(1 / (c0 + 0.5) + 1 / (c1 + 0.5)), LEAST_LOG_ODDS):
+            table[u] = delta[u]
+        elif delta[u] < LEAST_LOG_ODDS:
+            table[u] = min(delta[u], COST)
     return table
 
 
