@@ -53,11 +53,11 @@ def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nd
     return joined, start, stop, np.diff(np.append(np.searchsorted(start, begin), len(start)))
 
 
-def word_hashes(joined: bytes, start: np.ndarray, stop: np.ndarray, many: int) -> list[np.ndarray]:
+def word_hashes(joined: bytes | np.ndarray, start: np.ndarray, stop: np.ndarray, many: int) -> list[np.ndarray]:
     """The first `many` (1 or 2) hashes of each word: polynomials over its bytes, and its length, mixed."""
     if not len(start):
         return [np.zeros(0, np.uint64)] * many
-    data = np.frombuffer(joined, np.uint8)[start[0] :]
+    data = (joined if isinstance(joined, np.ndarray) else np.frombuffer(joined, np.uint8))[start[0] :]
     begin, size = start - start[0], stop - start
     gap = np.diff(np.append(begin, len(data)))
     place = np.arange(len(data)) - np.repeat(begin, gap)

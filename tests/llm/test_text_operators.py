@@ -1,6 +1,7 @@
 """Corpus operators on small tables, against brute force: nulls, empty and long texts, ties, repeated rows, empty tables."""
 
 import hashlib
+import math
 import json
 import random
 import zlib
@@ -191,13 +192,32 @@ def test_packing(docs, corpus, empty):
         assert joined == ids if i != 3 else sorted(joined) == sorted(ids * 2)  # id 3 is there twice
         assert {r.doc_tokens for r in own} == {len(ids)}
     assert packing.pack(empty).count() == 0
-    assert packing.cuts(9000) == [4096, 4096, 512, 256, 32, 8] and packing.cuts(0) == []
+    of, size = packing.cuts(np.array([9000, 0, 4096, 5]))
+    assert size.tolist() == [4096, 4096, 512, 256, 32, 8, 4096, 4, 1] and of.tolist() == [0] * 6 + [2] + [3] * 2
+
+
+def encoded(e, texts):
+    flat, count = e.encode([t.encode() for t in texts])
+    at = np.cumsum(np.append(0, count))
+    return [flat[a:b].tolist() for a, b in zip(at, at[1:])]
 
 
 def test_letter_words_join_as_the_library_does():
     e = packing.WordEncoder(packing.default_tokenizer())
-    texts = ["thou The, é. ÉÈ naïve straße ﬁ İ ΣΑΣ × ÷. don't I'LL 've 12,345.6 ... a.b. x., <|endoftext|>. é. éé,", "", "  ", "日本語 🙂🙂 a\x1cb"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in e.encode([t.encode() for t in texts])] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = ["thou The, é. ÉÈ naïve straße ﬁ İ ΣΑΣ × ÷. don't I'LL 've 12,345.6 ... a.b. x., <|endoftext|>. é. éé,", "", "  ", "日本語 🙂🙂 a\x1cb",
+             "a<|endoftext|>B <|ENDOFTEXT|> <B>Bold</B>, THE end.<p> x<y,", "w" * 60 + ". " + "ab" * 40]
+    r = random.Random(2)
+    texts += [" ".join("".join(r.choice("abcdeimnorstuéüßñA.,<|'1") for _ in range(r.randint(1, 30))) for _ in range(50)) for _ in range(40)]
+    expected = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for part in (texts, texts[::-1], texts):  # new words, then known ones
+        assert encoded(e, part) == (expected if part is texts else expected[::-1])
+
+
+def test_known_words_are_emptied_when_full(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 7)
+    e = packing.WordEncoder(packing.default_tokenizer())
+    texts = [f"alpha{chr(97 + i)} beta gamma{chr(98 + i)} 4{i}" for i in range(12)]
+    assert [encoded(e, [t])[0] for t in texts] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_media_round_trip(docs, corpus, empty):
@@ -352,6 +372,31 @@ def test_segments_are_maximal():
         assert [x[:2] for x in toxicity.segments(np.array(s))] == brute(s, 0, len(s))
 
 
+def brute_log_odds(counts, word):
+    """Of a word whose beginnings are not counted, straight from the definition."""
+    n0, n1 = (sum(c[i] for u, c in counts.items() if not u.endswith(b"*")) for i in (0, 1))
+    share = n1 / (n0 + n1)
+    y0, y1 = counts[word][0] + max(10 * (1 - share), 0.5), counts[word][1] + max(10 * share, 0.5)
+    return math.log(y1 / y0) - math.log(n1 / n0)
+
+
+def test_log_odds():
+    calm = {b"calm%d" % i: (60 + i, 9) for i in range(50)}
+    for k in (100, 1000):
+        counts = calm | {b"vile": (0, k), b"kind": (40 * k, 1)}
+        table = toxicity._log_odds(counts)
+        assert table[b"vile"] == pytest.approx(brute_log_odds(counts, b"vile")) and table[b"kind"] == pytest.approx(min(brute_log_odds(counts, b"kind"), toxicity.COST))
+
+
+def test_words_of_toxic_documents_only_score_more_the_more_there_are():
+    last = 0.0
+    for k in (10, 100, 1000):
+        counts = {b"calm%d" % i: (k * 5, k // 2) for i in range(50)} | {u: (0, k) for u in toxicity.units(b"disgusting")}
+        score = toxicity._Scores(toxicity._log_odds(counts))[b"disgusting"]
+        assert score >= last and score > 2
+        last = score
+
+
 def test_isotonic_levels_rise():
     x = np.array([3.0, 1, 2, 2, 5, 4])
     knots, levels = rff_quality.isotonic(x, np.array([1.0, 0, 1, 0, 0, 1]))
