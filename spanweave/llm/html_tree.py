@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,8 +36,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template svg iframe object canvas textarea select video audio title".split())
 _SWALLOWS = frozenset("script style iframe textarea title".split())
 _CLOSES = {
-    "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)),
-    "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",)), "body": ("head", ("html",)),
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ("html",)),
 }
 _TAG = re.compile(r"<(?:!--|([/!?]?)([a-zA-Z\[][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|hidden|style|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -78,22 +79,30 @@ def _kind(names: str) -> int:
 
 
 class Page:
-    """Nodes in page order, a parent before its children: parent (-1 for the root), group, kind, chars, link chars, text, y."""
+    """Nodes in page order, a parent before its children: parent (-1 for the root), depth, group, kind, chars, link chars,
+    text, y. y comes from the attribute data-y of training pages (labelled) and is -1 in all others."""
 
-    def __init__(self, html: str):
-        self.parent, self.group, self.kind, self.chars, self.linked, self.text, self.y = [-1], [_GROUPS["html"]], [0], [0], [0], [""], [-1]
-        self._parse(html)
+    def __init__(self, html: str, labelled: bool = False):
+        self.parent, self.depth, self.group, self.kind, self.chars, self.linked, self.text, self.y = [-1], [0], [_GROUPS["html"]], [0], [0], [0], [""], [-1]
+        self._parse(html, labelled)
 
     def _node(self, parent: int, group: int, kind: int, text: str, linked: int, y: int) -> int:
-        for column, value in zip((self.parent, self.group, self.kind, self.chars, self.linked, self.text, self.y), (parent, group, kind, len(text), linked, text, y)):
+        values = (parent, self.depth[parent] + 1, group, kind, len(text), linked, text, y)
+        for column, value in zip((self.parent, self.depth, self.group, self.kind, self.chars, self.linked, self.text, self.y), values):
             column.append(value)
         return len(self.parent) - 1
 
-    def _parse(self, html: str) -> None:
+    def _parse(self, html: str, labelled: bool) -> None:
         stack: list[tuple[str, int]] = [("#root", 0)]
+        opened: defaultdict[str, list[int]] = defaultdict(list)  # where each open element stands in the stack
+        endless: set[str] = set()  # elements that nothing closes from here on
         pieces: list[str] = []
         links = linked = 0
-        pos, n = 0, len(html)
+        pos, n, last = 0, len(html), html.rfind(">")
+
+        def close(to: int) -> None:
+            while len(stack) > to:
+                opened[stack.pop()[0]].pop()
 
         def flush() -> None:
             nonlocal linked
@@ -119,7 +128,7 @@ class Page:
                 break
             if at > pos:
                 add(html[pos:at])
-            m = _TAG.match(html, at)
+            m = _TAG.match(html, at) if at < last else None
             if not m:
                 add("<")
                 pos = at + 1
@@ -138,16 +147,17 @@ class Page:
                     links = 0 if name == "a" else links
                     if name == "br":
                         add(" ")
-                elif any(t == name for t, _ in stack):
+                elif opened[name]:
                     flush()
                     links = 0
-                    while stack.pop()[0] != name:
-                        pass
+                    close(opened[name][-1])
                 continue
             unclosed = False
             if name in _RAW or name == "head":
                 if not m[3].endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
+                    end = None if name in endless else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, pos)
+                    if not end:
+                        endless.add(name)
                     if end:
                         pos = end.end()
                     elif name in _SWALLOWS:
@@ -165,15 +175,13 @@ class Page:
             flush()
             links = 0
             if stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             if name in _CLOSES:
-                closed, within = _CLOSES[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in within:
-                        break
-                    if stack[i][0] in closed.split():
-                        del stack[i:]
-                        break
+                ends, within = ([opened[x][-1] for x in names if opened[x]] for names in _CLOSES[name])
+                outer = max(within, default=0)
+                inner = [i for i in ends if i > outer]
+                if inner:
+                    close(max(inner))
             if name == "html" or name in _VOID:
                 continue
             top, kind, y = stack[-1][1], 0, self.y[stack[-1][1]]
@@ -182,10 +190,11 @@ class Page:
                 for k, *values in _ATTRIBUTE.findall(m[3]):
                     value = values[0] or values[1] or values[2]
                     if k.lower() == "data-y":
-                        y = int(value)
+                        y = int(value) if labelled else y
                     elif k.lower() != "style":
                         words.append(value)
                 kind = _kind(" ".join(words)) if words else 0
+            opened[name].append(len(stack))
             stack.append((name, self._node(top, _GROUPS.get(name, _OTHER), kind, "", 0, y)))
         flush()
 
@@ -206,12 +215,8 @@ class Forest:
         shift = np.repeat(np.array(base, np.int64), [len(p.parent) for p in pages])
         parent = join("parent")
         parent = np.where(parent < 0, -1, parent + shift)
-        depth = np.zeros(len(parent), np.int64)
-        at, up = np.arange(len(parent)), parent.copy()
-        while (up >= 0).any():
-            depth += up >= 0
-            up = np.where(up >= 0, parent[np.maximum(up, 0)], -1)
-        levels = [at[depth == d] for d in range(int(depth.max()) + 1)] if len(depth) else []
+        depth = join("depth")
+        levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
         chars, linked, group = join("chars"), join("linked"), join("group")
         for level in levels[:0:-1]:
             np.add.at(chars, parent[level], chars[level])
@@ -260,7 +265,7 @@ def marginals(forest: Forest, p: Potentials) -> np.ndarray:
 
 def train(pages: list[str], steps: int = STEPS) -> Potentials:
     """Maximum likelihood from pages whose elements carry data-y="0" or "1"; it holds for what stands below until overruled."""
-    parsed = [Page(h) for h in pages]
+    parsed = [Page(h, labelled=True) for h in pages]
     forest = Forest.of(parsed)
     y = np.maximum(np.array([v for p in parsed for v in p.y]), 0)
     # A container of content is content itself.

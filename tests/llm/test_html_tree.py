@@ -38,7 +38,7 @@ def test_main_text():
 
 def test_labelled_pages_held_out():
     pages = H.labelled_pages(60, seed=77)
-    parsed = [H.Page(p) for p in pages]
+    parsed = [H.Page(p, labelled=True) for p in pages]
     forest = H.Forest.of(parsed)
     truth = np.maximum(np.array([v for p in parsed for v in p.y]), 0).astype(bool)
     assert ((H.marginals(forest, H.trained()) >= 0.5) == truth)[forest.leaf].mean() > 0.98
