@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from spanweave.storage import shared_folder, written  # noqa: F401  the operators' way to shared tables
 
+#: Keys that joined() deals over SALTS parts, the most frequent ones, and the rows that such a key has at least.
+HOT_KEYS, HOT_ROWS, SALTS = 500, 2000, 64
 #: Words are maximal runs of other characters than these six; bytes.split() cuts at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -40,6 +42,24 @@ def label_sample(labels: DataFrame, target: str, most: int, key: str = "doc_id")
     )
 
 
+def joined(many: DataFrame, one: DataFrame, on: str, how: str = "inner", *, counts: DataFrame | None = None) -> DataFrame:
+    """many.join(one, on, how), in which the HOT_KEYS most frequent keys of more than HOT_ROWS rows are dealt over SALTS parts each.
+
+    `one` has at most one row a key. Only those keys, HOT_KEYS at most, go to the driver. A key beyond them holds less
+    than 1 in HOT_KEYS of all rows. `counts` has the keys of many and their rows (_n), if the caller knows them. A row's
+    part follows from its values, so a task that is run again deals it out alike.
+    """
+    counted = many.groupBy(on).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    hot = [x[0] for x in counted.where((F.col("_n") > HOT_ROWS) & F.col(on).isNotNull()).orderBy(F.desc("_n"), on).limit(HOT_KEYS).select(on).collect()]
+    if not hot:
+        return many.join(one, on, how)
+    is_hot = F.col(on).isin(hot)
+    part = F.pmod(F.xxhash64(*(f.name for f in many.schema if f.dataType.typeName() not in ("binary", "array", "map"))), F.lit(SALTS)).cast("int")
+    dealt = many.withColumn("_salt", F.when(is_hot, part).otherwise(0))
+    copies = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [on, "_salt"], how).drop("_salt")
+
+
 def byte_values(array: pa.Array) -> list[bytes]:
     """The values of a binary Arrow column."""
     return array.to_pylist()

@@ -3,7 +3,7 @@
 Links are kept as (u, v) with u > v. A round points each node's larger neighbours at the smallest of the node and all
 its neighbours (large star), then each node and its smaller neighbours at the smallest of those (small star). The rounds
 needed grow with the logarithm of the largest component. Neighbours are only ever reduced to their minimum, so no group
-is gathered in one task, and a node with very many links is one row of the smaller side of a join.
+is gathered in one task, and the links of a node with very many are joined in parts.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         ends = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-        large = S.written(now.join(least, "v").where("u <> m").select("u", F.col("m").alias("v")).distinct())
+        large = S.written(S.joined(now, least, "v").where("u <> m").select("u", F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = S.written(small.distinct())

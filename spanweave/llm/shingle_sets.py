@@ -1,12 +1,14 @@
-"""Near-dedup by the Jaccard similarity of word-shingle sets: min-hash bands find candidates, the sets themselves decide.
+"""SimHash near-dedup at a set similarity: one document of each group that shares most of its word shingles.
 
-SimHash cannot serve a threshold of 0.8: such pairs differ in about 10 of 64 bits, and no choice of equal blocks is both
-sure to hold for them and rare for others. BANDS keys of ROWS min-hashes each miss a pair of similarity 0.8 with
-probability (1 - 0.8^6)^40 = 5e-6, and one of higher similarity less often; every link is checked on the whole sets.
+At a similarity of 0.8 two SimHashes differ in about 10 of 64 bits, and no choice of equal bytes is both sure to hold for
+such pairs and rare for others, as it is for simhash.py's 2 bits. So fingerprints are dealt into blocks by BANDS keys of
+ROWS min-hashes each, of which a pair at 0.8 misses all with probability (1 - 0.8^5)^20 = 0.0004, and one of higher
+similarity less often. Within the blocks they are compared bit-sliced, and pairs beyond a radius that a pair at 0.8 keeps
+to in all but 1 of 5,000 cases are abandoned; what is left is checked on the whole sets.
 
-Documents that share a key form a block. First each is checked against its block's smallest member; then, within a
-block, all pairs that these links have left in different components. So every candidate pair is either checked or joined
-already, and a large group of near copies costs as many checks as it has members, not their square.
+First each document is compared with its block's smallest member; then, within a block, all pairs that these links have
+left in different components. So every pair within the radius is either checked or joined already, and a large group of
+near copies costs as many checks as it has members, not their square.
 """
 
 from __future__ import annotations
@@ -20,40 +22,62 @@ from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
 from spanweave.llm.components import components
+from spanweave.llm.simhash import planes, within
+from spanweave.llm.words import BASES, chunks, mix, over, word_hashes, word_spans
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 40, 6, 42
-#: Shingles that are min-hashed at once.
-_AT_ONCE = 2048
-_ODD = np.random.default_rng(SEED).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def shingle_set(text: bytes, digest, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct XXH64 of the lower-cased text's word shingles; all its words, if they are fewer."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if n <= shingle:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = (np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends[: n - shingle])]
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])], np.uint64))
-
-
-def band_keys(members: np.ndarray, digest) -> list[int]:
-    """A signed 64-bit key per band; none of an empty set."""
-    if not len(members):
-        return []
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max)
-    for at in range(0, len(members), _AT_ONCE):
-        x = members[at : at + _AT_ONCE, None] * _ODD
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, x.min(0))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([digest(r.tobytes(), b) for b, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+BANDS, ROWS, SEED = 20, 5, 42
+#: Deviations of the expected number of differing bits that the radius allows for.
+SPREAD = 3.6
+#: Text bytes hashed at once.
+CHUNK = 1 << 20
+_ODD = np.random.default_rng(SEED).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
+
+
+def radius(similarity: float) -> int:
+    """Bits in which SimHashes of sets of that similarity differ at most: the mean of 64 and SPREAD deviations."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return min(63, int(np.ceil(64 * p + SPREAD * np.sqrt(64 * p * (1 - p)))))
+
+
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles in lower case A-Z; of all its words, if they are fewer."""
+    out: list[np.ndarray] = []
+    for a, b in chunks(texts, CHUNK):
+        joined, start, stop, count = word_spans([t.lower() for t in texts[a:b]])
+        h = word_hashes(joined, start, stop, 1)[0]
+        every = over(h, shingle, BASES[1]) if len(h) >= shingle else h[:0]
+        for at, n in zip((np.cumsum(count) - count).tolist(), count.tolist()):
+            if n >= shingle:
+                out.append(np.unique(every[at : at + n - shingle + 1]))
+            else:
+                out.append(over(h[at : at + n], n, BASES[0]) if n else h[:0])
+    return out
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """SimHash of each set (0 if it is empty) and its band keys (0 if it is empty), both as signed 64-bit values."""
+    size = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(size)
+    fps, keys = np.zeros(len(sets), np.int64), np.zeros((len(sets), BANDS), np.int64)
+    if len(full):
+        values = np.concatenate([sets[i] for i in full.tolist()])
+        of = np.repeat(np.arange(len(full)), size[full])
+        octets = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+        bits = [np.bincount(of * 256 + octets[:, i], minlength=256 * len(full)).reshape(-1, 256) @ _BIT for i in range(8)]
+        majority = 2 * np.concatenate(bits, 1) > size[full][:, None]
+        fps[full] = np.packbits(majority, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
+        short, start = (values >> np.uint64(32)).astype(np.uint32), np.cumsum(size[full]) - size[full]
+        for band in range(BANDS):
+            key = np.full(len(full), band + 1, np.uint64)
+            for odd in _ODD[band * ROWS : (band + 1) * ROWS]:
+                x = short * odd
+                x ^= x >> np.uint32(16)
+                x *= np.uint32(0x9E3779B1)
+                key = mix(key * BASES[0] + np.minimum.reduceat(x, start))
+            keys[full, band] = key.view(np.int64)
+    return fps, keys
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -62,21 +86,34 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, sid (hash of the shingle set, 0 if it is empty), n (its size), ks (band keys) of rows with a key."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), S.text_bytes(text).alias("_b"))
+def _sid(members: np.ndarray) -> int:
+    """A name for a set: a signed hash of it, 0 for the empty one."""
+    from xxhash import xxh64_intdigest
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
+    got = xxh64_intdigest(members.tobytes(), SEED) if len(members) else 0
+    return got - (1 << 64) if got >> 63 else got
+
+
+_NEW = ("_sid", "_n", "_fp", "_ks")
+
+
+def _described(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs, columns renamed to _c0, _c1, .., with a row number _r, the set's name _sid (null without a key), size, SimHash and band keys."""
+    place = {c: i for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.monotonically_increasing_id().alias("_r"), F.col(key).isNotNull().alias("_own"), S.text_bytes(text).alias("_b"), *(F.col(c).alias(f"_c{i}") for c, i in place.items()))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[3:])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches):
-            sets = [shingle_set(b, digest) for b in S.byte_values(batch.column(1))]
-            sids = np.array([digest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sids), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s, digest) for s in sets], pa.list_(pa.int64()))], ["key", "sid", "n", "ks"]
-            )
+            sets = shingle_sets(S.byte_values(batch.column(2)))
+            fps, keys = sketches(sets)
+            own = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            sids = pa.array(np.array([_sid(s) for s in sets], np.int64), mask=~own)
+            ks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
+            new = [sids, pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), ks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["_r", *_NEW, *batch.schema.names[3:]])
 
-    return rows.mapInArrow(scan, f"key {rows.schema['_k'].dataType.simpleString()}, sid long, n long, ks array<long>")
+    return rows.mapInArrow(scan, f"_r long, _sid long, _n long, _fp long, _ks array<long>, {kinds}")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -112,39 +149,64 @@ def _alike(a, b, similarity: float):
     return np.minimum(a, b) >= similarity * np.maximum(a, b)
 
 
-def _shared(firsts: DataFrame) -> DataFrame:
-    """k, sid, n, head (the block's smallest sid), head_n for members of blocks of two or more."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, sid, n), edges in _runs(batches):
-            length = np.diff(edges)
-            start, several = np.repeat(edges[:-1], length), np.repeat(length > 1, length)
-            yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (k, sid, n, sid[start], n[start])], ["k", "sid", "n", "head", "head_n"])
-
-    keyed = firsts.select(F.explode("ks").alias("k"), "sid", "n")
-    return keyed.repartition("k").sortWithinPartitions("k", "sid").mapInArrow(keep, "k long, sid long, n long, head long, head_n long")
+def _blocks(firsts: DataFrame) -> DataFrame:
+    """k, sid, n, fp and the block's smallest member (head: sid, n, fp) for members of blocks of two or more."""
+    keyed = firsts.where("n > 0").select(F.explode("ks").alias("k"), "sid", "n", "fp")
+    heads = S.written(keyed.groupBy("k").agg(F.min(F.struct("sid", "n", "fp")).alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    return S.joined(keyed, heads, "k", counts=heads).drop("_n")
 
 
 def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """u, v: the pairs of each block that stand in different components and were not checked with its head."""
+    """u, v: the pairs of each block within the radius that stand in different components and weren't checked with its head.
+
+    Only blocks that hold others than their head's component are gathered, so a group of copies, however large, is not.
+    """
+    most = radius(similarity)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, sid, n, root), edges in _runs(batches):
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if b - a < 3 or (root[a:b] == root[a]).all():
+        for (k, sid, n, fp, root), edges in _runs(batches):
+            length = np.diff(edges)
+            for a, m in zip(edges[:-1][length > 2].tolist(), length[length > 2].tolist()):
+                own = slice(a + 1, a + m)  # the smallest, at a, is the head
+                r = root[own]
+                if (r == root[a]).all():
                     continue
-                for i in range(a + 1, b - 1):  # the smallest, at a, is the head
-                    j = np.flatnonzero((root[i + 1 : b] != root[i]) & _alike(n[i + 1 : b], n[i], similarity)) + i + 1
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), sid[i])), pa.array(sid[j])], ["u", "v"])
+                bits = planes(fp[own].view(np.uint64))
+                for d in range(1, m - 1):
+                    differ = r[d:] != r[:-d]
+                    if not differ.any():
+                        continue
+                    i = within(bits, d, differ & _alike(n[own][d:], n[own][:-d], similarity), most)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(sid[own][i]), pa.array(sid[own][i + d])], ["u", "v"])
+
+    named = roots.select(F.col("node").alias("sid"), "root")
+    placed = S.joined(blocks, named, "sid", "left").select("k", "sid", "n", "fp", F.col("head.sid").alias("top"), F.coalesce("root", "sid").alias("root"))
+    placed = S.written(S.joined(placed, named.select(F.col("sid").alias("top"), F.col("root").alias("_top")), "top", "left").withColumn("_top", F.coalesce("_top", "top")))
+    mixed = S.written(placed.where("root <> _top").select("k").distinct())
+    rest = S.joined(placed, mixed, "k").select("k", "sid", "n", "fp", "root")
+    return rest.repartition("k").sortWithinPartitions("k", "sid").mapInArrow(pairs, "u long, v long").distinct()
+
+
+def _sets(table: DataFrame, firsts: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """sid, s (the set's bytes) of all sets in pairs, one row each, from the text of the set's first row."""
+    ends = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    need = S.written(firsts.join(ends, "sid").select(F.col("first._r").alias("_r"), "sid"))
+    rows = table.select("_r", S.text_bytes(text).alias("_b")).join(need, "_r").select("sid", "_b")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in S.slices(batches):
+            sets = [s.tobytes() for s in shingle_sets(S.byte_values(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["sid", "s"])
 
-    placed = blocks.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("k", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    return placed.repartition("k").sortWithinPartitions("k", "sid").mapInArrow(pairs, "u long, v long").distinct()
+    return rows.mapInArrow(scan, "sid long, s binary")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _checked(pairs: DataFrame, table: DataFrame, firsts: DataFrame, text: str, similarity: float) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("sid").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("sid").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
+    sets = S.written(_sets(table, firsts, pairs, text))
+    one = pairs.join(sets.select(F.col("sid").alias("u"), F.col("s").alias("a")), "u")
+    both = S.joined(one, sets.select(F.col("sid").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches):
@@ -154,20 +216,21 @@ def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(check, "u long, v long")
 
 
-def _sets(docs: DataFrame, need: DataFrame, key: str, text: str) -> DataFrame:
-    """sid, s (the set's bytes), one row for each needed sid, from the text of its first document (need: first, sid)."""
-    rows = docs.select(F.col(key).alias("first"), S.text_bytes(text).alias("_b")).join(need, "first").select("sid", "_b")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
-
-        for batch in S.slices(batches):
-            sets = [shingle_set(b, digest).tobytes() for b in S.byte_values(batch.column(1))]
-            own = [digest(s, SEED) if s else 0 for s in sets]
-            same = np.array(own, np.uint64).view(np.int64) == batch.column(0).to_numpy()  # a key may name several texts
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["sid", "s"]).filter(pa.array(same))
-
-    return rows.mapInArrow(scan, "sid long, s binary").dropDuplicates(["sid"])
+def _grouped(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and for each set that isn't alone (sid) the row that stands for its component (won: key and row)."""
+    table = S.written(_described(docs, key, text))
+    at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    own = table.where("_sid is not null").select(F.col("_sid").alias("sid"), F.struct(F.col(at[key]).alias("key"), "_r").alias("first"), "_n", "_fp", "_ks")
+    firsts = S.written(own.groupBy("sid").agg(F.min("first").alias("first"), F.first("_n").alias("n"), F.first("_fp").alias("fp"), F.first("_ks").alias("ks"), F.count(F.lit(1)).alias("c")))
+    blocks = S.written(_blocks(firsts))
+    alike = (F.least("n", "head.n") >= F.lit(similarity) * F.greatest("n", "head.n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius(similarity))
+    heads = S.written(blocks.where((F.col("sid") != F.col("head.sid")) & alike).select(F.col("sid").alias("u"), F.col("head.sid").alias("v")).distinct())
+    near = S.written(_checked(heads, table, firsts, at[text], similarity))
+    others = S.written(_across(blocks, components(near), similarity))
+    roots = components(near.unionByName(_checked(others, table, firsts, at[text], similarity)))
+    grouped = S.written(firsts.join(roots, firsts["sid"] == roots["node"], "left").where("c > 1 or root is not null").select("sid", "first", F.coalesce("root", "sid").alias("_root")))
+    least = grouped.groupBy("_root").agg(F.min("first").alias("won"))
+    return table, S.written(S.joined(grouped, least, "_root").select("sid", "won"))
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -176,25 +239,19 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sim
     component_id is the smallest key reachable over documents whose sets of 5-word shingles have Jaccard similarity
     `similarity` (0.8 or more) at least. Texts without words are one component.
     """
-    table = S.written(_hashed(docs, key, text))
-    firsts = S.written(table.groupBy("sid").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("ks").alias("ks")))
-    blocks = S.written(_shared(firsts))
-    need = blocks.select("sid").distinct().join(firsts, "sid").select("first", "sid")
-    sets = S.written(_sets(docs, need, key, text))
-    heads = blocks.where((F.col("sid") != F.col("head")) & (F.least("n", "head_n") >= F.lit(similarity) * F.greatest("n", "head_n"))).select(F.col("sid").alias("u"), F.col("head").alias("v")).distinct()
-    near = S.written(_checked(heads, sets, similarity))
-    more = S.written(_checked(_across(blocks, components(near), similarity), sets, similarity))
-    roots = components(near.unionByName(more))
-    grouped = S.written(firsts.join(roots, firsts["sid"] == roots["node"], "left").select(firsts["sid"], "first", F.coalesce("root", firsts["sid"]).alias("_root")))
-    least = grouped.groupBy("_root").agg(F.min("first").alias("component_id"))
-    return table.join(grouped.join(least, "_root").select("sid", "component_id"), "sid").select(F.col("key").alias(key), "component_id")
+    table, groups = _grouped(docs, key, text, similarity)
+    own = table.where("_sid is not null").select(F.col("_sid").alias("sid"), F.col(f"_c{docs.columns.index(key)}").alias("_key"))
+    return S.joined(own, groups, "sid", "left").select(F.col("_key").alias(key), F.coalesce("won.key", "_key").alias("component_id"))
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the smallest key; all columns stay.
+    """docs with one row of each near-duplicate group, that of the smallest key; all columns stay, whatever their names.
 
-    Keys are taken to name texts: rows that repeat key and text count once. Rows with a null key stay.
+    A row goes only for a row that stays in its own group: repeated rows count once, but rows of one key with different
+    texts are judged each by itself. Rows with a null key stay. Texts without words (null, empty, white space) are one
+    group. No rows give no rows.
     """
-    groups = near_groups(docs, key=key, text=text, similarity=similarity)
-    losers = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(losers, key, "left_anti").select(docs.columns).dropDuplicates([key, text])
+    table, groups = _grouped(docs, key, text, similarity)
+    rows = table.where("_sid is not null").select(F.col("_sid").alias("sid"), "_r")
+    losers = S.written(S.joined(rows, groups, "sid").where("_r <> won._r").select("_r"))  # few: Spark broadcasts them, or else joins by row
+    return table.join(losers, "_r", "left_anti").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))

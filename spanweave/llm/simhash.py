@@ -70,34 +70,44 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(scan, f"`{key}` {kind}, fp long")
 
 
-def _planes(values: np.ndarray) -> list[int]:
+def planes(values: np.ndarray) -> list[int]:
     """Bit planes of unsigned 64-bit values, as integers whose bit i belongs to value i."""
     bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     return [int.from_bytes(row.tobytes(), "little") for row in np.packbits(bits.T, axis=1, bitorder="little")]
 
 
-def sliced_links(values: np.ndarray, runs: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Index pairs of equal run whose values differ in at most `radius` (2 or less) bits; runs are consecutive."""
-    n = len(values)
-    planes = _planes(values)
-    longest = int(np.bincount(np.unique(runs, return_inverse=True)[1]).max()) if n else 0
-    out = []
-    for d in range(1, longest):
-        alive = int.from_bytes(np.packbits(runs[d:] == runs[:-d], bitorder="little").tobytes(), "little")
-        ones = twos = 0
-        for plane in planes:
-            diff = plane ^ (plane >> d)
-            carry = ones & diff
-            ones ^= diff
-            alive &= ~(twos & carry)  # a fourth difference
-            twos ^= carry
-            alive &= ~((ones & twos) if radius == 2 else twos if radius == 1 else ones | twos)
+def within(bits: list[int], d: int, wanted: np.ndarray, radius: int) -> np.ndarray:
+    """The i among `wanted` (one flag per i) whose values i and i + d differ in at most `radius` bits.
+
+    Carry-save counters hold all distances so far, digit by digit; a distance above the radius is out, and when all are
+    the rest of the planes is not looked at.
+    """
+    alive = int.from_bytes(np.packbits(wanted, bitorder="little").tobytes(), "little")
+    digits = radius.bit_length()
+    counts = [0] * digits
+    for at, plane in enumerate(bits, 1):
+        carry = plane ^ (plane >> d)
+        for j in range(digits):
+            counts[j], carry = counts[j] ^ carry, counts[j] & carry
+        alive &= ~carry  # beyond what the counters hold
+        if at > radius and (at & 3 == 0 or at == len(bits)):
+            more, equal = 0, -1
+            for j in range(digits - 1, -1, -1):
+                if radius >> j & 1:
+                    equal &= counts[j]
+                else:
+                    more, equal = more | equal & counts[j], equal & ~counts[j]
+            alive &= ~more
             if not alive:
-                break
-        if alive:
-            where = np.unpackbits(np.frombuffer(alive.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")
-            out += [(i, i + d) for i in np.flatnonzero(where).tolist()]
-    return out
+                return np.zeros(0, np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(alive.to_bytes((len(wanted) + 7) // 8, "little"), np.uint8), bitorder="little"))
+
+
+def sliced_links(values: np.ndarray, runs: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Index pairs of equal run whose values differ in at most `radius` bits; runs are consecutive."""
+    bits = planes(values)
+    longest = int(np.bincount(np.unique(runs, return_inverse=True)[1]).max()) if len(values) else 0
+    return [(i, i + d) for d in range(1, longest) for i in within(bits, d, runs[d:] == runs[:-d], radius).tolist()]
 
 
 def _stars(values: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,22 +177,13 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
 
     component_id is the smallest key reachable over links of fingerprints at most 2 bits apart, equal ones included.
     Texts without words (null, empty, white space) share fingerprint 0 and so one component. Repeated rows get equal
-    results; null keys are carried but never a component's id unless it has no other. No rows give no rows.
+    results; null keys are carried but never a component's id unless it has no other. No rows give no rows. A
+    fingerprint or component that many rows share is joined in SALTS parts.
     """
     table = S.written(fingerprints(docs, key=key, text=text))
     firsts = S.written(table.groupBy("fp").agg(F.min(key).alias("_first")))
     roots = components(links(firsts.select("fp")))
     grouped = S.written(firsts.join(roots, firsts["fp"] == roots["node"], "left").select(firsts["fp"], "_first", F.coalesce("root", firsts["fp"]).alias("_root")))
     least = grouped.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = grouped.join(least, "_root").select("fp", "component_id")
-    return table.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate group, that of the smallest key; all columns stay.
-
-    Keys are taken to name texts: rows that repeat key and text count once. Rows with a null key stay.
-    """
-    groups = near_groups(docs, key=key, text=text)
-    losers = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(losers, key, "left_anti").select(docs.columns).dropDuplicates([key, text])
+    named = S.joined(grouped, least, "_root").select("fp", "component_id")
+    return S.joined(table, named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
-from spanweave.llm.words import BASES, chunks, mix, word_hashes, word_spans
+from spanweave.llm.words import BASES, chunks, mix, over, word_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of a partition, runs in a partition, text bytes hashed at once.
@@ -35,20 +35,6 @@ ANCHORS, WINDOWS = 0, 1
 _U = np.uint64
 
 
-def _over(hashes: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
-    """Hash of each `width` consecutive words, by doubling: the parts' sizes are width's binary digits."""
-    out, done, part, size = None, 0, hashes, 1
-    while True:
-        if width & size:
-            n = len(hashes) - width + 1
-            out = part[done : done + n] if out is None else mix(out * by + part[done : done + n])
-            done += size
-        if size * 2 > width:
-            return out
-        part = mix(part[:-size] * by + part[size:])
-        size *= 2
-
-
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` consecutive values."""
     part, size = x, 1
@@ -79,9 +65,9 @@ class Windows:
         whole = of[:n] == of[WINDOW - 1 :]
         # Minima crowd at the low end; mixed again they fall evenly into the buckets.
         hashes = word_hashes(joined, start, stop, 1 + checks)
-        anchor = mix(_smallest(_over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole]) if anchors else np.zeros(0, np.uint64)
-        h = _over(hashes[0], WINDOW, BASES[0])[whole]
-        check = _over(hashes[1], WINDOW, BASES[1])[whole] if checks else np.zeros(0, np.uint64)
+        anchor = mix(_smallest(over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole]) if anchors else np.zeros(0, np.uint64)
+        h = over(hashes[0], WINDOW, BASES[0])[whole]
+        check = over(hashes[1], WINDOW, BASES[1])[whole] if checks else np.zeros(0, np.uint64)
         return of[:n][whole] + first, nth[:n][whole], anchor, h, check
 
 

@@ -64,3 +64,17 @@ def word_hashes(joined: bytes | np.ndarray, start: np.ndarray, stop: np.ndarray,
     value = np.where(place < np.repeat(size, gap), data.astype(np.uint64) + _U(1), _U(0))
     place = np.minimum(place, size.max() - 1)
     return [mix(np.add.reduceat(value * _powers_of(i, int(size.max()))[place], begin) + size.astype(np.uint64)) for i in range(many)]
+
+
+def over(hashes: np.ndarray, width: int, by: np.uint64) -> np.ndarray:
+    """Hash of each `width` consecutive words, by doubling: the parts' sizes are width's binary digits."""
+    out, done, part, size = None, 0, hashes, 1
+    while True:
+        if width & size:
+            n = len(hashes) - width + 1
+            out = part[done : done + n] if out is None else mix(out * by + part[done : done + n])
+            done += size
+        if size * 2 > width:
+            return out
+        part = mix(part[:-size] * by + part[size:])
+        size *= 2
