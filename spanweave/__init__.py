@@ -1,16 +1,16 @@
 """Typed, provenance-carrying datasets on Spark DataFrames."""
 
-from spanweave.dataset import Dataset, DatasetContext, FieldHandle, SourceInfo, register_exit, validation
+from spanweave.dataset import CallSpec, Dataset, DatasetContext, FieldHandle, SourceInfo, UnpicklableCallWarning, register_exit, validation
 from spanweave.dimensions import AxisWindow, CategoricalDimension, Dimension, IndexDimension, TemporalDimension, interval
 from spanweave.functions import anti, distinct, latest, limit, order_by, sample, semi
 from spanweave.operators.columns import (
-    UnpicklableCallWarning, add_column, assign, consume, drop, keep, link, make_from_dataframe, map_fields, new_field, pipe, rename, reset_index, set_index, table_transform, where,
+    add_column, assign, consume, drop, keep, link, make_from_dataframe, map_fields, new_field, pipe, rename, reset_index, set_index, table_transform, where,
 )
 from spanweave.operators.composition import Bundle, bundle, concat, concat_columns, concat_rows, extract
 from spanweave.operators.groups import Count, Custom, Distinct, Fibers, Max, Mean, Min, ReducingOperator, Sum, flatten, partition, reduce
 from spanweave.operators.joins import ColumnCollision, DimensionJoin, FieldEqualityJoin, IndexJoin, dimension_join, explode, implode, join, make_plan, match, merge
 from spanweave.operators.windows import array_cut, compose_slice, materialize, slice_data, window_expansion_plan
-from spanweave.plans.predicates import MatchPredicate, equals, overlap
+from spanweave.plans.predicates import MatchPredicate, assert_predicate_contract, equals, overlap
 from spanweave.schema import (
     BundleField, CompositeField, CompositeIndexField, DataField, DimensionedSliceField, DimensionField, Field, ForeignIndexField, IndexColumnField, IndexField, IndexIdentity, Schema, ValueField,
 )

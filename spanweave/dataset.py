@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -58,24 +60,79 @@ def union_sources(*groups: tuple[SourceInfo, ...]) -> tuple[SourceInfo, ...]:
     return tuple(found.values())
 
 
+class UnpicklableCallWarning(UserWarning):
+    """A recorded function cannot be stored for later."""
+
+
+@dataclass(frozen=True)
+class CallSpec:
+    """The operator call that made a pending column: it can be stored, compared and made again.
+
+    params are the call's arguments but for the dataset. Functions among them are kept pickled; one that cannot be
+    pickled is kept as it is, with a warning, and compared by identity.
+    """
+
+    op: str
+    params: tuple[tuple[str, Any], ...]
+
+    @staticmethod
+    def of(op: str, **params: Any) -> CallSpec:
+        kept = []
+        for k, v in sorted(params.items()):
+            if callable(v) and not isinstance(v, type):
+                try:
+                    v = pickle.dumps(v)
+                except Exception:  # noqa: BLE001
+                    warnings.warn(f"{v!r} cannot be stored", UnpicklableCallWarning, stacklevel=3)
+            kept.append((k, v))
+        return CallSpec(op, tuple(kept))
+
+    @property
+    def storable(self) -> bool:
+        return not any(callable(v) and not isinstance(v, type) for _, v in self.params)
+
+    def replay(self, ds: Dataset) -> Dataset:
+        """The call made again on a dataset."""
+        import spanweave
+
+        return getattr(spanweave, self.op)(ds, **{k: pickle.loads(v) if isinstance(v, bytes) else v for k, v in self.params})
+
+
 @dataclass(frozen=True)
 class Coupling:
-    """A pending column: output computed from inputs by compute(dataset columns) -> Column when consumed."""
+    """A pending column: output computed from inputs by compute(dataset columns) -> Column when consumed.
+
+    typed: compute takes the inputs' types as a second argument. kind and call tell what made it.
+    """
 
     inputs: tuple[str, ...]
     output: str
-    compute: Callable[[dict[str, Column]], Column]
+    compute: Callable[..., Column]
     field: Field | None = None
+    kind: str = "apply"
+    call: CallSpec | None = None
+    typed: bool = False
 
     def renamed(self, names: dict[str, str]) -> Coupling:
         back = {names.get(i, i): i for i in self.inputs}
         inner = self.compute
-        return replace(self, inputs=tuple(back), output=names.get(self.output, self.output), compute=lambda c: inner({old: c[new] for new, old in back.items()}))
+        told = lambda x: {old: x[new] for new, old in back.items()}
+        return replace(self, inputs=tuple(back), output=names.get(self.output, self.output), compute=lambda *x: inner(*map(told, x)))
+
+    def same(self, other: Coupling) -> bool:
+        """Whether both compute the same: by one function object, or by equal calls."""
+        if (self.inputs, self.output, self.field) != (other.inputs, other.output, other.field):
+            return False
+        return self.compute is other.compute or self.call is not None and self.call == other.call
 
 
 def ordered(couplings: tuple[Coupling, ...]) -> list[Coupling]:
     """Topological order; couplings of one output stay in the order declared. A cycle raises."""
     left, out = list(couplings), []
+    writes = [c.output for c in couplings]
+    for at, c in enumerate(couplings):  # a write in place would change what an earlier reader was meant to see
+        if c.output in c.inputs and any(c.output in o.inputs and o.output != c.output for o in couplings[:at]) and c.output not in writes[:at]:
+            raise ValueError(f"{c.output!r} is read by an earlier pending column and then written in place")
     while left:
         for c in left:
             earlier = left[: left.index(c)]
@@ -143,7 +200,8 @@ class Dataset:
             order = [c for c in order if c.output in need]
         df, schema = self.df, self.schema
         for c in order:
-            df = df.withColumn(c.output, c.compute({i: F.col(f"`{i}`") for i in c.inputs}))
+            cols = {i: F.col(f"`{i}`") for i in c.inputs}
+            df = df.withColumn(c.output, c.compute(cols, {i: df.schema[i].dataType for i in c.inputs}) if c.typed else c.compute(cols))
             schema = schema.put(c.field or (schema.get(c.output) if schema.has(c.output) else ValueField(c.output)))
         return self.with_(df, schema, couplings=tuple(c for c in self.couplings if c not in order))
 

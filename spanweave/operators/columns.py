@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import replace
@@ -13,16 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.dataset import Coupling, Dataset, FieldHandle, SourceInfo, strict
+from spanweave.dataset import CallSpec, Coupling, Dataset, FieldHandle, SourceInfo, strict
 from spanweave.schema import (
     CompositeField, CompositeIndexField, Field, ForeignIndexField, IndexColumnField, IndexField, IndexIdentity, Schema, ValueField, spark_type,
 )
 
 
-class UnpicklableCallWarning(UserWarning):
-    """A recorded function cannot be stored for later."""
-
-
 def make_from_dataframe(table: DataFrame | pd.DataFrame, schema: Schema, *, source_info: SourceInfo | None = None, spark: SparkSession | None = None) -> Dataset:
     """A dataset over a DataFrame, or over a pandas frame whose index becomes the index field's column."""
     if isinstance(table, pd.DataFrame):
@@ -137,30 +132,38 @@ def new_field(ds: Dataset, new: Field) -> Dataset:
     return ds.with_(ds.df.withColumn(new.name, F.lit(None).cast(kind) if kind is not None else F.lit(None)), ds.schema.add(new))
 
 
-def map_fields(ds: Dataset, inputs: str | Sequence[str], fn: Callable, out: str, *, dtype: Any = None, lazy: bool = False) -> Dataset:
-    """A fresh field fn(inputs). Without dtype fn builds a Column; with one it is Python, run on Arrow batches of values.
+def map_fields(ds: Dataset, inputs: str | Sequence[str], fn: Callable, out: str, *, dtype: Any = None, lazy: bool = False, batch: bool = False) -> Dataset:
+    """A fresh field fn(inputs). Without dtype fn builds a Column; with one it is Python, run on Arrow batches of values:
+    row by row, or with batch on pandas Series, one call for thousands of rows.
 
-    lazy records it as pending instead.
+    lazy records it as pending instead. Given the fibers of a grouping, fn sees whole groups (see groups.map_fibers()).
     """
+    if not isinstance(ds, Dataset):
+        from spanweave.operators.groups import map_fibers
+
+        return map_fibers(ds, fn, out, dtype=dtype)
     names = _names(ds, inputs)
     if ds.schema.has(out):
         raise ValueError(f"field {out!r} exists")
     if any(isinstance(ds.schema.get(n), CompositeField) for n in names):
         raise ValueError("composite inputs are not supported")
-    try:
-        pickle.dumps(fn)
-    except Exception:  # noqa: BLE001
-        if lazy:
-            warnings.warn(f"{fn!r} cannot be stored", UnpicklableCallWarning, stacklevel=2)
     if dtype is None:
         compute = lambda cols: fn(*(cols[n] for n in names))
     else:
-        run = F.udf(fn, spark_type(dtype), useArrow=True)
+        run = _batched(fn, len(names), spark_type(dtype)) if batch else F.udf(fn, spark_type(dtype), useArrow=True)
         compute = lambda cols: run(*(cols[n] for n in names))
-    pending = ds.with_(couplings=(*ds.couplings, Coupling(tuple(names), out, compute, ValueField(out, dtype=dtype))))
+    call = CallSpec.of("map_fields", inputs=tuple(names), fn=fn, out=out, dtype=dtype, lazy=True, batch=batch) if lazy else None
+    pending = ds.with_(couplings=(*ds.couplings, Coupling(tuple(names), out, compute, ValueField(out, dtype=dtype), "map", call)))
     return pending if lazy else pending.consumed(out)
 
 
+def _batched(fn: Callable, many: int, kind) -> Callable:
+    def run(*series: pd.Series) -> pd.Series:
+        return fn(*series)
+
+    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR) if many else F.udf(fn, kind)
+
+
 def consume(ds: Dataset, target: str | Coupling | None = None) -> Dataset:
     """Computes pending columns up to a target and discharges them."""
     return ds.consumed(target.output if isinstance(target, Coupling) else target)

@@ -35,7 +35,8 @@ def concat_rows(*datasets: Dataset) -> Dataset:
     """All rows, fields by name; a field that a dataset lacks is null there, differing value types are widened."""
     if len(datasets) < 2:
         raise ValueError("two datasets at least")
-    if any(tuple(c.output for c in d.couplings) != tuple(c.output for c in datasets[0].couplings) for d in datasets):
+    first = datasets[0].couplings
+    if any(len(d.couplings) != len(first) or not all(a.same(b) for a, b in zip(first, d.couplings)) for d in datasets[1:]):
         raise ValueError("pending columns differ; consume them first")
     schema, df = datasets[0].schema, datasets[0].df
     for d in datasets[1:]:

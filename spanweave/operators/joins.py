@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.dataset import Dataset, strict, union_sources
+from spanweave.dataset import Coupling, Dataset, ordered, strict, union_sources
 from spanweave.operators.columns import with_label, with_row_id
 from spanweave.plans.predicates import MatchPredicate, equals, overlap, range_join
 from spanweave.schema import DimensionedSliceField, Field, ForeignIndexField, IndexField, Schema, ValueField
@@ -107,12 +108,20 @@ def _dimension_pairs(l: Dataset, r: Dataset, s: DimensionJoin, how: str) -> Data
     first = next(iter(dims))
     pairs = range_join(a, b, "l" + first, "r" + first, condition, pads[first]).select(LEFT, RIGHT)
     if how in ("left", "outer"):
-        pairs = pairs.unionByName(a.join(pairs, LEFT, "left_anti").select(LEFT), allowMissingColumns=True)
+        pairs = _with_lone(pairs, a, LEFT, RIGHT)
     if how in ("right", "outer"):
-        pairs = pairs.unionByName(b.join(pairs, RIGHT, "left_anti").select(RIGHT), allowMissingColumns=True)
+        pairs = _with_lone(pairs, b, RIGHT, LEFT)
     return pairs
 
 
+def _with_lone(pairs: DataFrame, side: DataFrame, label: str, other: str) -> DataFrame:
+    """pairs and, once each, the labels of a side that have none. The pairs are made once: each label comes with an empty
+    pair, which goes if the label has another. Rows of the other side that stand alone keep to themselves."""
+    every = pairs.unionByName(side.select(label), allowMissingColumns=True)
+    own = Window.partitionBy(label, F.when(F.col(label).isNull(), F.xxhash64(other)))
+    return every.withColumn("_some", F.max(F.col(other).isNotNull()).over(own)).where(F.col(other).isNotNull() | ~F.col("_some")).drop("_some")
+
+
 def _operand(ds: Dataset, on: str | tuple[str, str], dimension: str | None) -> Column:
     if isinstance(on, tuple):
         return F.struct(F.col(f"`{on[0]}`").alias("start"), F.col(f"`{on[1]}`").alias("stop"))
@@ -121,9 +130,13 @@ def _operand(ds: Dataset, on: str | tuple[str, str], dimension: str | None) -> C
 
 
 def dimension_join(
-    l: Dataset, r: Dataset, candidates: Dataset | None = None, *, predicate: MatchPredicate, left_on, right_on, dimension: str | None = None, dense: bool = True
+    l: Dataset, r: Dataset, candidates: Dataset | None = None, *, predicate: MatchPredicate, left_on, right_on, dimension: str | None = None, dense: bool = True, cross: bool = False
 ) -> Dataset:
-    """Pairs (pair_id) that one predicate holds for: among all, or among a prior plan's pairs."""
+    """Pairs (pair_id) that one predicate holds for: among all, or among a prior plan's pairs.
+
+    A predicate that is neither equality nor overlap has no key to join on: it needs candidates, or cross=True, which
+    compares every pair and is for small sides only.
+    """
     a, b = _side(l, {"_x": _operand(l, left_on, dimension)}, LEFT), _side(r, {"_y": _operand(r, right_on, dimension)}, RIGHT)
     condition = predicate.condition(F.col("_x"), F.col("_y"))
     if candidates is not None:
@@ -132,8 +145,10 @@ def dimension_join(
         pairs = candidates.df.select(LEFT, RIGHT).join(a, LEFT).join(b, RIGHT).where(condition)
     elif isinstance(predicate, overlap):
         pairs = range_join(a.where("_x.start is not null and _x.stop is not null"), b.where("_y.start is not null and _y.stop is not null"), "_x", "_y", condition, predicate.pad)
-    else:
+    elif predicate.stage == "partitioner" or cross:
         pairs = a.join(b, condition)
+    else:
+        raise ValueError("a filter predicate needs candidates, or cross=True for small sides")
     return _plan(pairs, l, r, "pair_id", dense)
 
 
@@ -144,8 +159,11 @@ def _slice_of(ds: Dataset, dimension: str) -> Column:
     return F.col(f"`{found[0].name}`")[dimension]
 
 
-def match(l: Dataset, r: Dataset, *, on: Sequence = (), predicates: Mapping[str, MatchPredicate] | None = None, dense: bool = True) -> Dataset:
-    """Pairs that satisfy all terms: equal values of each `on` (a name or a pair of names), and a predicate per dimension."""
+def match(l: Dataset, r: Dataset, *, on: Sequence = (), predicates: Mapping[str, MatchPredicate] | None = None, dense: bool = True, cross: bool = False) -> Dataset:
+    """Pairs that satisfy all terms: equal values of each `on` (a name or a pair of names), and a predicate per dimension.
+
+    Without an equality or overlap term cross=True is needed: it compares every pair and is for small sides only.
+    """
     terms = [(F.col(f"`{n if isinstance(n, str) else n[0]}`"), F.col(f"`{n if isinstance(n, str) else n[1]}`"), equals()) for n in ([on] if isinstance(on, str) else on)]
     terms += [(_slice_of(l, d), _slice_of(r, d), p) for d, p in (predicates or {}).items()]
     if not terms:
@@ -154,6 +172,8 @@ def match(l: Dataset, r: Dataset, *, on: Sequence = (), predicates: Mapping[str,
     b = _side(r, {f"_y{i}": t[1] for i, t in enumerate(terms)}, RIGHT)
     condition = fold(Column.__and__, (t[2].condition(F.col(f"_x{i}"), F.col(f"_y{i}")) for i, t in enumerate(terms)))
     pairer = next((i for i, t in enumerate(terms) if isinstance(t[2], overlap)), None)
+    if pairer is None and not cross and all(t[2].stage == "filter" for t in terms):
+        raise ValueError("filter predicates need an equality or overlap term, or cross=True for small sides")
     if pairer is None:
         return _plan(a.join(b, condition), l, r, "pair_id", dense)
     pairs = range_join(a.where(f"_x{pairer} is not null"), b.where(f"_y{pairer} is not null"), f"_x{pairer}", f"_y{pairer}", condition, terms[pairer][2].pad)
@@ -216,7 +236,32 @@ def merge(l: Dataset, r: Dataset, plan: Dataset, *, collision: ColumnCollision |
         if f.name not in both:
             out += [F.col(f"`_r_{c}`").alias(c) for c in f.columns]
             fields.append(f)
-    return Dataset(df.select(*out), Schema(tuple(fields)), sources=union_sources(l.sources, r.sources, plan.sources))
+    schema = Schema(tuple(fields))
+    return Dataset(df.select(*out), schema, _carried(l, r, plan, schema, both, collision), union_sources(l.sources, r.sources, plan.sources))
+
+
+def _carried(l: Dataset, r: Dataset, plan: Dataset, schema: Schema, both: set[str], collision: ColumnCollision) -> tuple[Coupling, ...]:
+    """The pending columns of all sides: of an output that both sides have, the chosen side's; those whose inputs the
+    result lacks, or has from the other side, go with a warning."""
+    pending = {id(d): {c.output for c in d.couplings} for d in (l, r)}
+    clash = (pending[id(l)] & ({f.name for f in r.values} | pending[id(r)])) | (pending[id(r)] & {f.name for f in l.values})
+    if clash and collision.mode == "error":
+        raise ValueError(f"both sides have {sorted(clash)}")
+    if clash and collision.mode != "keep":
+        raise ValueError(f"pending columns {sorted(clash)} can only be kept, not filled; consume them first")
+    kept, gone = list(plan.couplings), []
+    for side, d in (("left", l), ("right", r)):
+        lost = (both | clash) if collision.side != side else set()
+        have = {f.name for f in d.values} - lost
+        for c in ordered(d.couplings):
+            if c.output in lost or not set(c.inputs) <= have:
+                gone.append(c.output)
+            else:
+                kept.append(c)
+                have.add(c.output)
+    if gone:
+        warnings.warn(f"pending columns without their inputs go: {gone}", UserWarning, stacklevel=3)
+    return tuple(kept)
 
 
 def _foreign(plan: Dataset, ds: Dataset, name: str | None) -> str:
@@ -244,6 +289,25 @@ def make_plan(target: Dataset, labels, *, source_index_field: str = "source_inde
     return Dataset(labels.select(plan_index_name, source_index_field, *rest), schema, sources=target.sources, metadata={"plan": True})
 
 
+def _plan_from_dataframe(target: Dataset, table, **names) -> Dataset:
+    """make_plan() of a Spark or pandas frame; a pandas index gives the plan's labels."""
+    name, source = names.get("plan_index_name", "plan_id"), names.get("source_index_field", "source_index")
+    if not isinstance(table, DataFrame):
+        flat = table.rename_axis(name).reset_index()
+        kinds = {source: target.df.schema[target.index_name].dataType.simpleString()}
+        made = target.df.sparkSession.createDataFrame(flat)
+        table = made.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in kinds.items()})
+    return make_plan(target, table, **names)
+
+
+def _plan_from_series(target: Dataset, series, **names) -> Dataset:
+    """make_plan() of a pandas Series of labels; its index gives the plan's labels."""
+    return _plan_from_dataframe(target, series.rename(names.get("source_index_field", "source_index")).to_frame(), **names)
+
+
+make_plan.from_dataframe, make_plan.from_series = _plan_from_dataframe, _plan_from_series
+
+
 def explode(source: Dataset, plan: Dataset, *, foreign_index_field: str | None = None, overlay_fields: Sequence[str] | None = None, carry: Sequence[str] = ()) -> Dataset:
     """Source rows gathered by the plan's labels, repeats included; fields that both have take the plan's values.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanweave.dataset import Coupling, Dataset
+from spanweave.dataset import CallSpec, Coupling, Dataset
 from spanweave.dimensions import AxisWindow, CategoricalDimension, Dimension
 from spanweave.operators.columns import with_label, with_row_id
 from spanweave.schema import DataField, DimensionField, DimensionedSliceField, ForeignIndexField, IndexField, Schema
@@ -81,7 +81,7 @@ def compose_slice(ds: Dataset, slice_field: str, bindings: Mapping[str, tuple[st
         return F.when(there, F.struct(*members))
 
     field = DimensionedSliceField(slice_field, dimensions=(*kept, *new.values()))
-    pending = ds.with_(schema=ds.schema.put(field) if old else ds.schema, couplings=(*ds.couplings, Coupling(inputs, slice_field, compute, field)))
+    pending = ds.with_(schema=ds.schema.put(field) if old else ds.schema, couplings=(*ds.couplings, Coupling(inputs, slice_field, compute, field, "compose_slice", CallSpec.of("compose_slice", slice_field=slice_field, bindings=tuple(sorted(bindings.items())), lazy=True))))
     return pending if lazy else pending.consumed(slice_field)
 
 
@@ -100,15 +100,15 @@ def slice_data(ds: Dataset, slice_field: str, data_field: str, *, lazy: bool = F
         return F.when(cut.isNull(), cell).otherwise(cell.withField("slice", cut))
 
     dims = ds.schema.get(slice_field).dimensions if ds.schema.has(slice_field) else field.dimensions
-    out = ds.with_(couplings=(*ds.couplings, Coupling((slice_field, data_field), data_field, compute, replace(field, dimensions=field.dimensions or dims) if isinstance(field, DataField) else DataField(data_field, dimensions=dims, lineage=field.lineage))))
+    out = ds.with_(couplings=(*ds.couplings, Coupling((slice_field, data_field), data_field, compute, replace(field, dimensions=field.dimensions or dims) if isinstance(field, DataField) else DataField(data_field, dimensions=dims, lineage=field.lineage), "slice_data", CallSpec.of("slice_data", slice_field=slice_field, data_field=data_field, lazy=True))))
     return out if lazy else out.consumed(data_field)
 
 
 def materialize(ds: Dataset, fields: str | list[str], *, reader=None) -> Dataset:
     """Records the reading of accessor cells; it runs when consumed, or on row access.
 
-    Inline arrays, texts and bytes are cut by native expressions along one dimension. Other cells need a reader: a
-    function of an accessor column to a Column (see sources.reader()).
+    Inline arrays, texts and bytes are cut by native expressions: nested arrays along all dimensions, outermost first.
+    Other cells need a reader: a function of an accessor column to a Column (see sources.reader()).
     """
     out = ds
     for name in [fields] if isinstance(fields, str) else fields:
@@ -118,10 +118,12 @@ def materialize(ds: Dataset, fields: str | list[str], *, reader=None) -> Dataset
             _cut_check(ds, name, reader)
         dims = (pending[-1].field if pending else field).dimensions
 
-        def compute(cols: dict[str, Column], name: str = name, dims: tuple = dims) -> Column:
-            return reader(cols[name]) if reader is not None else cut_inline(cols[name], dims[0])
+        def compute(cols: dict[str, Column], types: dict, name: str = name, dims: tuple = dims) -> Column:
+            return reader(cols[name]) if reader is not None else cut_inline(cols[name], dims, types[name]["data"].dataType)
 
-        out = out.with_(couplings=(*out.couplings, Coupling((name,), name, compute, DataField(name, dimensions=dims, lineage=field.lineage))))
+        made = DataField(name, dimensions=dims, lineage=field.lineage)
+        call = CallSpec.of("materialize", fields=name, reader=reader)
+        out = out.with_(couplings=(*out.couplings, Coupling((name,), name, compute, made, "materialize", call, typed=True)))
     return out
 
 
@@ -131,32 +133,38 @@ def _cut_check(ds: Dataset, name: str, reader) -> None:
         raise ValueError(f"{name!r} holds no accessor that can be cut natively; give a reader")
 
 
-def cut_inline(accessor: Column, dimension: Dimension) -> Column:
+def cut_inline(accessor: Column, dimensions: tuple[Dimension, ...], kind: T.DataType) -> Column:
     """accessor.data within accessor.slice: [start, stop) positions from 0; a null slice or member is the full extent."""
-    span = accessor["slice"][dimension.name]
+    depth, inner = 0, kind
+    while isinstance(inner, T.ArrayType):
+        depth, inner = depth + 1, inner.elementType
+    axes = depth or 1
+    if axes < len(dimensions):
+        raise ValueError(f"data of {axes} axes has no place for the dimensions {[d.name for d in dimensions]}")
+    return _cut(accessor["data"], accessor["slice"], dimensions, depth > 0)
+
+
+def _span(cut: Column, dimension: Dimension) -> tuple[Column, Column, Column]:
+    """The member, and the first position and the number of positions it takes."""
+    span = cut[dimension.name]
     if isinstance(dimension, CategoricalDimension):
         at = dimension.position(span)
         start, stop = at, at + 1
     else:
         start, stop = dimension.to_index(span["start"], span["stop"])
-    start = F.greatest(F.coalesce(start.cast("int"), F.lit(0)), F.lit(0))
-    end = F.coalesce(stop.cast("int"), F.lit(2**31 - 1))
-    return F.when(span.isNull(), accessor["data"]).otherwise(_part(accessor["data"], start, F.greatest(end - start, F.lit(0))))
+    first = F.greatest(F.coalesce(start.cast("int"), F.lit(0)), F.lit(0))
+    return span, first, F.greatest(F.coalesce(stop.cast("int"), F.lit(2**31 - 1)) - first, F.lit(0))
 
 
-def _part(data: Column, start: Column, n: Column) -> Column:
-    """Deferred choice: slice() for arrays is asked for by array_cut(), substring() serves texts and bytes."""
-    return F.substr(data, start + 1, n)
+def _cut(data: Column, cut: Column, dimensions: tuple[Dimension, ...], nested: bool) -> Column:
+    if not dimensions:
+        return data
+    span, first, many = _span(cut, dimensions[0])
+    part = F.slice(data, first + 1, F.least(many, F.greatest(F.size(data) - first, F.lit(0)))) if nested else F.substr(data, first + 1, many)
+    whole = F.when(span.isNull(), data).otherwise(part)
+    return F.transform(whole, lambda x: _cut(x, cut, dimensions[1:], True)) if len(dimensions) > 1 else whole
 
 
 def array_cut(dimension: Dimension):
-    """A reader for inline arrays."""
-
-    def read(accessor: Column) -> Column:
-        span = accessor["slice"][dimension.name]
-        start, stop = dimension.to_index(span["start"], span["stop"])
-        a = F.greatest(F.coalesce(start.cast("int"), F.lit(0)), F.lit(0))
-        n = F.greatest(F.least(F.coalesce(stop.cast("int"), F.size(accessor["data"])), F.size(accessor["data"])) - a, F.lit(0))
-        return F.when(span.isNull(), accessor["data"]).otherwise(F.slice(accessor["data"], a + 1, n))
-
-    return read
+    """A reader for inline arrays of one axis, whatever dimensions their field tells."""
+    return lambda accessor: _cut(accessor["data"], accessor["slice"], (dimension,), True)

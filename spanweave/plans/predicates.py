@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +13,29 @@ from spanweave.dimensions import overlaps
 
 
 class MatchPredicate:
-    """A condition between a left and a right operand. stage: partitioner (equality), pairer (ranges) or filter."""
+    """A condition between a left and a right operand. stage: partitioner (equality), pairer (ranges) or filter.
+
+    A subclass gives condition(), which Catalyst plans, or only matches(), which then runs per pair on Arrow batches.
+    """
 
     stage = "filter"
 
-    def condition(self, left: Column, right: Column) -> Column:
+    def matches(self, left: Any, right: Any) -> bool:
+        """Whether one left value goes with one right value: what condition() must agree with."""
         raise NotImplementedError
 
+    def correspond(self, left: Sequence, right: Sequence, candidates: Sequence[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        """Positions of the pairs that match, among all or among candidates; for values on the driver."""
+        pairs = candidates if candidates is not None else ((i, j) for i in range(len(left)) for j in range(len(right)))
+        return [(i, j) for i, j in pairs if self.matches(left[i], right[j])]
+
+    def applies_to(self, left: Any, right: Any) -> bool:
+        """Whether fields of these kinds can be compared."""
+        return True
+
+    def condition(self, left: Column, right: Column) -> Column:
+        return F.coalesce(F.udf(lambda a, b: bool(self.matches(a, b)), "boolean", useArrow=True)(left, right), F.lit(False))
+
 
 @dataclass(frozen=True)
 class equals(MatchPredicate):  # noqa: N801
@@ -25,6 +43,17 @@ class equals(MatchPredicate):  # noqa: N801
 
     stage = "partitioner"
 
+    def matches(self, left: Any, right: Any) -> bool:
+        return left is not None and right is not None and left == right
+
+    def correspond(self, left: Sequence, right: Sequence, candidates: Sequence[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        if candidates is not None:
+            return super().correspond(left, right, candidates)
+        where: dict[Any, list[int]] = {}
+        for j, v in enumerate(right):
+            where.setdefault(v, []).append(j)
+        return [(i, j) for i, v in enumerate(left) if v is not None for j in where.get(v, ())]
+
     def condition(self, left: Column, right: Column) -> Column:
         return left == right
 
@@ -36,33 +65,69 @@ class overlap(MatchPredicate):  # noqa: N801
     pad: float = 0
     stage = "pairer"
 
+    def matches(self, left: Any, right: Any) -> bool:
+        if left is None or right is None:
+            return False
+        (a, b), (c, d) = (tuple(x.values()) if isinstance(x, dict) else (x.start, x.stop) if hasattr(x, "start") else tuple(x) for x in (left, right))
+        return None not in (a, b, c, d) and c < b + self.pad and d > a - self.pad
+
+    def applies_to(self, left: Any, right: Any) -> bool:
+        return left.comparable_with(right)
+
     def condition(self, left: Column, right: Column) -> Column:
         return overlaps(left, right, self.pad)
 
 
-#: An interval is put into this many bins at most; the bin width follows.
-MOST_BINS = 64
+def assert_predicate_contract(predicate: MatchPredicate, left: Sequence, right: Sequence, df: DataFrame | None = None) -> None:
+    """correspond() finds what matches() accepts, within candidates too; and, given a frame of all pairs (i, j, left,
+    right), so does condition()."""
+    expected = {(i, j) for i in range(len(left)) for j in range(len(right)) if predicate.matches(left[i], right[j])}
+    assert set(predicate.correspond(left, right)) == expected, "correspond() and matches() differ"
+    some = [(i, j) for i in range(len(left)) for j in range(len(right)) if (i + j) % 2 == 0]
+    assert set(predicate.correspond(left, right, some)) == expected & set(some), "correspond() leaves its candidates"
+    assert predicate.stage in ("partitioner", "pairer", "filter"), "unknown stage"
+    if df is not None:
+        found = {(r.i, r.j) for r in df.where(predicate.condition(F.col("left"), F.col("right"))).select("i", "j").collect()}
+        assert found == expected, "condition() and matches() differ"
+
+
+#: An interval of level m is at most BASE ** m long and touches SPLIT + 1 cells of its level at most.
+BASE, SPLIT = 4.0, 16.0
+#: Levels below a value's own magnitude that cells can still be told apart at: 16 * 4 ** 24 is below 2 ** 53.
+DEPTH = 24
 
 
-def bin_width(left: DataFrame, right: DataFrame, a: Column, b: Column, pad: float) -> float:
-    """Near the longer side's median length, and so wide that no interval takes more than MOST_BINS bins: one small job."""
-    length = lambda df, c: df.select((c["stop"] - c["start"]).cast("double").alias("n")).agg(F.percentile_approx("n", 0.5).alias("m"), F.max("n").alias("x")).first()
-    p, q = length(left, a), length(right, b)
-    return max((p.m or 0) + 2 * pad, q.m or 0, ((p.x or 0) + 2 * pad) / MOST_BINS, (q.x or 0) / MOST_BINS) or 1.0
+def _level(start: Column, stop: Column, pad: float) -> Column:
+    """The level of an interval by its length: one long interval among short ones is alone on its level."""
+    log = lambda x: F.ceil(F.log(BASE, F.greatest(x, F.lit(1e-30)))).cast("int")
+    low, high = start.cast("double") - F.lit(float(pad)), stop.cast("double") + F.lit(float(pad))
+    return F.greatest(log(high - low), log(F.greatest(F.abs(low), F.abs(high), F.lit(1e-6))) - F.lit(DEPTH))
 
 
-def range_join(left: DataFrame, right: DataFrame, a: str, b: str, condition: Column, pad: float = 0, width: float | None = None) -> DataFrame:
-    """Inner theta join of interval columns a and b that overlap, as an equality join on bins.
+def range_join(left: DataFrame, right: DataFrame, a: str, b: str, condition: Column, pad: float = 0) -> DataFrame:
+    """Inner theta join of interval columns a and b that overlap, as an equality join on cells of levels.
 
-    Both sides stand once in each bin they touch; a pair is taken in the one bin where its overlap begins, so each pair
-    comes once. No side is broadcast or crossed. Equalities in the condition join the bin as keys, so even one key that
-    holds a large share of the rows is dealt out by its bins.
+    Intervals stand at the level of their length. Two of them meet at the coarser one's level: each row stands once in
+    each cell that it touches, at its own level and at those coarser levels that the other side has (a scalar subquery
+    of the same query, so nothing runs before it). A pair is taken in the one cell of that level where its overlap
+    begins. So an outlier of any length only adds a level, and no side is broadcast or crossed. Equalities in the
+    condition join the cell as keys, so even one key that holds a large share of the rows is dealt out by its cells.
     """
     x, y = F.col(a), F.col(b)
-    w = width or bin_width(left, right, x, y, pad)
-    cell = lambda v: F.floor(v.cast("double") / F.lit(w)).cast("long")
-    low, high = x["start"] - F.lit(pad), x["stop"] + F.lit(pad)
-    l_bins = left.withColumn("_bin", F.explode(F.sequence(cell(low), cell(high))))
-    r_bins = right.withColumn("_bin_r", F.explode(F.sequence(cell(y["start"]), cell(y["stop"]))))
-    begin = cell(F.greatest(low.cast("double"), y["start"].cast("double")))
-    return l_bins.join(r_bins, (F.col("_bin") == F.col("_bin_r")) & condition & (F.col("_bin") == begin)).drop("_bin", "_bin_r")
+    l = left.withColumn("_lv", _level(x["start"], x["stop"], pad)).where("_lv is not null")
+    r = right.withColumn("_rv", _level(y["start"], y["stop"], 0)).where("_rv is not null")
+    l_has, r_has = l.agg(F.collect_set("_lv")).scalar(), r.agg(F.collect_set("_rv")).scalar()
+    grid = lambda v, m: F.floor(v.cast("double") * F.lit(SPLIT) / F.pow(F.lit(BASE), m)).cast("long")
+
+    def dealt(df: DataFrame, own: str, others: Column, level: str, cell: str, low: Column, high: Column) -> DataFrame:
+        """Levels where something of the other side can meet the row: its own if a level up to it is there, and coarser ones."""
+        met = F.array_distinct(F.transform("_has", lambda m: F.greatest(m, F.col(own))))
+        at = df.withColumn("_has", F.coalesce(others, F.array().cast("array<int>"))).withColumn(level, F.explode(met)).drop("_has")
+        return at.withColumn(cell, F.explode(F.sequence(grid(low, F.col(level)), F.greatest(grid(high, F.col(level)), grid(low, F.col(level))))))
+
+    low, high = x["start"].cast("double") - F.lit(float(pad)), x["stop"].cast("double") + F.lit(float(pad))
+    l_cells = dealt(l, "_lv", r_has, "_ll", "_lc", low, high)
+    r_cells = dealt(r, "_rv", l_has, "_rl", "_rc", y["start"].cast("double"), y["stop"].cast("double"))
+    begin = grid(F.greatest(low, y["start"].cast("double")), F.col("_ll"))
+    once = (F.col("_ll") == F.greatest("_lv", "_rv")) & (F.col("_lc") == begin)
+    return l_cells.join(r_cells, (F.col("_ll") == F.col("_rl")) & (F.col("_lc") == F.col("_rc")) & once & condition).drop("_lv", "_rv", "_ll", "_rl", "_lc", "_rc")
