@@ -213,18 +213,19 @@ class Dataset:
         found = self.consumed().df.where(F.lit(True) if not labels else _all(F.col(f"`{n}`") == F.lit(v) for n, v in zip(self.index_names, labels))).limit(1).collect()
         if not found:
             raise KeyError(key)
-        return exited(found[0])
+        return exited(found[0], self.schema)
 
-    def rows(self, fields: str | list[str] | None = None) -> Iterator[dict]:
-        """All rows as dicts, pending columns computed, one partition at a time on the driver."""
-        df = self.consumed().df
-        if fields is not None:
-            df = df.select(*self.index_names, *([fields] if isinstance(fields, str) else fields))
-        return (exited(r) for r in df.toLocalIterator(prefetchPartitions=True))
+    def rows(self, fields: str | list[str] | None = None) -> RowSequence:
+        """The rows as dicts, pending columns computed: to iterate, by position, or by batches of positions."""
+        return RowSequence(self, [fields] if isinstance(fields, str) else fields)
 
     def field(self, name: str) -> FieldHandle:
         return FieldHandle(DatasetContext(self), self.schema.get(name).lineage)
 
+    def fields(self, *names: str) -> FieldSelection:
+        """Handles of several fields in one context."""
+        return DatasetContext(self).fields(*names)
+
     def context(self) -> DatasetContext:
         return DatasetContext(self)
 
@@ -242,6 +243,7 @@ def _all(conditions: Iterator[Column]) -> Column:
 
 
 _exits: dict[type, Callable[[Any], Any]] = {}
+_field_exits: dict[type, Callable[[Field, Any], Any]] = {}
 
 
 def register_exit(kind: type, convert: Callable[[Any], Any]) -> None:
@@ -249,35 +251,125 @@ def register_exit(kind: type, convert: Callable[[Any], Any]) -> None:
     _exits[kind] = convert
 
 
-def exited(value: Any) -> Any:
+def register_field_exit(kind: type, convert: Callable[[Field, Any], Any]) -> None:
+    """How values of a kind of field, or of those derived from it, leave in row dicts; it precedes register_exit()."""
+    _field_exits[kind] = convert
+
+
+def exited(value: Any, schema: Schema | None = None) -> Any:
     for kind in type(value).__mro__:
         if kind in _exits:
             return _exits[kind](value)
     if isinstance(value, Row):
-        return {k: exited(v) for k, v in value.asDict().items()}
+        return {k: _left(schema, k, v) for k, v in value.asDict().items()}
     if isinstance(value, list):
         return [exited(v) for v in value]
     return value
 
 
+def _left(schema: Schema | None, name: str, value: Any) -> Any:
+    if schema is not None and schema.has(name):
+        f = schema.get(name)
+        for kind in type(f).__mro__:
+            if kind in _field_exits:
+                return _field_exits[kind](f, value)
+    return exited(value)
+
+
+class RowSequence:
+    """Rows on the driver. Iterating streams one partition at a time. Positions follow the index's order: the first
+    access by position numbers the rows once, in a stored table; each further one reads just the rows it names."""
+
+    def __init__(self, dataset: Dataset, fields: list[str] | None = None):
+        self.dataset = dataset
+        done = dataset.consumed()
+        self.schema = done.schema
+        self.df = done.df if fields is None else done.df.select(*dataset.index_names, *(f for f in fields if f not in dataset.index_names))
+        self._stored: DataFrame | None = None
+
+    def __iter__(self) -> Iterator[dict]:
+        return (exited(r, self.schema) for r in self.df.toLocalIterator(prefetchPartitions=True))
+
+    def __len__(self) -> int:
+        return self.df.count()
+
+    def _numbered(self) -> DataFrame:
+        if self._stored is None:
+            from spanweave.operators.columns import with_row_id
+            from spanweave.storage import written
+
+            self._stored = written(with_row_id(self.df, "_pos", list(self.dataset.index_names)))
+        return self._stored
+
+    def __getitem__(self, at: int | slice) -> Any:
+        if isinstance(at, slice):
+            return self.__getitems__(list(range(*at.indices(len(self)))))
+        return self.__getitems__([at])[0]
+
+    def __getitems__(self, positions: list[int]) -> list[dict]:
+        """The rows at some positions, repeats included, in one query."""
+        n = len(self) if any(p < 0 for p in positions) else 0
+        wanted = [p + n if p < 0 else p for p in positions]
+        kept = self._numbered().where(F.col("_pos").isin(sorted(set(wanted))))
+        found = {r["_pos"]: r for r in kept.collect()}
+        lost = [p for p in wanted if p not in found]
+        if lost:
+            raise IndexError(f"no rows at {lost[:5]}")
+        out = []
+        for p in wanted:
+            row = exited(found[p], self.schema)
+            row.pop("_pos")
+            out.append(row)
+        return out
+
+
+_active: ContextVar[DatasetContext | None] = ContextVar("active", default=None)
+
+
+def active_context() -> DatasetContext | None:
+    """The innermost context that a `with` holds."""
+    return _active.get()
+
+
 class DatasetContext:
-    """A cursor over an immutable dataset: operators given its handles move it on."""
+    """A cursor over an immutable dataset: operators given its handles move it on.
+
+    Within `with context:` unary operators may be called without a dataset; they take and move this one.
+    """
 
     def __init__(self, dataset: Dataset):
         self.dataset = dataset
+        self._tokens: list = []
+
+    def __enter__(self) -> DatasetContext:
+        self._tokens.append(_active.set(self))
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        _active.reset(self._tokens.pop())
 
     def __getitem__(self, name: str) -> FieldHandle:
         return FieldHandle(self, self.dataset.schema.get(name).lineage)
 
-    def __setitem__(self, name: str, value: Any) -> None:
+    def __setitem__(self, name: str | Field, value: Any) -> None:
+        if isinstance(name, Field):
+            name, value = name.name, (name, value)
         self.dataset = self.dataset.assign(**{name: value})
 
+    def fields(self, *names: str) -> FieldSelection:
+        return FieldSelection(self, tuple(self[n] for n in names or self.dataset.schema.names()))
+
     def new_field(self, new: Field) -> FieldHandle:
         from spanweave.operators.columns import new_field
 
         self.dataset = new_field(self.dataset, new)
         return self[new.name]
 
+    def adopt(self, dataset: Dataset) -> DatasetContext:
+        """Moves the cursor to another dataset."""
+        self.dataset = dataset
+        return self
+
     def branch(self) -> DatasetContext:
         return DatasetContext(self.dataset)
 
@@ -291,15 +383,89 @@ class FieldHandle:
 
     @property
     def name(self) -> str:
-        found = [f.name for f in self.context.dataset.schema.fields if f.lineage == self.lineage]
+        pending = [c.field for c in self.context.dataset.couplings if c.field is not None]
+        found = {f.name for f in (*self.context.dataset.schema.fields, *pending) if f.lineage == self.lineage}
         if len(found) != 1:
             raise ValueError("the field is gone" if not found else "the field is ambiguous")
-        return found[0]
+        return found.pop()
 
     @property
     def column(self) -> Column:
         return F.col(f"`{self.name}`")
 
+    @property
+    def loc(self) -> _Labels:
+        """Values by row label: handle.loc[label], handle.loc[[labels]]; assigning sets them in the context's dataset."""
+        return _Labels(self)
+
     def collect(self) -> Dataset:
         """The context's dataset with the pending work of this field done."""
         return self.context.dataset.consumed(self.name)
+
+    def items(self) -> Iterator[tuple[Any, Any]]:
+        """(label, value) of each row, pending work done."""
+        ds, name = self.collect(), self.name
+        keys = ds.index_names
+        for r in ds.df.select(*keys, name).toLocalIterator():
+            yield r[0] if len(keys) == 1 else tuple(r[k] for k in keys), _left(ds.schema, name, r[name])
+
+    def __iter__(self) -> Iterator[Any]:
+        return (v for _, v in self.items())
+
+
+@dataclass(frozen=True)
+class _Labels:
+    handle: FieldHandle
+
+    def _rows(self, ds: Dataset, labels: Any) -> Column:
+        key = F.col(f"`{ds.index_name}`")
+        if isinstance(labels, Column):
+            return labels
+        if isinstance(labels, slice):  # of labels, both ends included
+            return _all(c for c in ((key >= F.lit(labels.start)) if labels.start is not None else F.lit(True), (key <= F.lit(labels.stop)) if labels.stop is not None else F.lit(True)))
+        return key.isin(list(labels)) if isinstance(labels, (list, tuple, set)) else key == F.lit(labels)
+
+    def __getitem__(self, labels: Any) -> Any:
+        ds, name = self.handle.collect(), self.handle.name
+        got = {r[0]: _left(ds.schema, name, r[1]) for r in ds.df.where(self._rows(ds, labels)).select(ds.index_name, name).collect()}
+        if isinstance(labels, (list, tuple)):
+            return [got[x] for x in labels]
+        if isinstance(labels, (Column, slice, set)):
+            return got
+        return got[labels]
+
+    def __setitem__(self, labels: Any, value: Any) -> None:
+        context, name = self.handle.context, self.handle.name
+        old = F.col(f"`{name}`")
+        context.dataset = context.dataset.assign(**{name: F.when(self._rows(context.dataset, labels), value if isinstance(value, Column) else F.lit(value)).otherwise(old)})
+
+
+@dataclass(frozen=True)
+class FieldSelection:
+    """Handles of one context, as one operand."""
+
+    context: DatasetContext
+    handles: tuple[FieldHandle, ...]
+
+    def __iter__(self) -> Iterator[FieldHandle]:
+        return iter(self.handles)
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(h.name for h in self.handles)
+
+    def collect(self) -> Dataset:
+        """The context's dataset with the pending work of these fields done, and just these fields."""
+        from spanweave.operators.columns import keep
+
+        ds = self.context.dataset
+        for n in self.names:
+            ds = ds.consumed(n)
+        index = ds.schema.index
+        return keep(ds, [*([index.name] if index and index.name not in self.names else []), *self.names])
+
+
+def one_context(handles: list[FieldHandle]) -> DatasetContext:
+    if len({id(h.context) for h in handles}) != 1:
+        raise ValueError("the handles belong to different contexts")
+    return handles[0].context

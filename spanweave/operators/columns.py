@@ -8,11 +8,12 @@ from dataclasses import replace
 from functools import wraps
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.dataset import CallSpec, Coupling, Dataset, FieldHandle, SourceInfo, strict
+from spanweave.dataset import CallSpec, Coupling, Dataset, FieldHandle, SourceInfo, one_context, strict
 from spanweave.schema import (
     CompositeField, CompositeIndexField, Field, ForeignIndexField, IndexColumnField, IndexField, IndexIdentity, Schema, ValueField, spark_type,
 )
@@ -49,7 +50,7 @@ def checked_unique(ds: Dataset) -> Dataset:
 
 
 def _names(ds: Dataset, fields: str | FieldHandle | Sequence) -> list[str]:
-    given = [fields] if isinstance(fields, (str, FieldHandle)) else list(fields)
+    given = [fields] if isinstance(fields, (str, FieldHandle)) else list(fields)  # a FieldSelection lists its handles
     out = [f.name if isinstance(f, FieldHandle) else f for f in given]
     for n in out:
         ds.schema.get(n)
@@ -95,9 +96,21 @@ def rename(ds: Dataset, names: dict[str, str]) -> Dataset:
     return ds.with_(ds.df.withColumnsRenamed(names), schema, couplings=tuple(c.renamed(names) for c in ds.couplings))
 
 
-def assign(ds: Dataset, **columns: Any) -> Dataset:
-    """Adds or overwrites fields: values are Columns, literals, functions of the dataset, (Field, value), or a Dataset
-    or DataFrame of (index, column) whose values are aligned by label."""
+def assign(ds: Dataset | Sequence[FieldHandle], values: Any = None, *, couplings: Sequence[Coupling] = (), **columns: Any) -> Dataset:
+    """Adds or overwrites fields: values are Columns, literals, functions of the dataset, (Field, value), a Dataset or
+    DataFrame of (index, column) or a pandas Series whose values are aligned by label, or a list of as many values as
+    rows, in the order of the index.
+
+    Given handles and a value for each, their context is moved on. couplings are recorded as pending.
+    """
+    if not isinstance(ds, Dataset):
+        handles = [ds] if isinstance(ds, FieldHandle) else list(ds)
+        context = one_context(handles)
+        given = [values] if len(handles) == 1 and not isinstance(values, (list, tuple)) else list(values)
+        if len(given) != len(handles):
+            raise ValueError(f"{len(handles)} handles, {len(given)} values")
+        context.dataset = assign(context.dataset, couplings=couplings, **{h.name: v for h, v in zip(handles, given)})
+        return context.dataset
     df, schema = ds.df, ds.schema
     plain: dict[str, Column] = {}
     for name, value in columns.items():
@@ -106,6 +119,10 @@ def assign(ds: Dataset, **columns: Any) -> Dataset:
             spec, value = value
         if schema.has(name) and isinstance(schema.get(name), CompositeField) and not isinstance(value, Column):
             raise ValueError(f"{name!r} is composite")
+        if isinstance(value, (list, np.ndarray)):
+            value, df = _positional(ds, df, name, list(value), spec)
+        if isinstance(value, pd.Series):
+            value = _labelled(ds, value.rename(name))
         if isinstance(value, (DataFrame, Dataset)):
             other = value.df if isinstance(value, Dataset) else value
             own = [c for c in other.columns if c not in ds.index_names][-1]
@@ -117,13 +134,41 @@ def assign(ds: Dataset, **columns: Any) -> Dataset:
         if spec is not None and old is not None and (type(spec) is not type(old) or spec.dtype != old.dtype):
             raise ValueError(f"{name!r} is already defined otherwise")
         schema = schema.put(replace(spec, name=name) if spec is not None else old or ValueField(name))
-    return ds.with_(df.withColumns(plain) if plain else df, schema)
-
-
-def add_column(ds: Dataset, new: Field, values: Any) -> Dataset:
+    df = df.withColumns(plain) if plain else df
+    return ds.with_(df.drop(*(c for c in df.columns if c.startswith("_given_"))), schema, couplings=(*ds.couplings, *couplings))
+
+
+def _labelled(ds: Dataset, values: pd.Series) -> DataFrame:
+    """(index, value) of a Series, which comes from the driver."""
+    kinds = [ds.df.schema[n].dataType for n in ds.index_names]
+    made = ds.df.sparkSession.createDataFrame(values.rename_axis(list(ds.index_names)).reset_index())
+    return made.select(*(F.col(f"`{n}`").cast(k).alias(n) for n, k in zip(ds.index_names, kinds)), values.name)
+
+
+def _positional(ds: Dataset, df: DataFrame, name: str, values: list, spec: Field | None) -> tuple[Column, DataFrame]:
+    """Values given in the index's order; there must be one for each row."""
+    kind = spark_type(spec.dtype).simpleString() if spec is not None and spec.dtype is not None else None
+    spark = df.sparkSession
+    plain = [v.item() if isinstance(v, np.generic) else v for v in values]
+    schema = f"_pos long, _v {kind}" if kind else None
+    given = spark.createDataFrame(list(enumerate(plain)), schema or ["_pos", "_v"])
+    numbered = with_row_id(df, "_pos", list(ds.index_names))
+    if strict() and numbered.count() != len(values):
+        raise ValueError(f"{name!r}: {len(values)} values for another number of rows")
+    there = numbered.join(given.withColumn("_there", F.lit(True)), "_pos", "left")
+    value = F.when(F.col("_there").isNull(), F.raise_error(F.lit(f"{name}: too few values")).cast(given.schema["_v"].dataType)).otherwise(F.col("_v"))
+    return F.col(f"_given_{name}"), there.withColumn(f"_given_{name}", value).drop("_pos", "_v", "_there")
+
+
+def add_column(ds: Dataset | FieldHandle, new: Any, values: Any = None, *, couplings: Sequence[Coupling] = ()) -> Dataset:
+    """A new typed field; of a handle whose field is declared only, its values (add_column(handle, values))."""
+    if isinstance(ds, FieldHandle):
+        return assign([ds], [new], couplings=couplings)
+    if isinstance(values, pd.Series):
+        values = values.tolist()  # by position
     if ds.schema.has(new.name):
         raise ValueError(f"duplicate field {new.name!r}")
-    return assign(ds, **{new.name: (new, values)})
+    return assign(ds, couplings=couplings, **{new.name: (new, values)})
 
 
 def new_field(ds: Dataset, new: Field) -> Dataset:
@@ -231,26 +276,53 @@ def link(ds: Dataset, target: Dataset, field: str, *, allow_dangling: bool = Fal
     return ds.with_(schema=ds.schema.put(ForeignIndexField(field, dtype=old.dtype, target=target.identity, lineage=old.lineage)))
 
 
-def pipe(ds: Dataset, fn: Callable[..., DataFrame], *args: Any, schema: Schema | None = None, **more: Any) -> Dataset:
-    """fn(dataset) -> DataFrame. Without a schema the result keeps the dataset's (labels must be among its rows'); with
-    one it is a new dataset with its own identity and no pending columns."""
-    df = fn(ds, *args, **more)
-    if schema is not None:
-        schema.check(df.schema)
-        return checked_unique(Dataset(df, schema, sources=ds.sources))
-    ds.schema.check(df.schema)
-    if strict() and ds.index_names and df.select(*ds.index_names).join(ds.df.select(*ds.index_names), list(ds.index_names), "left_anti").limit(1).count():
-        raise ValueError("new row labels need a schema of their own")
-    return checked_unique(ds.with_(df))
+_MODES = {"schema": ("preserve", "construct"), "identity": ("preserve", "inherit", "mint"), "couplings": ("derive", "inherit", "clear"), "sources": ("inherit", "clear")}
+
 
+def pipe(ds: Dataset, fn: Callable[..., DataFrame], *args: Any, schema: Schema | None = None, transitions: dict[str, str] | None = None, **more: Any) -> Dataset:
+    """fn(dataset) -> DataFrame. Without a schema the result keeps the dataset's (labels must be among its rows'); with
+    one it is a new dataset with its own identity and no pending columns.
 
-def table_transform(*, schema: Schema | None = None) -> Callable:
+    transitions overrides that by aspect: schema preserve or construct; identity preserve, inherit (the dataset's, for
+    labels among its rows') or mint; couplings derive (those whose inputs are left), inherit or clear; sources inherit
+    or clear.
+    """
+    told = transitions or {}
+    for aspect, mode in told.items():
+        if aspect not in _MODES:
+            raise ValueError(f"unknown aspect {aspect!r}")
+        if mode not in _MODES[aspect]:
+            raise NotImplementedError(f"{aspect}={mode!r}")
+    if (told.get("schema") == "construct") != (schema is not None) and "schema" in told:
+        raise ValueError("schema='construct' goes with a schema, 'preserve' without one")
+    identity = told.get("identity", "mint" if schema is not None else "inherit")
+    couplings = told.get("couplings", "clear" if schema is not None else "inherit")
+    df = fn(ds, *args, **more)
+    made = schema or ds.schema
+    made.check(df.schema)
+    if made.index is not None and not isinstance(made.index, CompositeIndexField):
+        if identity == "mint":
+            made = made.put(replace(made.index, identity=IndexIdentity())) if schema is None else made
+        elif ds.schema.index is not None:
+            made = made.put(replace(made.index, identity=ds.identity))
+    if identity != "mint" and strict() and ds.index_names and made.index is not None:
+        names = list(made.index.columns)
+        if len(names) == len(ds.index_names):
+            own = ds.df.select(*(F.col(o).alias(n) for o, n in zip(ds.index_names, names)))
+            if df.select(*names).join(own, names, "left_anti").limit(1).count():
+                raise ValueError("new row labels need a schema of their own")
+    kept = () if couplings == "clear" else ds.couplings if couplings == "inherit" else tuple(c for c in ds.couplings if all(made.has(i) for i in c.inputs))
+    sources = () if told.get("sources") == "clear" else ds.sources
+    return checked_unique(Dataset(df, made, kept, sources, {} if schema is not None else ds.metadata))
+
+
+def table_transform(*, schema: Schema | None = None, transitions: dict[str, str] | None = None) -> Callable:
     """Decorator: a named pipe()."""
 
     def named(fn: Callable[..., DataFrame]) -> Callable[..., Dataset]:
         @wraps(fn)
         def run(ds: Dataset, *args: Any, **more: Any) -> Dataset:
-            return pipe(ds, fn, *args, schema=schema, **more)
+            return pipe(ds, fn, *args, schema=schema, transitions=transitions, **more)
 
         run.pipe_fn = fn
         return run

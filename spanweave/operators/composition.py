@@ -14,8 +14,19 @@ from spanweave.operators.joins import ColumnCollision
 from spanweave.schema import CompositeField, CompositeIndexField, DimensionField, Field, IndexColumnField, IndexField, IndexIdentity, Schema, ValueField
 
 
+_policies: dict[type, Callable[[Field, Field], Field]] = {}
+
+
+def register_field_policy(kind: type, compose: Callable[[Field, Field], Field]) -> None:
+    """How two fields of a kind, or of those derived from it, become the field of rows from both; raise to refuse."""
+    _policies[kind] = compose
+
+
 def _composed(a: Field, b: Field) -> Field:
     """The field of rows from both."""
+    for kind in type(a).__mro__:
+        if kind in _policies:
+            return _policies[kind](a, b)
     if type(a) is not type(b):
         raise ValueError(f"field {a.name!r} is {type(a).__name__} and {type(b).__name__}")
     if isinstance(a, (CompositeField, CompositeIndexField)):

@@ -27,7 +27,10 @@ class Fibers:
         return self.base.schema.add(BundleField(self.into))
 
     def nested(self, order: Sequence[str] | None = None) -> DataFrame:
-        """base with the column `into`, an array of member structs, sorted by the members' labels or by `order` columns."""
+        """base with the column `into`, an array of member structs, sorted by the members' labels or by `order` columns.
+
+        A fiber becomes one cell: use it where the largest group fits a task, else stay with members and reducers.
+        """
         first = list(order or self.members.index_names)
         rest = [c for c in self.members.df.columns if c not in first]
         cell = F.sort_array(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in [*first, *rest])))).alias(self.into)
@@ -41,6 +44,10 @@ class Fibers:
     def table(self) -> DataFrame:
         return self.nested()
 
+    def field(self, name: str) -> FiberHandle:
+        """A handle on the fibers, or on a pending aggregate of them."""
+        return FiberContext(self)[name]
+
     def __getitem__(self, label: Any) -> dict:
         from spanweave.dataset import exited
 
@@ -54,6 +61,70 @@ class Fibers:
         return exited(row)
 
 
+class FiberContext:
+    """Pending aggregates over one grouping: reducers given its fiber handle are recorded, and made in one aggregation."""
+
+    def __init__(self, fibers: Fibers):
+        self.fibers, self.pending = fibers, {}
+
+    def __getitem__(self, name: str) -> FiberHandle:
+        if name != self.fibers.into and name not in self.pending and not self.fibers.base.schema.has(name):
+            raise ValueError(f"unknown field {name!r}")
+        return FiberHandle(self, name)
+
+    def defer(self, out: str, reducer: ReducingOperator) -> FiberHandle:
+        if out in self.pending or out in self.fibers.base.index_names:
+            raise ValueError(f"field {out!r} exists")
+        self.pending[out] = reducer
+        return FiberHandle(self, out)
+
+    def collect(self) -> Dataset:
+        return reduced(self.fibers, dict(self.pending))
+
+
+@dataclass(frozen=True)
+class FiberHandle:
+    context: FiberContext
+    name: str
+
+    def collect(self) -> Dataset:
+        """All pending aggregates; of the fibers themselves, their rows."""
+        return flatten(self.context.fibers) if self.name == self.context.fibers.into else self.context.collect()
+
+
+def map_fibers(fibers: Fibers | FiberHandle, fn: Any, out: str, *, dtype: Any = None) -> Dataset:
+    """One value per group from its whole fiber, opaque to Spark.
+
+    Without dtype fn builds a Column from the fiber as an array of member structs. With one it is Python, given a pandas
+    frame of the members sorted by their labels (an empty one for a group without any). Either way a group is in one
+    task at a time: it must fit there. Reducers have no such bound.
+    """
+    if isinstance(fibers, FiberHandle):
+        fibers = fibers.context.fibers
+    keys = list(fibers.base.index_names)
+    if fibers.base.schema.has(out):
+        raise ValueError(f"field {out!r} exists")
+    if dtype is None:
+        df = fibers.nested().withColumn(out, fn(F.col(f"`{fibers.into}`"))).select(*fibers.base.df.columns, out)
+        return Dataset(df, fibers.base.schema.add(ValueField(out)), sources=fibers.base.sources, metadata=fibers.base.metadata)
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    members, by, order = fibers.members.df, list(fibers.by), list(fibers.members.index_names)
+    columns = list(members.columns)
+    kind = T.StructType([*(T.StructField(f"_g{i}", members.schema[b].dataType) for i, b in enumerate(by)), T.StructField(out, spark_type(dtype))])
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, fn(group.sort_values(order, ignore_index=True))]], columns=[f.name for f in kind])
+
+    made = members.groupBy(*(f"`{b}`" for b in by)).applyInPandas(run, kind)
+    df = fibers.base.df.join(made, [fibers.base.df[k] == made[f"_g{i}"] for i, k in enumerate(keys)], "left")
+    if _total(fibers):
+        empty = fn(pd.DataFrame({c: [] for c in columns}))
+        df = df.withColumn(out, F.when(F.col("_g0").isNull(), F.lit(empty).cast(spark_type(dtype))).otherwise(F.col(out)))
+    return Dataset(df.select(*fibers.base.df.columns, out), fibers.base.schema.add(ValueField(out, dtype=dtype)), sources=fibers.base.sources, metadata=fibers.base.metadata)
+
+
 def partition(ds: Dataset, by: str | Sequence[str], domain: Dataset | None = None, *, into: str = "fiber", null_keys: str = "error") -> Fibers:
     """Fibers by one key, or by several (base index `key` of several levels).
 
@@ -127,8 +198,9 @@ class ReducingOperator:
     def expression(self) -> Column:
         raise NotImplementedError
 
-    def __call__(self, fibers: Fibers, *, out: str) -> Dataset:
-        return reduced(fibers, {out: self})
+    def __call__(self, fibers: Fibers | FiberHandle, *, out: str) -> Dataset | FiberHandle:
+        """Of fibers: the aggregate. Of a handle on them: recorded as pending, with a handle on it."""
+        return fibers.context.defer(out, self) if isinstance(fibers, FiberHandle) else reduced(fibers, {out: self})
 
 
 class Sum(ReducingOperator):

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from spanweave import dimensions
 from spanweave import schema as fields
 from spanweave.dataset import Dataset, SourceInfo
+from spanweave.dimensions import Dimension
 from spanweave.operators.columns import with_row_id
 from spanweave.schema import IndexField, IndexIdentity, Schema
 
@@ -23,30 +29,85 @@ def read_table(spark: SparkSession, path: str, index: str | list[str] | None = N
     return Dataset(df, Schema((*head, *rest)), sources=(SourceInfo(path, format),))
 
 
-def _told(f: fields.Field) -> dict:
-    identity = getattr(f, "identity", None)
-    target = getattr(f, "target", None)
-    return {"kind": type(f).__name__, "name": f.name, "lineage": f.lineage, "primary": f.primary} | ({"identity": identity.id} if identity else {}) | ({"target": target.id} if target else {}) | ({"levels": f.levels} if isinstance(f, fields.CompositeIndexField) else {})
-
-
-def _field(told: dict) -> fields.Field:
-    kind = getattr(fields, told["kind"])
-    more = {k: IndexIdentity(told[k]) for k in ("identity", "target") if k in told}
-    if "levels" in told:
-        more["levels"] = tuple(told["levels"])
-    return kind(told["name"], lineage=told["lineage"], **more)
+class CreationOperator:
+    """Base of readers that make datasets: make_source() opens what is read, build() makes the dataset of it, and the
+    dataset gets generate_source_info() as its provenance. Sources are registered with the manager, if one is given."""
+
+    source_type = "custom"
+
+    def make_source(self, **params: Any) -> Any:
+        return None
+
+    def generate_source_info(self, **params: Any) -> SourceInfo:
+        told = ",".join(f"{k}={v}" for k, v in sorted(params.items()) if isinstance(v, (str, int, float, bool)))
+        return SourceInfo(f"{self.source_type}://{told}", self.source_type)
+
+    def build(self, spark: SparkSession, source: Any, **params: Any) -> Dataset:
+        raise NotImplementedError
+
+    def __call__(self, spark: SparkSession, *, source_manager: Any = None, **params: Any) -> Dataset:
+        source = self.make_source(**params)
+        if source is not None and source_manager is not None:
+            source_manager.register(source)
+        made = self.build(spark, source, **params)
+        return made if made.sources else dataclasses.replace(made, sources=(self.generate_source_info(**params),))
+
+
+def foreach_chunk(stream: DataFrame, write: Callable[[DataFrame, int], None]):
+    """A streaming writer that hands each micro-batch to write(frame, batch number): rows() and offload() of a stream."""
+    return stream.writeStream.foreachBatch(write)
+
+
+def _told(value: Any) -> Any:
+    """A field, or what it holds, as JSON."""
+    if isinstance(value, fields.Field):
+        return {"$field": type(value).__name__} | {f.name: _told(getattr(value, f.name)) for f in dataclasses.fields(value)}
+    if isinstance(value, IndexIdentity):
+        return {"$identity": value.id}
+    if isinstance(value, Dimension):
+        return {"$dimension": type(value).__name__} | {f.name: _told(getattr(value, f.name)) for f in dataclasses.fields(value)}
+    if isinstance(value, T.DataType):
+        return {"$spark": value.json()}
+    if isinstance(value, type):
+        return {"$type": value.__name__}
+    if isinstance(value, (tuple, list)):
+        return {"$tuple": [_told(v) for v in value]} if isinstance(value, tuple) else [_told(v) for v in value]
+    if isinstance(value, dict):
+        return {"$dict": [[_told(k), _told(v)] for k, v in value.items()]}
+    return value
+
+
+def _read(told: Any) -> Any:
+    if isinstance(told, list):
+        return [_read(v) for v in told]
+    if not isinstance(told, dict):
+        return told
+    if "$identity" in told:
+        return IndexIdentity(told["$identity"])
+    if "$spark" in told:
+        return T.DataType.fromJson(json.loads(told["$spark"]))
+    if "$type" in told:
+        return {t.__name__: t for t in (int, float, str, bool, object)}[told["$type"]]
+    if "$tuple" in told:
+        return tuple(_read(v) for v in told["$tuple"])
+    if "$dict" in told:
+        return {_read(k): _read(v) for k, v in told["$dict"]}
+    kind, where = (told["$field"], fields) if "$field" in told else (told["$dimension"], dimensions)
+    return getattr(where, kind)(**{k: _read(v) for k, v in told.items() if not k.startswith("$")})
 
 
 def save(ds: Dataset, path: str, *, mode: str = "error") -> None:
-    """Rows as Parquet, schema and provenance beside them. Pending columns are not stored: consume them first."""
+    """Rows as Parquet, the whole schema (types, dimensions, members, identities), provenance and the row identity beside
+    them. Pending columns are not stored: consume them first."""
     ds.df.write.mode(mode).parquet(f"{path}/rows")
-    told = {"fields": [_told(f) for f in ds.schema.fields], "sources": [[s.source_uri, s.source_type, s.source_id] for s in ds.sources]}
+    told = {"fields": [_told(f) for f in ds.schema.fields], "sources": [[s.source_uri, s.source_type, s.source_id] for s in ds.sources], "metadata": _told(ds.metadata)}
     ds.df.sparkSession.createDataFrame([(json.dumps(told),)], "value string").coalesce(1).write.mode("overwrite" if mode == "append" else mode).text(f"{path}/about")
 
 
 def load(spark: SparkSession, path: str) -> Dataset:
-    told = json.loads(spark.read.text(f"{path}/about").first()[0])
-    return Dataset(spark.read.parquet(f"{path}/rows"), Schema(tuple(_field(f) for f in told["fields"])), sources=tuple(SourceInfo(u, t, source_id=i) for u, t, i in told["sources"]))
+    told = json.loads(spark.read.text(f"{path}/about", wholetext=True).first()[0])
+    sources = tuple(SourceInfo(u, t, source_id=i) for u, t, i in told["sources"])
+    return Dataset(spark.read.parquet(f"{path}/rows"), Schema(tuple(_read(f) for f in told["fields"])), sources=sources, metadata=_read(told["metadata"]))
 
 
 @dataclass(frozen=True)
