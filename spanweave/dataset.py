@@ -176,6 +176,13 @@ class Dataset:
             raise ValueError("the dataset has no index field")
         return index.identity
 
+    def coming(self, name: str) -> Field:
+        """The field of a column that is there, or that a pending column will give."""
+        made = [c for c in self.couplings if c.output == name]
+        if made and (made[-1].field is not None or not self.schema.has(name)):
+            return made[-1].field or ValueField(name)
+        return self.schema.get(name)
+
     @property
     def values(self) -> list[Field]:
         """All fields but the index."""

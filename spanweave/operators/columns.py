@@ -53,7 +53,7 @@ def _names(ds: Dataset, fields: str | FieldHandle | Sequence) -> list[str]:
     given = [fields] if isinstance(fields, (str, FieldHandle)) else list(fields)  # a FieldSelection lists its handles
     out = [f.name if isinstance(f, FieldHandle) else f for f in given]
     for n in out:
-        ds.schema.get(n)
+        ds.coming(n)
     return out
 
 
@@ -190,8 +190,10 @@ def map_fields(ds: Dataset, inputs: str | Sequence[str], fn: Callable, out: str,
     names = _names(ds, inputs)
     if ds.schema.has(out):
         raise ValueError(f"field {out!r} exists")
-    if any(isinstance(ds.schema.get(n), CompositeField) for n in names):
+    if any(isinstance(ds.coming(n), CompositeField) for n in names):
         raise ValueError("composite inputs are not supported")
+    if any(c.output == out for c in ds.couplings):
+        raise ValueError(f"field {out!r} is pending")
     if dtype is None:
         compute = lambda cols: fn(*(cols[n] for n in names))
     else:

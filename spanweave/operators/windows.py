@@ -99,7 +99,7 @@ def slice_data(ds: Dataset, slice_field: str, data_field: str, *, lazy: bool = F
             return F.struct(cell.alias("data"), cut.alias("slice"))
         return F.when(cut.isNull(), cell).otherwise(cell.withField("slice", cut))
 
-    dims = ds.schema.get(slice_field).dimensions if ds.schema.has(slice_field) else field.dimensions
+    dims = ds.coming(slice_field).dimensions
     out = ds.with_(couplings=(*ds.couplings, Coupling((slice_field, data_field), data_field, compute, replace(field, dimensions=field.dimensions or dims) if isinstance(field, DataField) else DataField(data_field, dimensions=dims, lineage=field.lineage), "slice_data", CallSpec.of("slice_data", slice_field=slice_field, data_field=data_field, lazy=True))))
     return out if lazy else out.consumed(data_field)
 
