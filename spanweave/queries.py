@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import spanweave as sw
-from spanweave import AxisWindow, ColumnCollision, Count, Dataset, DimensionJoin, Distinct, Max, Mean, Min, Sum
+from spanweave import AxisWindow, ColumnCollision, Count, Custom, Dataset, DimensionJoin, Distinct, Max, Mean, Min, Sum
 from spanweave.dimensions import IndexDimension, TemporalDimension
-from spanweave.schema import DataField, DimensionedSliceField, IndexField, Schema, ValueField
+from spanweave.schema import DataField, IndexField, Schema, ValueField
+from spanweave.storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,10 +39,10 @@ def query(sql: str | None) -> Callable:
     return add
 
 
-def _events_at(ds: Dataset, length: float = 600.0) -> Dataset:
-    """Events with their time as a slice [at, at + length) in seconds of January 2024."""
+def _events_at(ds: Dataset, length: float = 600.0, later: float = 0.0) -> Dataset:
+    """Events with their time as a slice [at, at + length) in seconds of January 2024, moved by `later`."""
     at = F.expr("CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts) AS DOUBLE) / 1000000")
-    dated = sw.assign(ds, at=(sw.DimensionField.from_dim("at", TIME), at))
+    dated = sw.assign(ds, at=(sw.DimensionField.from_dim("at", TIME), at + F.lit(later) if later else at))
     dated = sw.assign(dated, until=(sw.DimensionField.from_dim("until", TIME), F.col("at") + F.lit(length)))
     return sw.compose_slice(dated, "span", {"time": ("at", "until")})
 
@@ -110,10 +112,10 @@ def map_fields_native_lazy(t):
     return sw.keep(sw.consume(ds, "label"), ["p_partkey", "label"])
 
 
-@query("SELECT o_custkey, o_orderkey AS order_label, o_totalprice FROM orders WHERE o_orderkey % 7 = 0")
+@query("SELECT c_name, c_custkey AS customer_label, c_acctbal FROM customer")
 def set_index_demotes(t):
-    ds = sw.where(sw.keep(t("orders"), ["o_orderkey", "o_custkey", "o_totalprice"]), "o_orderkey % 7 = 0")
-    return sw.rename(sw.set_index(ds, "o_custkey"), {"o_orderkey": "order_label"})
+    ds = sw.keep(t("customer"), ["c_custkey", "c_name", "c_acctbal"])
+    return sw.rename(sw.set_index(ds, "c_name"), {"c_custkey": "customer_label"})
 
 
 @query("SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS index, s_suppkey, s_name FROM supplier")
@@ -151,10 +153,10 @@ def _keyed(t):
     a = sw.rename(sw.keep(t("customer"), ["c_custkey", "c_nationkey"]), {"c_nationkey": "nation"})
     b = sw.rename(sw.keep(t("supplier"), ["s_suppkey", "s_nationkey"]), {"s_nationkey": "nation"})
     null = lambda d: sw.assign(d, nation=F.when(F.col("nation") % 5 != 0, F.col("nation")))
-    return sw.where(null(a), "c_custkey % 10 = 0"), null(b)
+    return null(a), null(b)
 
 
-_NULLED = "(SELECT c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS k FROM customer WHERE c_custkey % 10 = 0) a {0} JOIN (SELECT s_suppkey, CASE WHEN s_nationkey % 5 <> 0 THEN s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k"
+_NULLED = "(SELECT c_custkey, CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS k FROM customer) a {0} JOIN (SELECT s_suppkey, CASE WHEN s_nationkey % 5 <> 0 THEN s_nationkey END AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k"
 for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
 
     def _run(t, how=_how):
@@ -221,11 +223,11 @@ def _pairs(plan: Dataset) -> DataFrame:
 
 
 def _signups(t):
-    ev = _events_at(t("events"))
-    return sw.where(ev, "event_id % 3 = 0"), sw.where(ev, "event_id % 3 = 1")
+    """All events, and all events five hours later."""
+    return _events_at(t("events")), _events_at(t("events"), later=18000.0)
 
 
-_SIDES = f"(SELECT event_id, user_id, {_AT} AS at FROM events WHERE event_id % 3 = 0) a, (SELECT event_id, user_id, {_AT} AS at FROM events WHERE event_id % 3 = 1) b"
+_SIDES = f"(SELECT event_id, user_id, {_AT} AS at FROM events) a, (SELECT event_id, user_id, {_AT} + 18000.0 AS at FROM events) b"
 _OVER = "b.at < a.at + 600 + {0} AND b.at + 600 > a.at - {0}"
 
 
@@ -244,11 +246,16 @@ def dimension_join_left(t):
     return _pairs(sw.join(*_signups(t), strategy=DimensionJoin("span", "span", ["time"], on="user_id", how="left"), dense=False))
 
 
-@query("SELECT a.p_partkey AS left_index, b.p_partkey AS right_index FROM part a, part b WHERE a.p_partkey % 4 = 0 AND b.p_partkey % 4 = 1 AND a.p_size < b.p_size + 2 AND b.p_size < a.p_size + 2 AND a.p_partkey < b.p_partkey + 50 AND b.p_partkey < a.p_partkey + 50")
+@query(f"SELECT a.event_id AS left_index, b.event_id AS right_index FROM {_SIDES.replace(', (SELECT', ' FULL JOIN (SELECT')} ON a.user_id = b.user_id AND {_OVER.format(0)}")
+def dimension_join_outer(t):
+    return _pairs(sw.join(*_signups(t), strategy=DimensionJoin("span", "span", ["time"], on="user_id", how="outer"), dense=False))
+
+
+@query("SELECT a.p_partkey AS left_index, b.p_partkey AS right_index FROM part a, part b WHERE a.p_size < b.p_size + 2 AND b.p_size < a.p_size + 2 AND a.p_partkey < b.p_partkey + 50 AND b.p_partkey < a.p_partkey + 50")
 def dimension_join_2d(t):
     boxes = sw.assign(sw.keep(t("part"), ["p_partkey", "p_size"]), x0=F.col("p_size").cast("long"), x1=F.col("p_size").cast("long") + 2, y0=F.col("p_partkey"), y1=F.col("p_partkey") + 50)
     boxes = sw.compose_slice(boxes, "box", {"y": ("y0", "y1"), "x": ("x0", "x1")})
-    return _pairs(sw.join(sw.where(boxes, "p_partkey % 4 = 0"), sw.where(boxes, "p_partkey % 4 = 1"), strategy=DimensionJoin("box", "box", ["y", "x"]), dense=False))
+    return _pairs(sw.join(boxes, boxes, strategy=DimensionJoin("box", "box", ["y", "x"]), dense=False))
 
 
 @query(f"SELECT a.event_id AS left_index, b.event_id AS right_index FROM {_SIDES} WHERE a.user_id = b.user_id AND {_OVER.format(3600)}")
@@ -268,7 +275,7 @@ def match_on_overlap(t):
     return sw.match(*_signups(t), on=["user_id"], predicates={"time": sw.overlap(pad=3600)})
 
 
-@query(f"SELECT a.event_id, count(b.event_id) AS n, coalesce(sum(b.value), 0.0) AS total FROM (SELECT event_id, user_id, {_AT} AS at FROM events WHERE event_id % 3 = 0) a LEFT JOIN (SELECT event_id, user_id, value, {_AT} AS at FROM events WHERE event_id % 3 = 1) b ON a.user_id = b.user_id AND {_OVER.format(3600)} GROUP BY 1")
+@query(f"SELECT a.event_id, count(b.event_id) AS n, coalesce(sum(b.value), 0.0) AS total FROM (SELECT event_id, user_id, {_AT} AS at FROM events) a LEFT JOIN (SELECT event_id, user_id, value, {_AT} + 18000.0 AS at FROM events) b ON a.user_id = b.user_id AND {_OVER.format(3600)} GROUP BY 1")
 def implode_domain_reduce(t):
     a, b = _signups(t)
     plan = sw.match(a, b, on=["user_id"], predicates={"time": sw.overlap(pad=3600)}, dense=False)
@@ -386,9 +393,9 @@ for _name, _partial, _offset in (("window_full", False, 0), ("window_partial", T
     query(_tiles(_partial, _offset))(_run)
 
 
-@query("SELECT row_number() OVER (ORDER BY p_partkey, x, y) - 1 AS plan_id, p_partkey AS source_index, x::BIGINT AS x0, y::BIGINT AS y0 FROM (SELECT p_partkey, unnest(range(0, (p_size // 5) * 5, 5)) AS x FROM part WHERE p_partkey % 5 = 0), (SELECT unnest(range(0, 40, 20)) AS y)")
+@query("SELECT row_number() OVER (ORDER BY p_partkey, x, y) - 1 AS plan_id, p_partkey AS source_index, x::BIGINT AS x0, y::BIGINT AS y0 FROM (SELECT p_partkey, unnest(range(0, (p_size // 5) * 5, 5)) AS x FROM part), (SELECT unnest(range(0, 40, 20)) AS y)")
 def window_2d(t):
-    ds = sw.assign(sw.where(sw.keep(t("part"), ["p_partkey", "p_size"]), "p_partkey % 5 = 0"), x0=F.lit(0), x1=F.col("p_size"), y0=F.lit(0), y1=F.lit(40))
+    ds = sw.assign(sw.keep(t("part"), ["p_partkey", "p_size"]), x0=F.lit(0), x1=F.col("p_size"), y0=F.lit(0), y1=F.lit(40))
     plan = sw.window_expansion_plan(ds, windows={"x": AxisWindow(5), "y": AxisWindow(20)}, bindings={"x": ("x0", "x1"), "y": ("y0", "y1")})
     return plan.df.select("plan_id", "source_index", F.col("slice.x.start").cast("long").alias("x0"), F.col("slice.y.start").cast("long").alias("y0"))
 
@@ -453,3 +460,181 @@ def merge_chain(t):
     nations = sw.keep(sw.assign(sw.where(t("nation"), "n_regionkey = 1"), nation=F.col("n_nationkey")), ["n_nationkey", "nation", "n_name"])
     third = sw.merge(second, nations, sw.join(second, nations, on="nation", dense=False), collision=ColumnCollision("keep"))
     return third.df.select(F.col("key").alias("l_orderkey"), F.col("customer").alias("c_custkey"), "n_name", "l_quantity")
+
+
+# --- storage, bundles and arms
+
+
+def _place(t) -> str:
+    return f"{shared_folder(t('region').df.sparkSession)}/query-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def save_and_load(t):
+    ds, path = sw.keep(t("customer"), ["c_custkey", "c_name", "c_acctbal"]), _place(t)
+    sw.save(ds, path)
+    return sw.load(ds.df.sparkSession, path)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def offload_flatten(t):
+    return sw.offload(sw.keep(t("orders"), ["o_orderkey", "o_totalprice"]), path=_place(t), chunk_size=4000).flatten()
+
+
+@query("SELECT k AS chunk, k * 4000 AS start, least(k * 4000 + 4000, (SELECT count(*) FROM orders)) AS stop FROM (SELECT unnest(range((SELECT (count(*) + 3999) // 4000 FROM orders))) AS k)")
+def offload_chunks(t):
+    return sw.offload(sw.keep(t("orders"), ["o_orderkey"]), path=_place(t), chunk_size=4000).base
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def make_dataset(t):
+    schema = Schema((IndexField("n_nationkey"), ValueField("n_name", dtype=str), ValueField("n_regionkey")))
+    return sw.make_from_dataframe(t("nation").df.select("n_nationkey", "n_name", "n_regionkey"), schema)
+
+
+@query("SELECT s_nationkey, max(s_acctbal) AS most FROM supplier GROUP BY 1")
+def named_transform(t):
+    @sw.table_transform(schema=Schema((IndexField("s_nationkey"), ValueField("most"))))
+    def richest(ds, column):
+        return ds.df.groupBy("s_nationkey").agg(F.max(column).alias("most"))
+
+    return richest(t("supplier"), "s_acctbal")
+
+
+@query("SELECT s_nationkey, max(s_acctbal) - min(s_acctbal) AS spread FROM supplier GROUP BY 1")
+def reduce_custom(t):
+    return sw.reduce(t("supplier"), "s_nationkey", {"spread": Custom("s_acctbal", fn=lambda s: float(s.max() - s.min()))})
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.05)")
+def semi_by_plan(t):
+    lines = sw.reset_index(sw.where(t("lineitem"), "l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.05"), index_name="line", dense=False)
+    sup = sw.keep(t("supplier"), ["s_suppkey", "s_name"])
+    right = sw.rename(sw.keep(lines, ["line", "l_suppkey"]), {"l_suppkey": "k"})
+    return sw.semi(sup, sw.join(sw.assign(sup, k=F.col("s_suppkey")), right, on="k", dense=False))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def concat_dispatch(t):
+    c = t("customer")
+    return sw.concat(sw.keep(c, ["c_custkey", "c_name"]), sw.keep(c, ["c_custkey", "c_acctbal"]), axis=1)
+
+
+@query("SELECT c_custkey, upper(c_name) AS loud FROM customer")
+def concat_rows_pending(t):
+    late = sw.map_fields(sw.keep(t("customer"), ["c_custkey", "c_name"]), "c_name", F.upper, "loud", lazy=True)
+    return sw.keep(sw.consume(sw.concat_rows(sw.where(late, "c_name < 'Customer#000000500'"), sw.where(late, "c_name >= 'Customer#000000500'"))), ["c_custkey", "loud"])
+
+
+@query("SELECT o_orderkey AS left_index, o_totalprice * 2 AS twice, upper(c_name) AS loud FROM orders JOIN customer ON o_custkey = c_custkey")
+def merge_pending(t):
+    orders = sw.rename(sw.keep(t("orders"), ["o_orderkey", "o_custkey", "o_totalprice"]), {"o_custkey": "who"})
+    people = sw.assign(sw.keep(t("customer"), ["c_custkey", "c_name"]), who=F.col("c_custkey"))
+    plan = sw.join(orders, people, on="who", dense=False)
+    left, right = sw.map_fields(orders, "o_totalprice", lambda x: x * 2, "twice", lazy=True), sw.map_fields(people, "c_name", F.upper, "loud", lazy=True)
+    return sw.consume(sw.merge(left, right, plan, collision=ColumnCollision("keep"))).df.select("left_index", "twice", "loud")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000")
+def bundle_of_handles(t):
+    orders, people = sw.keep(t("orders"), ["o_orderkey", "o_custkey", "o_totalprice"]), sw.keep(t("customer"), ["c_custkey", "c_acctbal"])
+    people = sw.rename(sw.assign(people, o_custkey=F.col("c_custkey")), {})
+    from spanweave.operators.arms import BundleContext
+
+    c = BundleContext(sw.bundle(l=orders, r=people))
+    plan = sw.join(c["l"], c["r"], on="o_custkey", dense=False, out="plan")
+    rich = sw.where(sw.merge(c["l"], c["r"], plan, collision=ColumnCollision("keep"), out="m"), predicate="c_acctbal > 5000", out="rich")
+    return rich.collect().df.select(F.col("left_index").alias("o_orderkey"), "o_totalprice")
+
+
+@query("SELECT vec_id, 2 AS tall, e[10]::DOUBLE AS first, e[19]::DOUBLE AS last FROM (SELECT vec_id, embedding AS e FROM embeddings)")
+def materialize_2d(t):
+    """An 8 x 8 matrix in each cell, cut in both axes without a reader."""
+    ds = sw.keep(t("embeddings"), ["vec_id", "embedding"])
+    grid = F.array(*(F.slice(F.col("embedding").cast("array<double>"), 8 * i + 1, 8) for i in range(8)))
+    ds = sw.assign(ds, part=(DataField("part", dimensions=(IndexDimension("y"), IndexDimension("x"))), grid), a=F.lit(1), b=F.lit(3))
+    ds = sw.compose_slice(ds, "box", {"y": ("a", "b"), "x": ("a", "b")})
+    cut = sw.consume(sw.materialize(sw.slice_data(ds, "box", "part"), "part")).df
+    return cut.select("vec_id", F.size("part").alias("tall"), F.col("part")[0][0].alias("first"), F.element_at(F.element_at("part", -1), -1).alias("last"))
+
+
+# --- pipelines, end to end
+
+
+@query("SELECT d.doc_id AS clip, l.quality, substring(d.text, (coalesce(l.quality, 0) * 10 + 1)::BIGINT, 20) AS text FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
+def labelled_clips(t):
+    """Labels joined with the files they are of; each label's segment of its file is bound and read."""
+    files = sw.assign(sw.keep(t("documents"), ["doc_id", "text"]), name=F.col("doc_id"))
+    labels = sw.assign(sw.keep(sw.rename(t("labels"), {"doc_id": "label"}), ["label", "quality"]), name=F.col("label"))
+    both = sw.merge(labels, files, sw.join(labels, files, on="name", dense=False), collision=ColumnCollision("keep"))
+    clips = sw.set_index(sw.drop(both, ["left_index", "right_index"]), "name", index_name="clip")
+    begin = F.coalesce("quality", F.lit(0)) * 10
+    clips = sw.assign(clips, begin=(sw.DimensionField.from_dim("begin", CHARS, None), begin), end=(sw.DimensionField.from_dim("end", CHARS, None), begin + 20))
+    cut = sw.materialize(sw.slice_data(sw.compose_slice(clips, "segment", [("begin", "end")]), "segment", "text"), "text")
+    return sw.consume(cut).df.select("clip", "quality", "text")
+
+
+@query("""WITH tiles AS (SELECT p_partkey, p_brand, x, y FROM (SELECT p_partkey, p_brand, unnest(range(0, (p_size // 5) * 5, 5)) AS x FROM part), (SELECT unnest(range(0, 40, 20)) AS y))
+SELECT p_partkey AS image, x::BIGINT AS x0, y::BIGINT AS y0, p_brand FROM tiles
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber < x + 5 AND l_linenumber + 3 > x AND l_quantity / 2 < y + 20 AND l_quantity / 2 + 5 > y)""")
+def labelled_tiles(t):
+    """Tiles of images that overlap a labelled box, with the image's fields."""
+    images = sw.assign(sw.keep(t("part"), ["p_partkey", "p_size", "p_brand"]), x0=F.lit(0).cast("double"), x1=F.col("p_size").cast("double"), y0=F.lit(0.0), y1=F.lit(40.0))
+    tiles = sw.window_expansion_plan(images, windows={"x": AxisWindow(5), "y": AxisWindow(20)}, bindings={"x": ("x0", "x1"), "y": ("y0", "y1")}, dense=False)
+    tiles = sw.assign(tiles, image=F.col("source_index"))
+    boxes = sw.assign(sw.reset_index(sw.keep(t("lineitem"), ["l_partkey", "l_linenumber", "l_quantity"]), index_name="box_id", dense=False), image=F.col("l_partkey"))
+    n, q = F.col("l_linenumber").cast("double"), F.col("l_quantity") / 2
+    boxes = sw.compose_slice(sw.assign(boxes, x0=n, x1=n + 3, y0=q, y1=q + 5), "box", {"x": ("x0", "x1"), "y": ("y0", "y1")})
+    hit = sw.semi(tiles, sw.join(tiles, boxes, strategy=DimensionJoin("slice", "box", ["x", "y"], on="image"), dense=False))
+    out = sw.explode(images, hit, carry=["slice", "image"])
+    return out.df.select("image", F.col("slice.x.start").cast("long").alias("x0"), F.col("slice.y.start").cast("long").alias("y0"), "p_brand")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, {_AT} AS moment FROM events), d AS (SELECT user_id, floor(min(moment) / 86400) * 86400 AS a, floor(max(moment) / 86400) * 86400 + 86400 AS b FROM e GROUP BY 1),
+w AS (SELECT user_id, a + k * 86400 AS start FROM (SELECT *, unnest(range(((b - a) / 86400)::BIGINT)) AS k FROM d))
+SELECT w.user_id, w.start, string_agg(e.event_type, '>' ORDER BY e.event_id) AS said FROM w JOIN e ON e.user_id = w.user_id AND e.moment < w.start + 86400 + 600 AND e.moment + 600 > w.start - 600 GROUP BY 1, 2""")
+def fused_windows(t):
+    """Windows over each user's time, matched with what others tell of it (equal user, padded overlap), told in order."""
+    ev = _events_at(t("events"))
+    users = sw.reduce(ev, "user_id", {"lo": Min.on("at"), "hi": Max.on("at")})
+    day = 86400.0
+    users = sw.assign(users, lo=F.floor(F.col("lo") / day) * day, hi=F.floor(F.col("hi") / day) * day + day)
+    clips = sw.window_expansion_plan(users, windows={"time": AxisWindow(day)}, bindings={"time": ("lo", "hi")})
+    clips = sw.assign(clips, uid=F.col("source_index"))
+    plan = sw.match(clips, sw.assign(ev, uid=F.col("user_id")), on=["uid"], predicates={"time": sw.overlap(pad=600)}, dense=False)
+    groups = sw.implode(sw.assign(ev, eid=F.col("event_id")), plan)
+    in_order = lambda f: F.array_join(F.transform(F.array_sort(F.transform(f, lambda x: F.struct(x["eid"], x["event_type"]))), lambda x: x["event_type"]), ">")
+    said = sw.rename(sw.map_fields(groups, ["matched"], in_order, "said"), {"left_index": "plan_id"})
+    both = sw.merge(clips, said, sw.join(clips, said, dense=False))
+    return both.df.select(F.col("source_index").alias("user_id"), F.col("slice.time.start").alias("start"), "said")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, {_AT} AS at FROM events)
+SELECT p.event_id AS conversion, arg_max(c.event_id, c.at) AS touch FROM e p JOIN e c ON c.user_id = p.user_id AND c.event_type = 'click' AND c.at < p.at AND c.at + 1e-6 > p.at - 86400 WHERE p.event_type = 'purchase' GROUP BY 1""")
+def attribution(t):
+    """Purchases with the last click of the same user within a day before: two equality hops, a lookback, the last touch."""
+    ev = _events_at(t("events"), 1e-6)
+    clicks = sw.where(ev, "event_type = 'click'")
+    bought = sw.compose_slice(sw.assign(sw.where(ev, "event_type = 'purchase'"), since=F.col("at") - 86400.0), "span", {"time": ("since", "at")})
+    same = sw.dimension_join(bought, clicks, predicate=sw.equals(), left_on="user_id", right_on="user_id", dense=False)
+    near = sw.dimension_join(bought, clicks, same, predicate=sw.overlap(), left_on="span", right_on="span", dimension="time", dense=False)
+    pairs = sw.merge(sw.keep(bought, ["event_id"]), sw.keep(clicks, ["event_id", "at"]), near)
+    return sw.latest(pairs, "left_index", "at").df.select(F.col("left_index").alias("conversion"), F.col("right_index").alias("touch"))
+
+
+@query("SELECT c_custkey, c_name, string_agg(o_orderstatus, '' ORDER BY o_orderdate, o_orderkey) AS path FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2")
+def journeys(t):
+    """Each customer's orders in their order, customers without any too."""
+    people = t("customer")
+    steps = sw.link(sw.assign(sw.keep(t("orders"), ["o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"]), key=F.col("o_orderkey")), people, "o_custkey")
+    in_order = lambda f: F.array_join(F.transform(F.array_sort(F.transform(f, lambda x: F.struct(x["o_orderdate"], x["key"], x["o_orderstatus"]))), lambda x: x["o_orderstatus"]), "")
+    paths = sw.rename(sw.map_fields(sw.partition(steps, "o_custkey", people), ["fiber"], lambda f: F.when(F.size(f) > 0, in_order(f)), "path"), {"o_custkey": "c_custkey"})
+    return sw.concat_columns(sw.keep(people, ["c_custkey", "c_name"]), paths)
+
+
+@query("SELECT o_custkey, round(max(n) / sum(n), 6) AS top_share FROM (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def top_share(t):
+    """Counts per customer and priority, regrouped by customer: the share of the commonest."""
+    cells = sw.reset_index(sw.reduce(t("orders"), ["o_custkey", "o_orderpriority"], {"n": Count.on()}), dense=False)
+    total = lambda f: F.aggregate(f["n"], F.lit(0).cast("long"), lambda a, x: a + x)
+    return sw.map_fields(sw.partition(cells, "o_custkey"), ["fiber"], lambda f: F.round(F.array_max(f["n"]) / total(f), 6), "top_share")
