@@ -49,6 +49,20 @@ def _plan(df: DataFrame, l: Dataset, r: Dataset, name: str, dense: bool) -> Data
     return Dataset(out, schema, sources=union_sources(l.sources, r.sources), metadata={"plan": True})
 
 
+@dataclass(frozen=True)
+class Pairing:
+    """What an equality plan was made of: merge() of the same frames and the unfiltered plan is then the join itself."""
+
+    left: DataFrame
+    right: DataFrame
+    plan: DataFrame
+    on: tuple[tuple[str, str], ...]
+    how: str
+
+    def holds(self, l: Dataset, r: Dataset, plan: Dataset) -> bool:
+        return self.left is l.df and self.right is r.df and self.plan is plan.df
+
+
 def _side(ds: Dataset, columns: dict[str, Column], label: str) -> DataFrame:
     return ds.df.select(F.col(f"`{ds.index_name}`").alias(label), *(c.alias(n) for n, c in columns.items()))
 
@@ -83,7 +97,11 @@ def join(l: Dataset, r: Dataset, *, strategy=None, on: str | Sequence[str] | Non
     a = _side(l, keys or {"_k0": F.col(f"`{l.index_name}`")}, LEFT).alias("a")
     b = _side(r, keys or {"_k0": F.col(f"`{r.index_name}`")}, RIGHT).alias("b")
     match_ = fold(Column.__and__, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (keys or {"_k0": 0})))
-    return _plan(a.join(b, match_, _HOW[kind]), l, r, "join_id", dense)
+    plan = _plan(a.join(b, match_, _HOW[kind]), l, r, "join_id", dense)
+    if dense:
+        return plan
+    on = tuple((n, n) for n in names) or ((l.index_name, r.index_name),)
+    return plan.with_(metadata=plan.metadata | {"pairing": Pairing(l.df, r.df, plan.df, on, _HOW[kind])})
 
 
 def _dimension_pairs(l: Dataset, r: Dataset, s: DimensionJoin, how: str) -> DataFrame:
@@ -222,10 +240,17 @@ def merge(l: Dataset, r: Dataset, plan: Dataset, *, collision: ColumnCollision |
     if {LEFT, RIGHT} & {f.name for f in (*lf, *rf)}:
         raise ValueError("left_index and right_index are reserved")
     side = lambda ds, cols, p: ds.df.select(F.col(f"`{ds.index_name}`").alias(p), F.lit(True).alias(p + "_there"), *cols)
-    df = plan.df.join(side(l, lc, "_li"), F.col(LEFT) == F.col("_li"), "left").join(side(r, rc, "_ri"), F.col(RIGHT) == F.col("_ri"), "left")
-    for label, there in ((LEFT, "_li_there"), (RIGHT, "_ri_there")):
-        lost = F.col(label).isNotNull() & F.col(there).isNull()
-        df = df.withColumn(label, F.when(lost, F.raise_error(F.concat(F.lit(f"{label} has no row: "), F.col(label).cast("string")))).otherwise(F.col(label)))
+    pairing = plan.metadata.get("pairing")
+    if pairing is not None and pairing.holds(l, r, plan):  # one join, not one for the plan and two for its labels
+        keys = lambda i, p: [F.col(f"`{pair[i]}`").alias(f"{p}{n}") for n, pair in enumerate(pairing.on)]
+        a, b = side(l, [*lc, *keys(0, "_lk")], "_li"), side(r, [*rc, *keys(1, "_rk")], "_ri")
+        same = fold(Column.__and__, (F.col(f"_lk{n}").eqNullSafe(F.col(f"_rk{n}")) for n in range(len(pairing.on))))
+        df = with_label(a.join(b, same, pairing.how).withColumns({LEFT: F.col("_li"), RIGHT: F.col("_ri")}), plan.index_name, [LEFT, RIGHT])
+    else:
+        df = plan.df.join(side(l, lc, "_li"), F.col(LEFT) == F.col("_li"), "left").join(side(r, rc, "_ri"), F.col(RIGHT) == F.col("_ri"), "left")
+        for label, there in ((LEFT, "_li_there"), (RIGHT, "_ri_there")):
+            lost = F.col(label).isNotNull() & F.col(there).isNull()
+            df = df.withColumn(label, F.when(lost, F.raise_error(F.concat(F.lit(f"{label} has no row: "), F.col(label).cast("string")))).otherwise(F.col(label)))
     out, fields = [F.col(f"`{c}`") for f in plan.schema.fields for c in f.columns], list(plan.schema.fields)
     for f in lf:
         for c in f.columns:

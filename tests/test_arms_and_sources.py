@@ -61,6 +61,21 @@ def test_merge_carries_pending_columns(spark, base):
         sw.merge(sw.map_fields(base, "id", F.upper, "w", lazy=True), r, plan)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+def test_merge_of_an_unfiltered_plan_is_the_join_itself(spark, how):
+    l = ds(spark, [("a", 1, 5), ("b", None, 6), ("c", 3, 7)], "id string, k long, v long")
+    r = ds(spark, [("x", 1, 8), ("y", None, 9), ("z", 4, 10)], "id string, k long, u long")
+    plan = sw.join(l, r, on="k", how=how, dense=False)
+    kept = sw.ColumnCollision("coalesce")
+    fused, plain = sw.merge(l, r, plan, collision=kept), sw.merge(l, r, sw.where(plan, F.lit(True)), collision=kept)
+    columns = ("join_id", "left_index", "right_index", "k", "v", "u")
+    assert sorted(got(fused, *columns), key=str) == sorted(got(plain, *columns), key=str) and fused.schema.names() == plain.schema.names()
+    joins = lambda d: d.df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(fused) == 1 and joins(plain) == 3
+    index = sw.join(l, sw.rename(r, {"k": "q"}), how=how, dense=False)
+    assert len(sw.merge(l, sw.rename(r, {"k": "q"}), index)) == len(index)
+
+
 def test_pending_columns_written_in_place_after_a_reader(spark, base):
     one = sw.map_fields(base, "v", add_one, "w", lazy=True)
     from spanweave import Coupling
