@@ -1,19 +1,21 @@
 """Substring dedup by a log-structured fingerprint index.
 
-Documents are dealt to runs by a hash of their id. A run is a sorted, immutable list of window fingerprints, each once
-with the smallest document that starts it, cut into buckets by fingerprint. All runs of a bucket, those of earlier
-batches included, are merged; what two of them share goes back to the runs that need it. So a passage that a third of
-all documents hold is one entry per run, and a bucket's size follows the number of fingerprints, not of documents.
-
-Two such rounds are made. The first merges anchors only, the smallest 5-word fingerprint within each 13-word window:
+Documents are dealt to runs of RUN_BYTES of text. A run is a sorted, immutable list of window fingerprints, each once
+with the smallest document that starts it, cut into parts by its leading bits. Runs are merged by part, FAN of them at
+most: FAN runs give one run of the next level, cut FAN times finer, until FAN or fewer are left, and those, with the
+stored runs of earlier batches, meet in the last merge. So a run or merge of any level gives FAN blobs of like size, and
+their number grows with the number of runs. What a merge finds goes back down the levels: to each run the fingerprints
+that it needs. A passage that a third of all documents hold is one entry per run, then one per FAN runs, and so on.
+
+Two such rounds are made. The first merges anchors only, the smallest 8-word fingerprint within each 13-word window:
 equal windows have equal anchors, and a run has far fewer anchors than windows. The second merges the windows whose
-anchor is shared, verified by a second, independent 64-bit hash of their words. The third pass removes what is covered.
+anchor is shared, verified by a second, independent 32-bit hash of their words. The last pass removes what is covered.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 from spanweave.llm import _support as S
 from spanweave.llm.words import BASES, chunks, mix, over, word_hashes, word_spans
 
-WINDOW, GRAM = 13, 5
-#: Text bytes of a partition, runs in a partition, text bytes hashed at once.
-PART_BYTES, RUNS, CHUNK = 24 << 20, 4, 1 << 20
-#: Buckets of a stored index unless told; fixed per index, as batches of any size must meet in them. A bucket is merged
-#: by one task, so an index of N windows wants about N / 10 million buckets.
-INDEX_BUCKETS = 256
+WINDOW, GRAM = 13, 8
+#: Text bytes of a run, text bytes hashed at once.
+RUN_BYTES, CHUNK = 6 << 20, 1 << 20
+#: Runs that are merged at once, and parts that a run is cut into, as a power of two.
+FAN_BITS = 8
+#: Entries of a stored blob at most: a stored run's parts are cut so fine that none is larger.
+BLOB = 1 << 20
 HISTORY = -1
 ANCHORS, WINDOWS = 0, 1
 _U = np.uint64
@@ -67,7 +70,7 @@ class Windows:
         hashes = word_hashes(joined, start, stop, 1 + checks)
         anchor = mix(_smallest(over(hashes[0], GRAM, BASES[1]), WINDOW - GRAM + 1)[whole]) if anchors else np.zeros(0, np.uint64)
         h = over(hashes[0], WINDOW, BASES[0])[whole]
-        check = over(hashes[1], WINDOW, BASES[1])[whole] if checks else np.zeros(0, np.uint64)
+        check = over(hashes[1], WINDOW, BASES[1])[whole] >> _U(32) if checks else np.zeros(0, np.uint64)
         return of[:n][whole] + first, nth[:n][whole], anchor, h, check
 
 
@@ -92,9 +95,11 @@ def _unpack(n: int, h: bytes, *more: bytes | None) -> list[np.ndarray]:
     return [np.cumsum(_wide(h, n)), *(_wide(m, n) if m is not None else np.zeros(0, np.uint64) for m in more)]
 
 
-#: A bucket of a run: n fingerprints h, for windows also their check hash and smallest document (shifted to be unsigned).
-_UP = "bucket int, run int, n int, h binary, c binary, d binary"
-_DOWN = "run int, n int, h binary, c binary, d binary"
+#: A part of a run (or, of a higher level, of a unit of runs): n fingerprints h, for windows also their check hash and
+#: smallest document (shifted to be unsigned).
+_UP = "unit int, part long, n int, h binary, c binary, d binary"
+#: What a unit is told of one of its parts: fingerprints h, with their checks where one fingerprint has several.
+_DOWN = "unit int, part long, n int, h binary, c binary"
 _SHIFT = _U(1 << 63)
 
 
@@ -102,19 +107,14 @@ def _unsigned(ids: np.ndarray) -> np.ndarray:
     return ids.astype(np.int64).view(np.uint64) ^ _SHIFT
 
 
-def _buckets(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in a sorted h, and the end: buckets are equal ranges."""
-    width = (1 << 64) // buckets
-    return np.append(np.searchsorted(h, np.array([i * width for i in range(buckets)], np.uint64)), len(h))
-
-
-def _cut(run: int, h: np.ndarray, c: np.ndarray | None, d: np.ndarray | None, buckets: int) -> list[list]:
-    at = _buckets(h, buckets).tolist()
+def _cut(unit: int, level: int, h: np.ndarray, c: np.ndarray | None = None, d: np.ndarray | None = None) -> list[list]:
+    """A sorted run's parts: those of equal first (level + 1) * FAN_BITS bits."""
+    part = (h >> _U(64 - (level + 1) * FAN_BITS)).astype(np.int64)
+    at = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(h)).tolist()
     out = []
-    for b, (i, j) in enumerate(zip(at, at[1:])):
-        if i < j:
-            more = (c[i:j], d[i:j]) if c is not None else ()
-            out.append([b, run, *_pack(h[i:j], *more), *[None] * (2 - len(more))])
+    for i, j in zip(at, at[1:]):
+        more = (c[i:j], d[i:j]) if c is not None else ()
+        out.append([unit, int(part[i]), *_pack(h[i:j], *more), *[None] * (2 - len(more))])
     return out
 
 
@@ -134,60 +134,141 @@ def _first_of(h: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray,
     return h[new], c[new], d[new]
 
 
-def _shared_anchors(group: pa.Table) -> pa.Table:
-    """To each run of a bucket, the anchors that it shares with another run."""
-    runs = group.column("run").to_pylist()
-    lists = [_unpack(n, h)[0] for n, h in zip(group.column("n").to_pylist(), group.column("h").to_pylist())]
-    every = np.sort(np.concatenate(lists))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    out = []
-    for run, h in zip(runs, lists):
-        both = h[np.isin(h, twice, assume_unique=True)] if run != HISTORY else h[:0]
-        if len(both):
-            out.append([run, *_pack(both), None, None])
-    return _table(out, _DOWN)
+def _lists(group: pa.Table) -> list[list[np.ndarray]]:
+    return [_unpack(*x) for x in zip(*(group.column(k).to_pylist() for k in ("n", "h", "c", "d")))]
+
+
+def _merged(lists: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """One sorted run of several: anchors once, windows once with their smallest document."""
+    h = np.concatenate([x[0] for x in lists])
+    if not len(lists[0][1]):
+        return np.unique(h), None, None
+    return _first_of(h, *(np.concatenate([x[i] for x in lists]) for i in (1, 2)))
+
+
+def _next_level(group: pa.Table, level: int) -> pa.Table:
+    """The units of `level` that make one of the next, merged and cut finer."""
+    return _table(_cut(group.column("unit")[0].as_py() >> FAN_BITS, level + 1, *_merged(_lists(group))), _UP)
 
 
-def _earlier_windows(group: pa.Table) -> pa.Table:
-    """To each run of a bucket, its windows that another run starts in a smaller document, with that document."""
-    runs = group.column("run").to_pylist()
-    lists = [_unpack(*x) for x in zip(*(group.column(k).to_pylist() for k in ("n", "h", "c", "d")))]
+def _raised(level: int, with_kind: bool = False) -> Callable[[pa.Table], pa.Table]:
+    def run(group: pa.Table) -> pa.Table:
+        made = _next_level(group, level)
+        return made.append_column("kind", pa.array([group.column("kind")[0].as_py()] * made.num_rows, pa.int32())) if with_kind else made
+
+    return run
+
+
+def _tell(units: list[int], parts: list[int], lists: list[list[np.ndarray]], above: list[np.ndarray]) -> pa.Table:
+    """To each unit of a merge what it needs: anchors that another one has too, windows that another one starts in a
+    smaller document; and, of what the merge itself was told from above (sorted h and checks), all that the unit has."""
     h, c, d = (np.concatenate([x[i] for x in lists]) for i in range(3))
     of = np.repeat(np.arange(len(lists)), [len(x[0]) for x in lists])
-    order = np.lexsort((d, c, h))
-    h, c, d, of = h[order], c[order], d[order], of[order]
+    windows = bool(len(c))
+    order = np.lexsort((d, c, h)) if windows else np.argsort(h, kind="stable")
+    h, of = h[order], of[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    first = d[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    late = d > first
+    new[1:] = h[1:] != h[:-1]
+    if windows:
+        c, d = c[order], d[order]
+        new[1:] |= c[1:] != c[:-1]
+        group = np.cumsum(new) - 1
+        need = d > d[np.flatnonzero(new)[group]]
+    else:
+        need = np.append(~new[1:], False) | ~new  # the same as the next or the one before
+    need |= _among(h, c if windows else None, *above)
+    clash = windows and bool((new[1:] & (h[1:] == h[:-1])).any())
+    sent = np.flatnonzero(need)
+    sent = sent[np.argsort(of[sent], kind="stable")]
+    at = np.searchsorted(of[sent], np.arange(len(lists) + 1)).tolist()
     out = []
-    for k, run in enumerate(runs):
-        mine = late & (of == k)
-        if run != HISTORY and mine.any():
-            out.append([run, *_pack(h[mine], c[mine], first[mine])])
+    for k, (i, j) in enumerate(zip(at, at[1:])):
+        if i < j and units[k] != HISTORY:
+            mine = sent[i:j]
+            out.append([units[k], parts[k], *_pack(h[mine], *([c[mine]] if clash else [])), *([] if clash else [None])])
     return _table(out, _DOWN)
 
 
-def _told(right: pa.Table) -> list[np.ndarray]:
-    """All of a run's rows that came down, sorted by h."""
-    lists = [_unpack(*x) for x in zip(*(right.column(k).to_pylist() for k in ("n", "h", "c", "d")))]
+def _among(h: np.ndarray, c: np.ndarray | None, told: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Which (h, c) are among the told: by h alone, but for those told with a check (checks above 0; 0 is any)."""
+    if not len(told):
+        return np.zeros(len(h), bool)
+    at, found = np.searchsorted(told, h), np.zeros(len(h), bool)
+    while True:  # once, but for equal fingerprints with several checks
+        i = np.minimum(at, len(told) - 1)
+        same = (at < len(told)) & (told[i] == h)
+        if not same.any():
+            return found
+        found |= same & ((checks[i] == 0) | (c is None) | (checks[i] == (c + _U(1) if c is not None else 0)))
+        at = at + 1
+
+
+def _told(right: pa.Table | None) -> list[np.ndarray]:
+    """All rows that came down, sorted by h: fingerprints, and their checks plus one (0 where none is told)."""
+    lists = [_unpack(*x) for x in zip(*(right.column(k).to_pylist() for k in ("n", "h", "c")))] if right is not None else []
     if not lists:
-        return [np.zeros(0, np.uint64)] * 3
-    h, c, d = (np.concatenate([x[i] for x in lists]) for i in range(3))
+        return [np.zeros(0, np.uint64)] * 2
+    h = np.concatenate([x[0] for x in lists])
+    c = np.concatenate([x[1] + _U(1) if len(x[1]) else np.zeros(len(x[0]), np.uint64) for x in lists])
     order = np.argsort(h, kind="stable")
-    return [h[order], *(x[order] if len(x) else x for x in (c, d))]
+    return [h[order], c[order]]
+
+
+def _last_merge(group: pa.Table) -> pa.Table:
+    return _tell(group.column("unit").to_pylist(), group.column("part").to_pylist(), _lists(group), _told(None))
+
+
+def _pass_down(left: pa.Table, right: pa.Table) -> pa.Table:
+    if not left.num_rows:
+        return _table([], _DOWN)
+    return _tell(left.column("unit").to_pylist(), left.column("part").to_pylist(), _lists(left), _told(right))
+
+
+def _levels(runs: int) -> int:
+    """Merges before the last one."""
+    return max(0, -(-max(runs - 1, 1).bit_length() // FAN_BITS) - 1)
+
+
+def _exchange(up: DataFrame, runs: int, parts: int, history: DataFrame | None) -> DataFrame:
+    """unit, h, c: what each run is told after all runs and the history were merged."""
+    levels, steps = _levels(runs), []
+    for level in range(levels):
+        up = S.written(up)
+        steps.append(up)
+        owner = F.shiftright("unit", FAN_BITS)
+        up = up.repartition(parts, "part", owner).groupBy("part", owner.alias("owner")).applyInArrow(_raised(level), _UP)
+    if history is not None:
+        up = up.unionByName(_as_fine_as(history, levels))
+    down = up.repartition(parts, "part").groupBy("part").applyInArrow(_last_merge, _DOWN)
+    for step in reversed(steps):
+        left = step.withColumn("owner", F.shiftright("unit", FAN_BITS)).repartition(parts, "part", "owner").groupBy("part", "owner")
+        right = down.withColumnsRenamed({"unit": "owner"}).withColumn("part", F.shiftright("part", FAN_BITS)).repartition(parts, "part", "owner").groupBy("part", "owner")
+        down = left.cogroup(right).applyInArrow(_pass_down, _DOWN)
+    return down
+
+
+def _as_fine_as(stored: DataFrame, level: int) -> DataFrame:
+    """Stored parts (of any level) cut or widened to those of a level."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _lists(pa.Table.from_batches([batch])):
+                cut = _cut(HISTORY, level, *row) if len(row[1]) else _cut(HISTORY, level, row[0])
+                yield _table(cut, _UP).to_batches()[0]
+
+    return stored.select(*(f.split(" ")[0] for f in _UP.split(", "))).mapInArrow(split, _UP)
 
 
 def _rows(left: pa.Table) -> tuple[list[bytes], np.ndarray]:
     return left.column("_b").to_pylist(), left.column("_d").to_numpy().astype(np.int64)
 
 
-def _anchor_run(left: pa.Table, buckets: int) -> pa.Table:
+def _anchor_run(left: pa.Table) -> pa.Table:
     texts, _ = _rows(left)
-    return _table(_cut(left.column("run")[0].as_py(), np.unique(Windows(texts, checks=False).anchor), None, None, buckets), _UP)
+    return _table(_cut(left.column("run")[0].as_py(), 0, np.unique(Windows(texts, checks=False).anchor)), _UP)
 
 
-def _window_run(left: pa.Table, right: pa.Table | None, buckets: int) -> pa.Table:
+def _window_run(left: pa.Table, right: pa.Table | None) -> pa.Table:
     """The run's windows whose anchor is shared; all windows for right None."""
     if not left.num_rows:
         return _table([], _UP)
@@ -195,7 +276,7 @@ def _window_run(left: pa.Table, right: pa.Table | None, buckets: int) -> pa.Tabl
     w = Windows(texts)
     some = np.isin(w.anchor, _told(right)[0]) if right is not None else slice(None)
     h, c, d = _first_of(w.h[some], w.check[some], _unsigned(ids)[w.of[some].astype(np.int64)])
-    return _table(_cut(left.column("run")[0].as_py(), h, c, d, buckets), _UP)
+    return _table(_cut(left.column("run")[0].as_py(), 0, h, c, d), _UP)
 
 
 def _covered(left: pa.Table, right: pa.Table) -> tuple[list[bytes], Windows, list[np.ndarray | None]]:
@@ -208,15 +289,7 @@ def _covered(left: pa.Table, right: pa.Table) -> tuple[list[bytes], Windows, lis
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     first = mine[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else mine
-    th, tc, td = _told(right)
-    if len(th):
-        at = np.searchsorted(th, h)
-        for _ in range(int(np.bincount(np.unique(th, return_inverse=True)[1]).max())):  # 1 but for hash collisions
-            i = np.minimum(at, len(th) - 1)
-            hit = (th[i] == h) & (tc[i] == c) & (at < len(th))
-            first = np.where(hit, np.minimum(first, td[i]), first)
-            at = at + 1
-    gone = order[first < mine]
+    gone = order[(first < mine) | _among(h, c, *_told(right))]  # told: a smaller document than any of the run's starts it
     out: list[np.ndarray | None] = [None] * len(texts)
     if len(gone):
         base = np.cumsum(w.words) - w.words
@@ -249,45 +322,40 @@ def _result(left: pa.Table, right: pa.Table, with_text: bool) -> pa.Table:
 
 
 def _dealt(docs: DataFrame, key: str, text: str, rest: list[str], parts: int, runs: int) -> DataFrame:
-    """Documents by run. Rows without an id get none of the ids that others have: they neither lose nor cover anything."""
-    cols = [F.col(key).alias("_k"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("_d"), S.text_bytes(text).alias("_b")]
+    """Documents by run, each row by itself, so that rows of one key are dealt out too."""
+    cols = [F.col(key).alias("_k"), F.col(key).cast("long").alias("_d"), S.text_bytes(text).alias("_b")]
     rows = docs.select(*cols, *([F.struct(*(F.col(c) for c in rest)).alias("_rest")] if rest else []))
-    return rows.withColumn("run", F.pmod(F.xxhash64("_k", F.lit(9)), F.lit(runs)).cast("int")).repartition(parts, "run")
+    return rows.withColumn("run", F.pmod(F.xxhash64("_k", "_b"), F.lit(runs)).cast("int")).repartition(parts, "run")
 
 
-def _parts(docs: DataFrame, text: str) -> int:
-    """Partitions so that none holds much more than PART_BYTES of text."""
+def _sizes(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Partitions and runs: runs of RUN_BYTES of text, and no partition of more than some of them."""
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    runs = max(1, -(-size // RUN_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // 4)), runs
 
 
-def deduplicate(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", history: DataFrame | None = None, buckets: int | None = None, with_text: bool = False, rest: list[str] | None = None
-) -> DataFrame:
+def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", history: DataFrame | None = None, with_text: bool = False, rest: list[str] | None = None) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 for every row; kept_text (null where nothing is removed) and `rest` on request.
 
     A word goes if a 13-word window over it also starts in a document with a smaller (integer) key, in docs or in the
-    index `history`; windows are judged on the input. Null texts have no words. Rows with a null key keep all words and
-    cover none. Repeated rows of one key don't cover each other. kept_sha256 is of the kept words joined by one space.
+    stored runs `history`; windows are judged on the input. Null texts have no words. Rows with a null key keep all
+    words and cover none. Rows that repeat a key don't cover each other. kept_sha256 is of the kept words joined by one
+    space.
     """
     rest = rest or []
-    parts = _parts(docs, text)
-    buckets = buckets or (INDEX_BUCKETS if history is not None else parts)
     own = docs.where(F.col(key).isNotNull())
-    dealt = _dealt(own, key, text, rest, parts, parts * RUNS)
+    parts, runs = _sizes(own, text)
+    dealt = _dealt(own, key, text, rest, parts, runs)
+    kept = lambda kind: None if history is None else history.where(F.col("kind") == kind)
 
-    up = dealt.groupBy("run").applyInArrow(lambda g: _anchor_run(g, buckets), _UP)
-    if history is not None:
-        up = up.unionByName(history.where(F.col("kind") == ANCHORS).select(*up.columns))
-    shared = up.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_shared_anchors, _DOWN)
-    local = dealt.groupBy("run").cogroup(shared.groupBy("run")).applyInArrow(lambda a, b: _window_run(a, b, buckets), _UP)
-    if history is not None:
-        local = local.unionByName(history.where(F.col("kind") == WINDOWS).select(*up.columns))
-    earlier = local.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_earlier_windows, _DOWN)
+    shared = _exchange(dealt.groupBy("run").applyInArrow(_anchor_run, _UP), runs, parts, kept(ANCHORS))
+    local = dealt.groupBy("run").cogroup(shared.groupBy("unit")).applyInArrow(_window_run, _UP)
+    earlier = _exchange(local, runs, parts, kept(WINDOWS))
     kind = own.schema[key].dataType.simpleString()
     carried = f", _rest {dealt.schema['_rest'].dataType.simpleString()}" if rest else ""
     schema = f"_k {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string{carried}"
-    found = dealt.groupBy("run").cogroup(earlier.groupBy("run")).applyInArrow(lambda a, b: _result(a, b, with_text), schema)
+    found = dealt.groupBy("run").cogroup(earlier.groupBy("unit")).applyInArrow(lambda a, b: _result(a, b, with_text), schema)
     plain = F.array_join(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""), " ")
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     without = docs.where(F.col(key).isNull()).select(
@@ -314,11 +382,12 @@ def strip(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
 class SubstringIndex:
     """Windows of all batches so far, as immutable runs in one folder that all executors see.
 
-    Each batch's ids must be larger than those before it, as only an earlier document's passage is kept.
+    Each batch's ids must be larger than those before it, as only an earlier document's passage is kept. After FAN
+    batches, or whenever told, the runs are compacted into one.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = INDEX_BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _folders(self) -> list[str]:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -333,38 +402,49 @@ class SubstringIndex:
         return self.spark.read.parquet(*folders) if folders else None
 
     def add(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", name: str) -> None:
-        """Writes the batch's anchors and windows as one run."""
+        """Writes the batch's anchors and windows as one run, and compacts when there are FAN of them."""
         own = docs.where(F.col(key).isNotNull())
-        parts = _parts(own, text)
-        dealt, buckets = _dealt(own, key, text, [], parts, parts * RUNS).groupBy("run"), self.buckets
-        anchors = dealt.applyInArrow(lambda g: _anchor_run(g, buckets), _UP).withColumn("kind", F.lit(ANCHORS))
-        windows = dealt.applyInArrow(lambda g: _window_run(g, None, buckets), _UP).withColumn("kind", F.lit(WINDOWS))
-        self._write(anchors.unionByName(windows), name)
-
-    def _write(self, rows: DataFrame, name: str) -> None:
-        merged = rows.drop("run").repartition("kind", "bucket").groupBy("kind", "bucket").applyInArrow(_compacted, f"kind int, {_UP}")
-        merged.sortWithinPartitions("kind", "bucket").write.parquet(f"{self.path}/{name}")
+        parts, runs = _sizes(own, text)
+        dealt = _dealt(own, key, text, [], parts, runs).groupBy("run")
+        anchors = dealt.applyInArrow(_anchor_run, _UP).withColumn("kind", F.lit(ANCHORS))
+        windows = dealt.applyInArrow(lambda g: _window_run(g, None), _UP).withColumn("kind", F.lit(WINDOWS))
+        self._write(anchors.unionByName(windows), name, runs, parts)
+        if len(self._folders()) >= 1 << FAN_BITS:
+            self.compact(name=f"{name}-compacted")
+
+    def _write(self, rows: DataFrame, name: str, runs: int, parts: int) -> None:
+        """Merges level by level, as _exchange() does, then by part; each part is stored as blobs of BLOB entries at most."""
+        for level in range(_levels(runs)):
+            owner = F.shiftright("unit", FAN_BITS)
+
+            rows = rows.repartition(parts, "kind", "part", owner).groupBy("kind", "part", owner.alias("owner")).applyInArrow(_raised(level, True), f"{_UP}, kind int")
+        merged = rows.drop("unit").repartition(parts, "kind", "part").groupBy("kind", "part").applyInArrow(_compacted, f"kind int, {_UP}")
+        merged.sortWithinPartitions("kind", "part").write.parquet(f"{self.path}/{name}")
 
     def compact(self, *, name: str) -> None:
         """Merges all runs into one, then removes them."""
         old = self._folders()
         if old:
-            self._write(self.spark.read.parquet(*old), name)
+            stored = self.spark.read.parquet(*old)
+            finest = stored.agg(F.max("part")).first()[0] or 0
+            level = max(0, -(-int(finest).bit_length() // FAN_BITS) - 1)
+            kinds = [_as_fine_as(stored.where(F.col("kind") == k), level).withColumn("kind", F.lit(k)) for k in (ANCHORS, WINDOWS)]
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self._write(kinds[0].unionByName(kinds[1]), name, 1, parts)
             for folder in old:
                 place = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
     def deduplicate(self, docs: DataFrame, *, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
-        return deduplicate(docs, key=key, text=text, history=self.runs(), buckets=self.buckets, **more)
+        return deduplicate(docs, key=key, text=text, history=self.runs(), **more)
 
 
 def _compacted(group: pa.Table) -> pa.Table:
-    """One run of a bucket: the merge of all its runs."""
-    kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
-    lists = [_unpack(*x) for x in zip(*(group.column(k).to_pylist() for k in ("n", "h", "c", "d")))]
-    h = np.concatenate([x[0] for x in lists])
-    if kind == ANCHORS:
-        row = [kind, bucket, HISTORY, *_pack(np.unique(h)), None, None]
-    else:
-        row = [kind, bucket, HISTORY, *_pack(*_first_of(h, *(np.concatenate([x[i] for x in lists]) for i in (1, 2))))]
-    return _table([row], f"kind int, {_UP}")
+    """One run of a part: the merge of all its runs."""
+    kind, part = group.column("kind")[0].as_py(), group.column("part")[0].as_py()
+    h, c, d = _merged(_lists(group))
+    rows = []
+    for i in range(0, len(h), BLOB):
+        more = (c[i : i + BLOB], d[i : i + BLOB]) if c is not None else ()
+        rows.append([kind, HISTORY, part, *_pack(h[i : i + BLOB], *more), *[None] * (2 - len(more))])
+    return _table(rows, f"kind int, {_UP}")

@@ -173,7 +173,7 @@ def test_substring_null_ids(spark):
 
 def test_substring_index_over_batches(spark, docs, corpus, tmp_path):
     """Batches of rising ids against an index, compacted on the way, give what one batch gives."""
-    index = substring_index.SubstringIndex(spark, str(tmp_path / "index"), buckets=16)
+    index = substring_index.SubstringIndex(spark, str(tmp_path / "index"))
     found = {}
     for n, (a, b) in enumerate(((0, 15), (15, 30), (30, 60))):
         batch = docs.where((F.col("doc_id") >= a) & (F.col("doc_id") < b))
@@ -185,6 +185,76 @@ def test_substring_index_over_batches(spark, docs, corpus, tmp_path):
     assert index.runs() is not None
 
 
+def test_substring_dedup_over_levels(docs, corpus, monkeypatch):
+    """More runs than one merge takes: what is told comes down through the levels."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(substring_index, "RUN_BYTES", size // 300)
+    parts, runs = substring_index._sizes(docs, "text")
+    assert substring_index._levels(runs) == 1
+    got = substring_index.deduplicate(docs).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {(i, *e) for i, e in windows_removed([r[:2] for r in corpus]).items()}
+
+
+def exchanged(units, monkeypatch, fan):
+    """substring_index's merges on the driver: told (unit -> h) and the number of blobs of all levels."""
+    import pyarrow as pa
+
+    X = substring_index
+    monkeypatch.setattr(X, "FAN_BITS", fan)
+    table = lambda rows: X._table(rows, X._UP)
+
+    def groups(t, *keys):
+        found = {}
+        for row in t.to_pylist():
+            found.setdefault(tuple(k(row) for k in keys), []).append(row)
+        return {k: pa.Table.from_pylist(v, schema=t.schema) for k, v in found.items()}
+
+    part, unit, owner = lambda r: r["part"], lambda r: r["unit"], lambda r: r["unit"] >> fan
+    up, steps = pa.concat_tables([table(X._cut(u, 0, *x)) for u, x in enumerate(units)]), []
+    blobs = up.num_rows
+    for level in range(X._levels(len(units))):
+        steps.append(up)
+        up = pa.concat_tables([X._next_level(g, level) for g in groups(up, part, owner).values()])
+        blobs += up.num_rows
+    down = pa.concat_tables([X._last_merge(g) for g in groups(up, part).values()])
+    for step in reversed(steps):
+        told = groups(down, lambda r: r["part"] >> fan, unit)
+        down = pa.concat_tables([X._pass_down(g, told.get(k, down.slice(0, 0))) for k, g in groups(step, part, owner).items()])
+    return {k[0]: X._told(g) for k, g in groups(down, unit).items()}, blobs
+
+
+@pytest.mark.parametrize("windows", [False, True])
+def test_merges_tell_each_run_what_it_needs(monkeypatch, windows):
+    r = np.random.default_rng(4)
+    pool = r.integers(0, 2**64, 3000, dtype=np.uint64)
+    units, has = [], {}
+    for u in range(100):  # 4 a merge: 100 runs make four levels
+        h = np.unique(r.choice(pool, 120))
+        c = np.where(h % np.uint64(7) == 0, r.integers(0, 2, len(h)), 0).astype(np.uint64)  # fingerprints with two checks
+        d = r.integers(0, 50, len(h)).astype(np.uint64)
+        units.append((h, *X_sorted(h, c, d)) if windows else (h,))
+        for x in zip(h.tolist(), c.tolist() if windows else [0] * len(h), d.tolist()):
+            has.setdefault(x[:2], []).append((x[2], u))
+    told, _ = exchanged(units, monkeypatch, 2)
+    for u, x in enumerate(units):
+        h, c = x[0], x[1] if windows else np.zeros(len(x[0]), np.uint64)
+        need = [min(has[k])[0] < d if windows else len(has[k]) > 1 for k, d in zip(zip(h.tolist(), c.tolist()), x[2].tolist() if windows else h.tolist())]
+        found = substring_index._among(h, c if windows else None, *told[u]) if u in told else np.zeros(len(h), bool)
+        assert found.tolist() == need
+
+
+def X_sorted(h, c, d):
+    return c, d
+
+
+def test_blobs_grow_with_the_runs(monkeypatch):
+    """Eight times the runs give some eight times the blobs, whatever the number of levels."""
+    r = np.random.default_rng(4)
+    count = lambda n: exchanged([(np.unique(r.integers(0, 2**64, 500, dtype=np.uint64)),) for _ in range(n)], monkeypatch, 3)[1]
+    few, many = count(64), count(512)
+    assert many < 8 * few * 1.6
+
+
 def test_packing(docs, corpus, empty):
     encoder = packing.encoder(packing.default_tokenizer()).tokenizer
     expected = {i: [*encoder.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in corpus}
@@ -406,6 +476,38 @@ def test_words_of_toxic_documents_only_score_more_the_more_there_are():
         last = score
 
 
+def test_fourier_features_approximate_the_kernel():
+    r = np.random.default_rng(0)
+    x, gamma, size = r.normal(size=(40, 16)) * 0.5, 1 / 64, 4000
+    w, b = r.normal(0, np.sqrt(2 * gamma), (16, size)), r.uniform(0, 2 * np.pi, size)
+    z = rff_quality._lift(x, np.zeros(16), np.ones(16), w, b)[:, :-1]
+    kernel = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(2))
+    assert np.abs(z @ z.T - kernel).max() < 0.08
+
+
+def test_normal_equations_are_summed_over_partitions(spark):
+    r = np.random.default_rng(1)
+    n = len(doc_stats.FEATURES)
+    x, y = r.normal(size=(300, n)), r.integers(0, 2, 300).astype(float)
+    lift = (x.mean(0), x.std(0), r.normal(size=(n, 20)), r.uniform(0, 6, 20))
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "features array<double>, y double").repartition(5)
+    gram, right = rff_quality._sums(rows, lift)
+    z = rff_quality._lift(x, *lift)
+    assert np.allclose(gram, z.T @ z) and np.allclose(right, z.T @ y)
+    assert np.allclose(np.linalg.solve(gram + 0.1 * np.eye(21), right), np.linalg.lstsq(np.vstack([z, np.sqrt(0.1) * np.eye(21)]), np.append(y, np.zeros(21)), rcond=None)[0])
+
+
+def test_isotonic_is_the_least_squares_fit():
+    """Pooled blocks against the min-max formula; each level is shrunk by one pseudo-row of the mean."""
+    r = np.random.default_rng(2)
+    x, y = np.arange(60.0), (r.random(60) < np.linspace(0.1, 0.9, 60)).astype(float)
+    mean = lambda i, j: y[i : j + 1].mean()
+    fit = np.array([max(min(mean(i, j) for j in range(k, 60)) for i in range(k + 1)) for k in range(60)])
+    size = np.array([(fit == v).sum() for v in fit])
+    knots, levels = rff_quality.isotonic(x, y)
+    assert np.allclose(np.interp(x, knots, levels), (fit * size + y.mean()) / (size + 1))
+
+
 def test_isotonic_levels_rise():
     x = np.array([3.0, 1, 2, 2, 5, 4])
     knots, levels = rff_quality.isotonic(x, np.array([1.0, 0, 1, 0, 0, 1]))
@@ -439,6 +541,52 @@ def test_mixing_meets_targets(spark, empty):
     assert {r.rate for r in mixing.mix_rates(docs, spark.createDataFrame([], LABELS), targets).collect()} == {1.0}
 
 
+def least_squares(t, p, goal, low, high, start):
+    """Brute force: projected gradient on every document's rate by itself, to the optimum of the squared misses."""
+    a = p * t[:, None]
+    step, r = 1 / np.linalg.norm(a, 2) ** 2, np.full(len(t), start)
+    for _ in range(20_000):
+        r = np.clip(r - step * (a @ (r @ a - goal)), low, high)
+    return ((r @ a - goal) ** 2).sum()
+
+
+@pytest.mark.parametrize("high", [16.0, 2.0, 1.2])
+def test_mixing_rates_are_the_least_squares(spark, high):
+    """With reachable targets and with targets that the bound on copies keeps out of reach."""
+    docs, labels = mixed(spark)
+    targets = {"en": 0.2, "de": 0.2, "fr": 0.6}
+    model = mixing.fit_domains(mixing.labelled_documents(docs, labels))
+    members = mixing.memberships(docs, model).cache()
+    rows = members.collect()
+    t, p = np.array([r.t for r in rows], float), np.array([r.p for r in rows])
+    encode = packing.encoder(packing.default_tokenizer()).tokenizer.encode
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r._key: r.t for r in rows} == {i: len(encode(x, add_special_tokens=False).ids) + 1 for i, x in texts.items()}
+    goal = np.array([targets[d] for d in model.domains]) * t.sum()
+    best = least_squares(t, p, goal, 0.0, high, 1.0)
+    if high < 16:
+        with pytest.warns(UserWarning, match="miss the target"):
+            mix = mixing.fit(members, model, targets, high=high)
+    else:
+        mix = mixing.fit(members, model, targets, high=high)
+        assert mix.missed < 1e-6
+    rates = mix.rates(p)
+    assert rates.min() >= 0 and rates.max() <= high and np.allclose((rates * t) @ p, mix.expected)
+    assert ((np.array(mix.expected) - goal) ** 2).sum() <= best * 1.01 + (1e-5 * goal.sum()) ** 2
+
+
+def test_copies_are_bounded_and_rows_kept(spark):
+    r = random.Random(1)
+    en, de = (lambda: " ".join("".join(r.choice(x) for _ in range(5)) for _ in range(20)) for x in ("aeinst", "üchukz"))
+    rows = [(i, en(), "en", "s", 0) for i in range(200)] + [(200, de(), "de", "s", 0), (None, en(), "en", None, None), (7, en(), "en", "s", 0), (7, en(), "en", "s", 0)]
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i, 1, 0) for i in range(201)], LABELS)
+    docs = docs.withColumn("_rate", F.lit("clash")).withColumn("domain", F.lit(1))
+    with pytest.warns(UserWarning, match="miss the target"):
+        out = mixing.resample(docs, labels, {"en": 0.2, "de": 0.8}).collect()
+    times = {i: sum(1 for x in out if x.doc_id == i) for i in (*range(201), None)}
+    assert times[200] == 16 and all(1 <= times[i] <= 16 for i in times if i != 7) and times[7] >= 3
+
+
 def chats(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
 
@@ -461,6 +609,36 @@ def test_chats_read_back(spark):
     assert sums[2].n_turns == 2 and sums[2].loss_chars == 8 and sums[1].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in expected[1]).encode()).hexdigest()
 
 
+def test_long_conversations(spark):
+    """Thousands of turns: spans are gathered in stretches, and still cover just the texts."""
+    turns = [(1, i, "assistant" if i % 3 else "user", f"t{i}" * (i % 5)) for i in range(3000)] + [(2, 0, "user", "x")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    made = {r.conv_id: r for r in chat_format.format_chats(rows).collect()}
+    cut = [made[1].formatted[s.start : s.start + s.length] for s in made[1].loss_spans]
+    assert cut == [t for _, _, role, t in turns[:3000] if role == "assistant"] and made[2].loss_spans == []
+
+
+def test_hostile_cells_cost_their_length():
+    import time
+    import zipfile
+    from io import BytesIO
+
+    def seconds(n):
+        began = time.perf_counter()
+        for magic in (b"%PDF-", b"PK\x03\x04", b"PK\x05\x06" + bytes(18), b"\x1f\x8b\x08\x00", b"RIFF\xff\xff\x00\x00WAVE", b"\x89PNG\r\n\x1a\n\x00\x00\xff\xffIHDR", b"BM"):
+            media.sniff(magic * n)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(32_000) < 40 * max(seconds(2_000), 0.02)
+    file = BytesIO()
+    with zipfile.ZipFile(file, "w") as z:
+        for i in range(5):
+            z.writestr(f"{i}.txt", "text" * i)
+    data = file.getvalue()
+    assert media.sniff(data) == [(0, len(data), "application/zip")] and media.sniff(b"xx" + data + b"yy") == [(2, len(data), "application/zip")]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
