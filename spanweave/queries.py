@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -638,3 +639,132 @@ def top_share(t):
     cells = sw.reset_index(sw.reduce(t("orders"), ["o_custkey", "o_orderpriority"], {"n": Count.on()}), dense=False)
     total = lambda f: F.aggregate(f["n"], F.lit(0).cast("long"), lambda a, x: a + x)
     return sw.map_fields(sw.partition(cells, "o_custkey"), ["fiber"], lambda f: F.round(F.array_max(f["n"]) / total(f), 6), "top_share")
+
+
+# --- exits, handles, sources, streams
+
+
+@query("SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey = 7")
+def row_by_label(t):
+    ds = sw.keep(t("customer"), ["c_custkey", "c_name", "c_nationkey"])
+    return ds.df.sparkSession.createDataFrame([ds[7]], ds.df.schema)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def column_view(t):
+    return t("customer")["c_name"]
+
+
+@query("SELECT n_nationkey, n_name, lower(n_name) AS quiet FROM nation WHERE n_nationkey IN (0, 2, 4, 24)")
+def rows_by_position(t):
+    ds = sw.map_fields(sw.keep(t("nation"), ["n_nationkey", "n_name"]), "n_name", F.lower, "quiet", lazy=True)
+    return ds.df.sparkSession.createDataFrame([*ds.rows().__getitems__([0, 4, 2]), ds.rows()[-1]], "n_nationkey int, n_name string, quiet string")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def rows_streamed(t):
+    ds = sw.keep(t("region"), ["r_regionkey", "r_name"])
+    return ds.df.sparkSession.createDataFrame(list(ds.rows()), ds.df.schema)
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey IN (1, 2) THEN 'changed' ELSE n_name END AS n_name, length(CASE WHEN n_nationkey IN (1, 2) THEN 'changed' ELSE n_name END)::INTEGER AS size FROM nation")
+def handles(t):
+    context = sw.keep(t("nation"), ["n_nationkey", "n_name"]).context()
+    context["n_name"].loc[[1, 2]] = "changed"
+    size = sw.map_fields(context["n_name"], F.length, "size")
+    return size.collect()
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def within_context(t):
+    with t("supplier").context() as context:
+        sw.where("s_acctbal > 0")
+        sw.keep(["s_suppkey", "s_acctbal"])
+    return context.dataset
+
+
+@query("SELECT s_nationkey, sum(s_acctbal)::DOUBLE AS total, count(*) AS n FROM supplier GROUP BY 1")
+def reducers_on_handles(t):
+    fibers = sw.partition(t("supplier"), "s_nationkey").field("fiber")
+    Sum.on("s_acctbal")(fibers, out="total")
+    out = Count.on()(fibers, out="n").collect()
+    return sw.assign(out, total=F.round("total", 4))
+
+
+ORACLE_SQL["reducers_on_handles"] = ORACLE_SQL["reducers_on_handles"].replace("sum(s_acctbal)::DOUBLE", "round(sum(s_acctbal)::DOUBLE, 4)")
+
+
+@query("SELECT r_regionkey, 3 AS n, (9 * r_regionkey)::DOUBLE AS total FROM region")
+def read_arrays(t):
+    """Arrays by item, read in part on the executors: 2, 3 and 4 times the region's number."""
+    from spanweave.sources import arrays
+
+    regions = sw.assign(sw.keep(t("region"), ["r_regionkey"]), a=F.lit(2), b=F.lit(5))
+    source = arrays.MemoryArraySource({str(k): np.arange(100, dtype=np.float32) * k for k in range(5)}, (AXIS,))
+    cell = F.struct(F.col("r_regionkey").cast("string").alias("item"), F.lit(None).cast("struct<axis: struct<start: int, stop: int>>").alias("slice"))
+    ds = sw.compose_slice(sw.assign(regions, data=(DataField("data", dimensions=(AXIS,)), cell)), "part", {"axis": ("a", "b")})
+    read = sw.consume(sw.materialize(sw.slice_data(ds, "part", "data"), "data", reader=arrays.reader(source)))
+    total = F.udf(lambda c: float(arrays.to_array(c).sum()), "double", useArrow=False)
+    return read.df.select("r_regionkey", F.col("data.shape")[0].alias("n"), total("data").alias("total"))
+
+
+@query("SELECT n_nationkey, n_nationkey AS n FROM nation")
+def mock_from_dimensions(t):
+    """Random arrays whose lengths are told by the rows."""
+    from spanweave.sources import arrays
+
+    ds = sw.assign(sw.keep(t("nation"), ["n_nationkey"]), size=(sw.DimensionField.from_dim("size", AXIS, None), F.col("n_nationkey").cast("double")))
+    made, source = arrays.make_mock_dataset_from_dims(ds)
+    return sw.consume(sw.materialize(made, "data", reader=arrays.reader(source))).df.select("n_nationkey", F.col("data.shape")[0].alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 250")
+def dataset_range(t):
+    """A range of rows of a stored dataset."""
+    from spanweave.sources.datasets import DatasetStore
+
+    ds = sw.keep(t("orders"), ["o_orderkey", "o_totalprice"])
+    return DatasetStore(ds.df.sparkSession, _place(t)).put("orders", ds).read(250, 750)
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey IN (3, 5, 9)")
+def plan_from_series(t):
+    import pandas as pd
+
+    ds = sw.assign(sw.keep(t("customer"), ["c_custkey", "c_acctbal"]), who=F.col("c_custkey"))
+    return sw.explode(ds, sw.make_plan.from_series(ds, pd.Series([9, 3, 5]))).df.select(F.col("who").alias("c_custkey"), "c_acctbal")
+
+
+def _streamed(t, name: str, made, mode: str) -> DataFrame:
+    """What a query over the stream of a table's files wrote when all of them were read."""
+    ds, place = t(name), _place(t)
+    spark = ds.df.sparkSession
+    stream = spark.readStream.schema(ds.df.schema).parquet(f"{ds.sources[0].source_uri[:-1]}?")  # a pattern may also name a single file
+    out = made(stream)
+    write = lambda df, n: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{place}/rows")
+    out.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/rows")
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(t):
+    from spanweave import streaming
+
+    hours = lambda s: streaming.windowed(s, "ts", AxisWindow(3600), {"n": Count.on()}, by=["event_type"])
+    return _streamed(t, "events", hours, "complete").select("start", "event_type", "n")
+
+
+@query("SELECT event_id, upper(event_type) AS loud FROM events WHERE event_type <> 'view'")
+def stream_stateless(t):
+    def rows(s):
+        ds = sw.where(Dataset(s, Schema((IndexField("event_id"), ValueField("event_type")))), "event_type <> 'view'")
+        return sw.map_fields(ds, "event_type", F.upper, "loud").df.select("event_id", "loud")
+
+    return _streamed(t, "events", rows, "append")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_first_seen(t):
+    from spanweave import streaming
+
+    return _streamed(t, "events", lambda s: streaming.first_seen(s, ["user_id"], "ts", late="400 days").select("user_id"), "append")
