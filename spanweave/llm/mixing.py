@@ -1,5 +1,7 @@
 """Mixing to target weights with soft memberships.
 
+A document's tokens are those that packing makes of it: its ids by the tokenizer, and one that ends it.
+
 A classifier learned from a labelled table gives each document a posterior over domains. With t_i tokens and posterior
 p_i, rates r_i give domain k the expected tokens T_k = sum_i r_i t_i p_ik. Rates are fitted by projected gradient descent
 on the weighted squares of T - T*, the targets: each step is r <- clip(r - p . d) with d = G^-1 (T - T*), where
@@ -9,12 +11,13 @@ few vectors d so far, so nothing of the corpus's size is kept, shuffled or sent
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
@@ -22,6 +25,8 @@ from spanweave.llm import _support as S
 #: Labelled documents a fit reads at most; rounds of descent at most; the residual, as a share of the target, to stop at.
 MAX_LABELLED, MAX_ROUNDS, TOLERANCE = 8_000, 60, 1e-7
 BINS, STEPS, RIDGE = 512, 150, 1e-3
+#: Copies of a document at most, unless told. A target that this keeps from being met is reported.
+MAX_COPIES = 16.0
 #: Rates of the domains the production mix asks for.
 TARGETS = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
 
@@ -86,6 +91,14 @@ class Mix:
     steps: tuple[tuple[float, ...], ...]
     low: float
     high: float
+    #: The tokens of each domain: expected with these rates, and asked for.
+    expected: tuple[float, ...] = ()
+    goal: tuple[float, ...] = ()
+
+    @property
+    def missed(self) -> float:
+        """The sum of the domains' differences, as a share of the tokens asked for."""
+        return sum(abs(a - b) for a, b in zip(self.expected, self.goal)) / max(sum(self.goal), 1e-12)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
         r = np.full(len(p), self.start)
@@ -94,15 +107,29 @@ class Mix:
         return r
 
 
-def _memberships(docs: DataFrame, model: DomainModel, text: str) -> DataFrame:
-    """t, p of each row: its words and its posterior."""
+def token_counts(texts: list[bytes], tokenizer: str) -> np.ndarray:
+    """Tokens of each text as packing counts them, the end's included."""
+    from spanweave.llm.packing import CHUNK, encoder
+    from spanweave.llm.words import chunks
+
+    counts = [encoder(tokenizer).encode(texts[a:b])[1] for a, b in chunks(texts, CHUNK)]
+    return (np.concatenate(counts) if counts else np.zeros(0, np.int64)) + 1
+
+
+def memberships(docs: DataFrame, model: DomainModel, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """_key, t, p of each row: its key, its tokens and its posterior. A null text is empty: one token."""
+    from spanweave.llm.packing import default_tokenizer
+
+    path = tokenizer or default_tokenizer()
+    rows = docs.select(F.col(key).alias("_key"), S.text_bytes(text).alias("_b"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in S.slices(batches):
-            texts = S.byte_values(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(model.posterior(texts).tolist(), pa.list_(pa.float64()))], ["t", "p"])
+        for batch in S.slices(batches, 1024):
+            texts = S.byte_values(batch.column(1))
+            p = pa.array(model.posterior(texts).tolist(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(token_counts(texts, path)), p], ["_key", "t", "p"])
 
-    return docs.select(S.text_bytes(text).alias("b")).mapInArrow(look, "t long, p array<double>")
+    return rows.mapInArrow(look, f"_key {rows.schema['_key'].dataType.simpleString()}, t long, p array<double>")
 
 
 def _sums(members: DataFrame, mix: Mix) -> tuple[np.ndarray, np.ndarray]:
@@ -120,20 +147,18 @@ def _sums(members: DataFrame, mix: Mix) -> tuple[np.ndarray, np.ndarray]:
             gram += (p * (t * free)[:, None]).T @ p
         yield pa.RecordBatch.from_arrays([pa.array(range(k + k * k), pa.int32()), pa.array(np.concatenate([total, gram.ravel()]))], ["i", "v"])
 
-    found = {x.i: x.v for x in members.mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    found = {x.i: x.v for x in members.select("t", "p").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()}
     flat = np.array([found.get(i, 0.0) for i in range(k + k * k)])
     return flat[:k], flat[k:].reshape(k, k)
 
 
-def fit(
-    docs: DataFrame, model: DomainModel, targets: dict[str, float], *, text: str = "text", keep_all: bool = False, low: float = 0.0, high: float = float("inf")
-) -> Mix:
+def fit(members: DataFrame, model: DomainModel, targets: dict[str, float], *, keep_all: bool = False, low: float = 0.0, high: float = MAX_COPIES) -> Mix:
     """The mix whose expected domain tokens are as the targets' weights, as near as rates from low to high can come.
 
     The sum is the corpus's tokens or, with keep_all, so large that the most over-represented domain keeps rate 1.
-    Domains without a target get weight 0; targets of domains without any tokens are left out.
+    Domains without a target get weight 0; targets of domains without any tokens are left out. members is read once a
+    round. mix.missed tells what was not met; more than one in a hundred is warned of.
     """
-    members = S.written(_memberships(docs, model, text))
     first = Mix(model, 1.0, (), -np.inf, np.inf)
     total, _ = _sums(members, first)
     w = np.array([max(targets.get(d, 0.0), 0.0) if t > 0 else 0.0 for d, t in zip(model.domains, total)])
@@ -142,48 +167,50 @@ def fit(
     w = w / w.sum()
     goal = w * (np.max(np.where(w > 0, total / np.maximum(w, 1e-12), 0.0)) if keep_all else total.sum())
     start = float(np.clip(goal.sum() / total.sum(), max(low, 1e-6), high))
-    mix, best, damp = Mix(model, start, (), low, high), None, 1.0
+    steps: tuple[tuple[float, ...], ...] = ()
+    best, damp = None, 1.0
     for _ in range(MAX_ROUNDS):
-        now, gram = _sums(members, mix)
+        now, gram = _sums(members, Mix(model, start, steps, low, high))
         miss = now - goal
-        size = float(np.abs(miss).sum() / goal.sum())
+        size = float((miss**2).sum())
         if best is not None and size > best[0] * (1 - 1e-9):
             damp /= 2
             if damp < 1 / 64:
-                return best[1]
-            mix = Mix(model, start, (*best[1].steps, tuple(damp * best[2])), low, high)
-            continue
-        damp = 1.0 if best is None or size < 0.5 * best[0] else damp
-        if not mix.steps or mix.start != start:
-            gram = gram if gram.any() else np.diag(np.maximum(now, 1.0))
-        ridge = 1e-9 * max(np.trace(gram), 1.0) * np.eye(len(gram))
-        best = (size, mix, np.linalg.solve(gram + ridge, miss))
-        if size < TOLERANCE:
-            return mix
-        mix = Mix(model, start, (*mix.steps, tuple(damp * best[2])), low, high)
-    return best[1]
-
-
-def apply(docs: DataFrame, mix: Mix, columns: list[str], *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`columns` of docs with domain (the likeliest), n_tokens, rate and n_copies for every row, in one scan.
-
-    n_copies is the rate rounded up or down so that its mean over keys is the rate; equal keys are rounded alike. A null
-    text has no tokens and the posterior of an empty one.
-    """
-    rows = docs.select(S.text_bytes(text).alias("_b"), *(F.col(c) for c in columns))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+                break
+        else:
+            damp = 1.0 if best is None or size < 0.25 * best[0] else damp
+            if not gram.any():
+                gram = np.diag(np.maximum(now, 1.0))
+            ridge = 1e-9 * max(np.trace(gram), 1.0) * np.eye(len(gram))
+            best = (size, steps, np.linalg.solve(gram + ridge, miss), now)
+            if np.abs(miss).sum() < TOLERANCE * goal.sum():
+                break
+        steps = (*best[1], tuple(damp * best[2]))
+    mix = Mix(model, start, best[1], low, high, tuple(best[3].tolist()), tuple(goal.tolist()))
+    if mix.missed > 0.01:
+        warnings.warn(f"rates from {low} to {high} miss the target by {mix.missed:.1%} of its tokens", UserWarning, stacklevel=2)
+    return mix
+
+
+def _copies(rate: Column, key: Column) -> Column:
+    """The rate rounded up or down so that its mean over keys is the rate; equal keys are rounded alike."""
+    chance = F.shiftrightunsigned(F.xxhash64(key, F.lit(17)), 11) * F.lit(2.0**-53)
+    return F.floor(rate + chance).cast("long")
+
+
+def planned(members: DataFrame, mix: Mix, *, key: str = "doc_id") -> DataFrame:
+    """key, domain (the likeliest), n_tokens, rate and n_copies for each row of memberships(); no text is read."""
     names = np.array(mix.model.domains, object)
+    k = len(names)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in S.slices(batches):
-            texts = S.byte_values(batch.column(0))
-            p = mix.model.posterior(texts)
-            top = names[p.argmax(1)].tolist() if len(texts) else []
-            new = [pa.array(top, pa.string()), pa.array([len(t.split()) for t in texts], pa.int64()), pa.array(mix.rates(p), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], [*columns, "domain", "n_tokens", "rate"])
+        for batch in batches:
+            p = np.array(batch.column(2).to_pylist(), float).reshape(-1, k)
+            top = names[p.argmax(1)].tolist() if len(p) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(top, pa.string()), batch.column(1), pa.array(mix.rates(p), pa.float64())], ["_key", "domain", "n_tokens", "rate"])
 
-    chance = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(17)), 11) * F.lit(2.0**-53)
-    return rows.mapInArrow(look, f"{schema}, domain string, n_tokens long, rate double").withColumn("n_copies", F.floor(F.col("rate") + chance).cast("long"))
+    rated = members.mapInArrow(look, f"_key {members.schema['_key'].dataType.simpleString()}, domain string, n_tokens long, rate double")
+    return rated.select(F.col("_key").alias(key), "domain", "n_tokens", "rate", _copies(F.col("rate"), F.col("_key")).alias("n_copies"))
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", domain: str = "lang", most: int = MAX_LABELLED) -> DataFrame:
@@ -193,17 +220,37 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "lang", **limits) -> DataFrame:
-    """key, domain, n_tokens, rate, n_copies for every row of docs: the sampling plan of one mixed corpus."""
+    """key, domain, n_tokens, rate, n_copies for every row of docs: the sampling plan of one mixed corpus.
+
+    A null or empty text has one token and the posterior of an empty one. Rows that repeat a key each get their rate and
+    are rounded alike; rows with a null key are, too. Equal texts get equal rates. Without labelled rows there is one
+    domain "" and each rate is 1; an empty table gives no rows. Texts are read once, apart from the labelled sample.
+    """
     model = fit_domains(labelled_documents(docs, labels, key=key, text=text, domain=domain), text=text, domain=domain)
-    return apply(docs, fit(docs, model, targets or TARGETS, text=text, **limits), [key], key=key, text=text)
+    members = S.written(memberships(docs, model, key=key, text=text))
+    return planned(members, fit(members, model, targets or TARGETS, **limits), key=key)
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "lang", keep_all: bool = True, low: float = 1.0) -> DataFrame:
-    """docs with each row as often as its n_copies tells, all columns kept; by default no row is dropped (rates from 1)."""
+def resample(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "lang", keep_all: bool = True, low: float = 1.0,
+    high: float = MAX_COPIES,
+) -> DataFrame:
+    """docs with each row as often as its n_copies tells, all columns kept, whatever their names.
+
+    By default no row is dropped (rates from 1) and none is there more than `high` times, even if the target is missed
+    then; a warning tells. Nulls, repeats and empty tables are as in mix_rates(). Rows are repeated where they are read:
+    nothing is shuffled.
+    """
     model = fit_domains(labelled_documents(docs, labels, key=key, text=text, domain=domain), text=text, domain=domain)
-    mix = fit(docs, model, targets or TARGETS, text=text, keep_all=keep_all, low=low)
-    named = docs.select(*(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)))
-    at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    every = apply(named, mix, named.columns, key=at[key], text=at[text]).where("n_copies > 0")
-    often = every.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    return often.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    with S.scratch(docs.sparkSession):
+        mix = fit(S.written(memberships(docs, model, key=key, text=text)), model, targets or TARGETS, keep_all=keep_all, low=low, high=high)
+    rows = docs.select(S.text_bytes(text).alias("_b"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in S.slices(batches):
+            rates = pa.array(mix.rates(mix.model.posterior(S.byte_values(batch.column(0)))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], rates], [*batch.schema.names[1:], "_rate"])
+
+    often = rows.mapInArrow(look, f"{schema}, _rate double").withColumn("_n", _copies(F.col("_rate"), F.col(f"_c{docs.columns.index(key)}"))).where("_n > 0")
+    return often.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).drop("_rate", "_n", "_i").toDF(*docs.columns)
