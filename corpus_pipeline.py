@@ -1,6 +1,7 @@
 """The corpus pipeline: raw documents to packed training sequences.
 
-Each stage reads all that the one before kept and, but for the last, returns the columns of documents.
+Each stage reads all that the one before kept and, but for the last, returns the columns of documents, further ones too,
+whatever their names. A null text counts as empty; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,29 +19,33 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Equal texts are judged alike; without labels of both classes each
+    document has the share of good ones as its score."""
     return rff_quality.keep(docs, _labels(ship(spark), sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles stays, that of the smallest id."""
+    """One document of each group that shares 80 % of its five-word shingles stays, that of the smallest id; so do rows
+    without an id. Repeated rows count once, and texts without words are one group."""
     ship(spark)
     return shingle_sets.dedup(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go from the texts; documents without any words left go."""
+    """Passages that an earlier document has go from the texts; documents that lose all their words go. Rows without an id
+    keep their texts, and so do those without words; rows of one id don't take from each other."""
     ship(spark)
     return substring_index.strip(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages reach their target weights by repeating documents; none is dropped."""
+    """Languages reach their target weights, in tokens as packing counts them, by repeating documents; none is dropped, and
+    none is there more than 16 times: a target missed for that is warned of."""
     return mixing.resample(docs, _labels(ship(spark), sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of binary lengths, each a sequence."""
+    """Token pieces of binary lengths, each a sequence. Each row is packed by itself; an empty text is its end token."""
     ship(spark)
     return packing.pack(docs)
 
