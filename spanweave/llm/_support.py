@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanweave.storage import shared_folder, written  # noqa: F401  the operators' way to shared tables
+from spanweave.storage import scratch, shared_folder, written  # noqa: F401  the operators' way to shared tables
 
 #: Keys that joined() deals over SALTS parts, the most frequent ones, and the rows that such a key has at least.
 HOT_KEYS, HOT_ROWS, SALTS = 500, 2000, 64
+#: Bits of a bitmap of hashed keys, which is broadcast: 8 MiB at every input size.
+BITMAP_BITS, _BUCKET_BITS = 1 << 26, 1 << 15
 #: Words are maximal runs of other characters than these six; bytes.split() cuts at the same ones.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -60,6 +62,26 @@ def joined(many: DataFrame, one: DataFrame, on: str, how: str = "inner", *, coun
     return dealt.join(copies, [on, "_salt"], how).drop("_salt")
 
 
+def bitmap(keys: DataFrame, *columns: str) -> DataFrame:
+    """_bucket, _bits: the hashed keys as a bitmap of BITMAP_BITS, in pieces."""
+    at = keys.select((F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS)) + 1).alias("_at"))
+    return at.groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+
+
+def with_hits(rows: DataFrame, pieces: DataFrame, *columns: str) -> DataFrame:
+    """rows with _hit: false if the row's key is surely not in a bitmap(), true if it may be.
+
+    So that only rows that may matter are shuffled. The more keys the bitmap holds, the more other rows it lets pass.
+    """
+    at = F.pmod(F.xxhash64(*columns), F.lit(BITMAP_BITS))
+    place = F.pmod(at, F.lit(_BUCKET_BITS)).cast("int")
+    bucket = (F.floor(at / F.lit(_BUCKET_BITS)) + 1).cast("long")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8))) == 1, F.lit(False))
+    told = rows.withColumn("_bucket", bucket).join(F.broadcast(pieces), "_bucket", "left")  # BITMAP_BITS bound the pieces
+    return told.withColumn("_hit", hit).drop("_bucket", "_bits")
+
+
 def byte_values(array: pa.Array) -> list[bytes]:
     """The values of a binary Arrow column."""
     return array.to_pylist()

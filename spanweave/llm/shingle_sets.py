@@ -4,11 +4,11 @@ At a similarity of 0.8 two SimHashes differ in about 10 of 64 bits, and no choic
 such pairs and rare for others, as it is for simhash.py's 2 bits. So fingerprints are dealt into blocks by BANDS keys of
 ROWS min-hashes each, of which a pair at 0.8 misses all with probability (1 - 0.8^5)^20 = 0.0004, and one of higher
 similarity less often. Within the blocks they are compared bit-sliced, and pairs beyond a radius that a pair at 0.8 keeps
-to in all but 1 of 5,000 cases are abandoned; what is left is checked on the whole sets.
+to in all but 1 of 5,000 cases are abandoned; of what is left fingerprints of 1024 bits are compared, then whole sets.
 
 First each document is compared with its block's smallest member; then, within a block, all pairs that these links have
-left in different components. So every pair within the radius is either checked or joined already, and a large group of
-near copies costs as many checks as it has members, not their square.
+left in different components. So every pair within the radius is either checked or joined already, a group of near
+copies that are alike costs as many checks as it has members, and no block gives more links than members.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.llm import _support as S
@@ -27,6 +27,8 @@ from spanweave.llm.words import BASES, chunks, mix, over, word_hashes, word_span
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 20, 5, 42
+#: Bits of the fingerprints that pairs are compared by before their sets are.
+WIDE = 1024
 #: Deviations of the expected number of differing bits that the radius allows for.
 SPREAD = 3.6
 #: Text bytes hashed at once.
@@ -35,10 +37,10 @@ _ODD = np.random.default_rng(SEED).integers(0, 2**31, BANDS * ROWS, dtype=np.uin
 _BIT = (np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1
 
 
-def radius(similarity: float) -> int:
-    """Bits in which SimHashes of sets of that similarity differ at most: the mean of 64 and SPREAD deviations."""
+def radius(similarity: float, bits: int = 64) -> int:
+    """Bits in which SimHashes of sets of that similarity differ at most: the mean and SPREAD deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return min(63, int(np.ceil(64 * p + SPREAD * np.sqrt(64 * p * (1 - p)))))
+    return min(bits - 1, int(np.ceil(bits * p + SPREAD * np.sqrt(bits * p * (1 - p)))))
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -64,10 +66,7 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if len(full):
         values = np.concatenate([sets[i] for i in full.tolist()])
         of = np.repeat(np.arange(len(full)), size[full])
-        octets = values.astype(">u8").view(np.uint8).reshape(-1, 8)
-        bits = [np.bincount(of * 256 + octets[:, i], minlength=256 * len(full)).reshape(-1, 256) @ _BIT for i in range(8)]
-        majority = 2 * np.concatenate(bits, 1) > size[full][:, None]
-        fps[full] = np.packbits(majority, axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
+        fps[full] = np.packbits(_majority(values, of, size[full]), axis=1).view(">u8").astype(np.uint64).view(np.int64).ravel()
         short, start = (values >> np.uint64(32)).astype(np.uint32), np.cumsum(size[full]) - size[full]
         for band in range(BANDS):
             key = np.full(len(full), band + 1, np.uint64)
@@ -80,6 +79,25 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return fps, keys
 
 
+def _majority(values: np.ndarray, of: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each set (values of set `of`, set sizes) the 64 bits that most of its values have, as flags."""
+    octets = values.astype(">u8").view(np.uint8).reshape(-1, 8)
+    bits = [np.bincount(of * 256 + octets[:, i], minlength=256 * len(size)).reshape(-1, 256) @ _BIT for i in range(8)]
+    return 2 * np.concatenate(bits, 1) > size[:, None]
+
+
+def wide_simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of WIDE bits of each set as bytes, one row each; zero of an empty one."""
+    size = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(size)
+    out = np.zeros((len(sets), WIDE // 8), np.uint8)
+    if len(full):
+        values, of = np.concatenate([sets[i] for i in full.tolist()]), np.repeat(np.arange(len(full)), size[full])
+        for i in range(WIDE // 64):
+            out[full, 8 * i : 8 * i + 8] = np.packbits(_majority(mix(values + np.uint64(i + 1) * BASES[1]), of, size[full]), axis=1)
+    return out
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays without repeats."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -94,26 +112,28 @@ def _sid(members: np.ndarray) -> int:
     return got - (1 << 64) if got >> 63 else got
 
 
-_NEW = ("_sid", "_n", "_fp", "_ks")
+#: What names a row: its key and two hashes of its text. Rows that agree in them are repeats of each other.
+_ROW = ("_key", "_h", "_g")
+
+
+def _rows(docs: DataFrame, key: str, text: str, *rest: Column) -> DataFrame:
+    plain = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(key).alias("_key"), F.xxhash64(plain).alias("_h"), F.hash(plain, F.lit(1)).alias("_g"), *rest)
 
 
 def _described(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs, columns renamed to _c0, _c1, .., with a row number _r, the set's name _sid (null without a key), size, SimHash and band keys."""
-    place = {c: i for i, c in enumerate(docs.columns)}
-    rows = docs.select(F.monotonically_increasing_id().alias("_r"), F.col(key).isNotNull().alias("_own"), S.text_bytes(text).alias("_b"), *(F.col(c).alias(f"_c{i}") for c, i in place.items()))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[3:])
+    """Of each row with a key: _ROW, sid (the set's name), n (its size), fp (its SimHash), ks (band keys)."""
+    rows = _rows(docs.where(F.col(key).isNotNull()), key, text, S.text_bytes(text).alias("_b"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches):
-            sets = shingle_sets(S.byte_values(batch.column(2)))
+            sets = shingle_sets(S.byte_values(batch.column(3)))
             fps, keys = sketches(sets)
-            own = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            sids = pa.array(np.array([_sid(s) for s in sets], np.int64), mask=~own)
             ks = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-            new = [sids, pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), ks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new, *batch.columns[3:]], ["_r", *_NEW, *batch.schema.names[3:]])
+            new = [pa.array([_sid(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), ks]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *new], [*_ROW, "sid", "n", "fp", "ks"])
 
-    return rows.mapInArrow(scan, f"_r long, _sid long, _n long, _fp long, _ks array<long>, {kinds}")
+    return rows.mapInArrow(scan, f"_key {rows.schema['_key'].dataType.simpleString()}, _h long, _g int, sid long, n long, fp long, ks array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -150,63 +170,83 @@ def _alike(a, b, similarity: float):
 
 
 def _blocks(firsts: DataFrame) -> DataFrame:
-    """k, sid, n, fp and the block's smallest member (head: sid, n, fp) for members of blocks of two or more."""
+    """k, sid, n, fp, the block's smallest member (head: sid, n, fp) and size (_n), for members of blocks of two or more."""
     keyed = firsts.where("n > 0").select(F.explode("ks").alias("k"), "sid", "n", "fp")
     heads = S.written(keyed.groupBy("k").agg(F.min(F.struct("sid", "n", "fp")).alias("head"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    return S.joined(keyed, heads, "k", counts=heads).drop("_n")
+    return S.joined(keyed, heads, "k", counts=heads)
+
 
+def _links(sid: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray, s: np.ndarray, w: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the components of one block, one for each two of them that meet: m members give m - 1 at most.
 
-def _across(blocks: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """u, v: the pairs of each block within the radius that stand in different components and weren't checked with its head.
+    Pairs of one component, also of one that was joined just now, are passed over; the others are compared bit-sliced,
+    then by wide fingerprints, then by their sets.
+    """
+    most, wide_most, m, out = radius(similarity), radius(similarity, WIDE), len(sid), []
+    bits, wide = planes(fp.view(np.uint64)), np.frombuffer(b"".join(w), np.uint64).reshape(m, -1)
+    sets = [np.frombuffer(x, np.uint64) for x in s]
+    _, own = np.unique(root, return_inverse=True)
+    for d in range(1, m):
+        differ = own[d:] != own[:-d]
+        if not differ.any():
+            continue
+        i = within(bits, d, differ & _alike(n[d:], n[:-d], similarity), most)
+        i = i[np.bitwise_count(wide[i] ^ wide[i + d]).sum(1, dtype=np.int64) <= wide_most] if len(i) else i
+        for x in i.tolist():
+            if own[x] != own[x + d] and jaccard(sets[x], sets[x + d]) >= similarity:
+                out.append((int(sid[x]), int(sid[x + d])))
+                own[own == own[x + d]] = own[x]
+    return out
 
-    Only blocks that hold others than their head's component are gathered, so a group of copies, however large, is not.
+
+def _across(blocks: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links within blocks between the components that the links to their heads have left.
+
+    Only blocks of three or more that hold others than their head's component are gathered, with their members' sets; so
+    a group of copies, however large, is not.
     """
-    most = radius(similarity)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (k, sid, n, fp, root), edges in _runs(batches):
-            length = np.diff(edges)
-            for a, m in zip(edges[:-1][length > 2].tolist(), length[length > 2].tolist()):
-                own = slice(a + 1, a + m)  # the smallest, at a, is the head
-                r = root[own]
-                if (r == root[a]).all():
-                    continue
-                bits = planes(fp[own].view(np.uint64))
-                for d in range(1, m - 1):
-                    differ = r[d:] != r[:-d]
-                    if not differ.any():
-                        continue
-                    i = within(bits, d, differ & _alike(n[own][d:], n[own][:-d], similarity), most)
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(sid[own][i]), pa.array(sid[own][i + d])], ["u", "v"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, *columns), edges in _runs(batches):
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                found = _links(*(c[a:b] for c in columns), similarity)
+                if found:
+                    u, v = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     named = roots.select(F.col("node").alias("sid"), "root")
-    placed = S.joined(blocks, named, "sid", "left").select("k", "sid", "n", "fp", F.col("head.sid").alias("top"), F.coalesce("root", "sid").alias("root"))
+    placed = S.joined(blocks.where("_n > 2"), named, "sid", "left").select("k", "sid", "n", "fp", F.col("head.sid").alias("top"), F.coalesce("root", "sid").alias("root"))
     placed = S.written(S.joined(placed, named.select(F.col("sid").alias("top"), F.col("root").alias("_top")), "top", "left").withColumn("_top", F.coalesce("_top", "top")))
     mixed = S.written(placed.where("root <> _top").select("k").distinct())
-    rest = S.joined(placed, mixed, "k").select("k", "sid", "n", "fp", "root")
-    return rest.repartition("k").sortWithinPartitions("k", "sid").mapInArrow(pairs, "u long, v long").distinct()
+    rest = S.written(S.joined(placed, mixed, "k").select("k", "sid", "n", "fp", "root"))
+    some = S.with_hits(sets, S.bitmap(rest, "sid"), "sid").where("_hit").drop("_hit")
+    whole = S.joined(rest, some, "sid").select("k", "sid", "n", "fp", "root", "s", "w")
+    return whole.repartition("k").sortWithinPartitions("k", "sid").mapInArrow(links, "u long, v long").distinct()
 
 
-def _sets(table: DataFrame, firsts: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """sid, s (the set's bytes) of all sets in pairs, one row each, from the text of the set's first row."""
-    ends = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    need = S.written(firsts.join(ends, "sid").select(F.col("first._r").alias("_r"), "sid"))
-    rows = table.select("_r", S.text_bytes(text).alias("_b")).join(need, "_r").select("sid", "_b")
+def _sets(docs: DataFrame, firsts: DataFrame, blocks: DataFrame, key: str, text: str) -> DataFrame:
+    """sid, s (the set's bytes), w (its wide SimHash) of all sets in blocks, one row each, from the sets' first rows.
+
+    Texts are read again where a bitmap lets them pass; none is shuffled.
+    """
+    need = S.written(blocks.select("sid").distinct())
+    rows = S.with_hits(_rows(docs.where(F.col(key).isNotNull()), key, text, S.text_bytes(text).alias("_b")), S.bitmap(firsts.join(need, "sid").select("first.*"), *_ROW), *_ROW).where("_hit").select("_b")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches):
-            sets = [s.tobytes() for s in shingle_sets(S.byte_values(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["sid", "s"])
+            sets = shingle_sets(S.byte_values(batch.column(0)))
+            wide = [w.tobytes() for w in wide_simhashes(sets)]
+            yield pa.RecordBatch.from_arrays([pa.array([_sid(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(wide, pa.binary())], ["sid", "s", "w"])
 
-    return rows.mapInArrow(scan, "sid long, s binary")
+    return rows.mapInArrow(scan, "sid long, s binary, w binary").join(need, "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _checked(pairs: DataFrame, table: DataFrame, firsts: DataFrame, text: str, similarity: float) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    sets = S.written(_sets(table, firsts, pairs, text))
-    one = pairs.join(sets.select(F.col("sid").alias("u"), F.col("s").alias("a")), "u")
-    both = S.joined(one, sets.select(F.col("sid").alias("v"), F.col("s").alias("b")), "v").select("u", "v", "a", "b")
+    ends = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
+    some = S.with_hits(sets.select("sid", "s"), S.bitmap(ends, "sid"), "sid").where("_hit").drop("_hit")
+    one = S.joined(pairs, some.select(F.col("sid").alias("u"), F.col("s").alias("a")), "u")
+    both = S.joined(one, some.select(F.col("sid").alias("v"), F.col("s").alias("b")), "v", counts=pairs.groupBy("v").agg(F.count(F.lit(1)).alias("_n"))).select("u", "v", "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches):
@@ -217,17 +257,16 @@ def _checked(pairs: DataFrame, table: DataFrame, firsts: DataFrame, text: str, s
 
 
 def _grouped(docs: DataFrame, key: str, text: str, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The described rows, and for each set that isn't alone (sid) the row that stands for its component (won: key and row)."""
+    """The described rows, and for each set that isn't alone (sid) the row that stands for its component (won)."""
     table = S.written(_described(docs, key, text))
-    at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    own = table.where("_sid is not null").select(F.col("_sid").alias("sid"), F.struct(F.col(at[key]).alias("key"), "_r").alias("first"), "_n", "_fp", "_ks")
-    firsts = S.written(own.groupBy("sid").agg(F.min("first").alias("first"), F.first("_n").alias("n"), F.first("_fp").alias("fp"), F.first("_ks").alias("ks"), F.count(F.lit(1)).alias("c")))
+    firsts = S.written(table.groupBy("sid").agg(F.min(F.struct(*_ROW)).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("ks").alias("ks"), F.count(F.lit(1)).alias("c")))
     blocks = S.written(_blocks(firsts))
+    sets = S.written(_sets(docs, firsts, blocks, key, text))
     alike = (F.least("n", "head.n") >= F.lit(similarity) * F.greatest("n", "head.n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("head.fp"))) <= radius(similarity))
     heads = S.written(blocks.where((F.col("sid") != F.col("head.sid")) & alike).select(F.col("sid").alias("u"), F.col("head.sid").alias("v")).distinct())
-    near = S.written(_checked(heads, table, firsts, at[text], similarity))
-    others = S.written(_across(blocks, components(near), similarity))
-    roots = components(near.unionByName(_checked(others, table, firsts, at[text], similarity)))
+    near = S.written(_checked(heads, sets, similarity))
+    more = S.written(_across(blocks, components(near), sets, similarity))
+    roots = components(near.unionByName(more))
     grouped = S.written(firsts.join(roots, firsts["sid"] == roots["node"], "left").where("c > 1 or root is not null").select("sid", "first", F.coalesce("root", "sid").alias("_root")))
     least = grouped.groupBy("_root").agg(F.min("first").alias("won"))
     return table, S.written(S.joined(grouped, least, "_root").select("sid", "won"))
@@ -239,19 +278,29 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sim
     component_id is the smallest key reachable over documents whose sets of 5-word shingles have Jaccard similarity
     `similarity` (0.8 or more) at least. Texts without words are one component.
     """
-    table, groups = _grouped(docs, key, text, similarity)
-    own = table.where("_sid is not null").select(F.col("_sid").alias("sid"), F.col(f"_c{docs.columns.index(key)}").alias("_key"))
-    return S.joined(own, groups, "sid", "left").select(F.col("_key").alias(key), F.coalesce("won.key", "_key").alias("component_id"))
+    with S.scratch(docs.sparkSession) as tables:
+        table, groups = _grouped(docs, key, text, similarity)
+        found = tables.keep(S.written(S.joined(table.select("sid", "_key"), groups, "sid", "left").select(F.col("_key").alias(key), F.coalesce("won._key", "_key").alias("component_id"))))
+    return found
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each near-duplicate group, that of the smallest key; all columns stay, whatever their names.
 
-    A row goes only for a row that stays in its own group: repeated rows count once, but rows of one key with different
-    texts are judged each by itself. Rows with a null key stay. Texts without words (null, empty, white space) are one
-    group. No rows give no rows.
+    A row goes only for a row that stays in its own group. Rows that repeat key and text count once (any of them stays,
+    if other columns differ); rows of one key with different texts are judged each by itself. Rows with a null key stay.
+    Texts without words (null, empty, white space) are one group. No rows give no rows.
+
+    docs is read three times. Only rows that a bitmap of those to go lets pass are shuffled with their texts.
     """
-    table, groups = _grouped(docs, key, text, similarity)
-    rows = table.where("_sid is not null").select(F.col("_sid").alias("sid"), "_r")
-    losers = S.written(S.joined(rows, groups, "sid").where("_r <> won._r").select("_r"))  # few: Spark broadcasts them, or else joins by row
-    return table.join(losers, "_r", "left_anti").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    with S.scratch(docs.sparkSession) as tables:
+        table, groups = _grouped(docs, key, text, similarity)
+        losers = tables.keep(S.written(S.joined(table.select("sid", *_ROW), groups, "sid").where(F.struct(*_ROW) != F.col("won")).select(*_ROW)))
+        repeated = table.groupBy(*_ROW).count().where("count > 1").select(*_ROW)
+        pieces = tables.keep(S.written(S.bitmap(losers.unionByName(repeated), *_ROW)))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    rows = S.with_hits(_rows(docs, key, text, *(F.col(c).alias(n) for n, c in zip(names, docs.columns))), pieces, *_ROW)
+    doubted = F.col("_hit") & F.col("_key").isNotNull()
+    stays = rows.where(~doubted).select(*names)
+    left = rows.where(doubted).dropDuplicates(list(_ROW)).join(losers, list(_ROW), "left_anti").select(*names)
+    return stays.unionByName(left).toDF(*docs.columns)

@@ -180,10 +180,11 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     results; null keys are carried but never a component's id unless it has no other. No rows give no rows. A
     fingerprint or component that many rows share is joined in SALTS parts.
     """
-    table = S.written(fingerprints(docs, key=key, text=text))
-    firsts = S.written(table.groupBy("fp").agg(F.min(key).alias("_first")))
-    roots = components(links(firsts.select("fp")))
-    grouped = S.written(firsts.join(roots, firsts["fp"] == roots["node"], "left").select(firsts["fp"], "_first", F.coalesce("root", firsts["fp"]).alias("_root")))
-    least = grouped.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = S.joined(grouped, least, "_root").select("fp", "component_id")
+    with S.scratch(docs.sparkSession) as tables:
+        table = tables.keep(S.written(fingerprints(docs, key=key, text=text)))
+        firsts = S.written(table.groupBy("fp").agg(F.min(key).alias("_first")))
+        roots = components(links(firsts.select("fp")))
+        grouped = S.written(firsts.join(roots, firsts["fp"] == roots["node"], "left").select(firsts["fp"], "_first", F.coalesce("root", firsts["fp"]).alias("_root")))
+        least = grouped.groupBy("_root").agg(F.min("_first").alias("component_id"))
+        named = tables.keep(S.written(S.joined(grouped, least, "_root").select("fp", "component_id")))
     return S.joined(table, named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

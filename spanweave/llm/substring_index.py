@@ -20,8 +20,9 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanweave.llm import _support as S
 from spanweave.llm.words import BASES, chunks, mix, over, word_hashes, word_spans
@@ -321,10 +322,16 @@ def _result(left: pa.Table, right: pa.Table, with_text: bool) -> pa.Table:
     return pa.table(out | ({"_rest": left.column("_rest")} if "_rest" in left.column_names else {}))
 
 
+def _carried(docs: DataFrame, rest: list[str]) -> list[Column]:
+    """Columns that go along, as one struct of nullable fields."""
+    kind = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest])
+    return [F.struct(*(F.col(f"`{c}`") for c in rest)).cast(kind).alias("_rest")] if rest else []
+
+
 def _dealt(docs: DataFrame, key: str, text: str, rest: list[str], parts: int, runs: int) -> DataFrame:
     """Documents by run, each row by itself, so that rows of one key are dealt out too."""
     cols = [F.col(key).alias("_k"), F.col(key).cast("long").alias("_d"), S.text_bytes(text).alias("_b")]
-    rows = docs.select(*cols, *([F.struct(*(F.col(c) for c in rest)).alias("_rest")] if rest else []))
+    rows = docs.select(*cols, *_carried(docs, rest))
     return rows.withColumn("run", F.pmod(F.xxhash64("_k", "_b"), F.lit(runs)).cast("int")).repartition(parts, "run")
 
 
@@ -360,7 +367,7 @@ def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", his
     words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     without = docs.where(F.col(key).isNull()).select(
         F.col(key).alias("_k"), words.alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(plain, 256).alias("kept_sha256"),
-        F.lit(None).cast("string").alias("kept_text"), *([F.struct(*(F.col(c) for c in rest)).alias("_rest")] if rest else []),
+        F.lit(None).cast("string").alias("kept_text"), *_carried(docs, rest),
     )
     every = found.unionByName(without)
     return every.select(F.col("_k").alias(key), "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, *(F.col(f"_rest.{c}") for c in rest))
