@@ -103,5 +103,7 @@ def with_statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
 
 
 def labelled(stats: DataFrame, sample: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """The statistics of the sampled labelled ids: features, y, fold. The sample's size is bounded, so it is broadcast."""
-    return stats.select(key, "features").join(F.broadcast(sample), key).select("features", "y", "fold", F.xxhash64(key).alias("_o"))
+    """features, y, fold of the sampled labelled ids, each once: rows that repeat an id count as the one of the smallest
+    features. So the sample's size bounds this, and it is broadcast."""
+    found = stats.select(key, "features").join(F.broadcast(sample), key)
+    return found.groupBy(key, "y", "fold").agg(F.min("features").alias("features")).select("features", "y", "fold", F.xxhash64(key).alias("_o"))

@@ -84,6 +84,11 @@ def _sums(rows: DataFrame, lift: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np
 
 def fit(stats: DataFrame, labels: DataFrame, *, target: str = "quality", key: str = "doc_id", most: int = MAX_LABELLED) -> QualityModel:
     """Fits on at most `most` labelled rows outside the held-out fold; fold 3 of crc32 calibrates, the others regress."""
+    with S.scratch(stats.sparkSession):
+        return _fit(stats, labels, target, key, most)
+
+
+def _fit(stats: DataFrame, labels: DataFrame, target: str, key: str, most: int) -> QualityModel:
     rows = S.written(labelled(stats, S.label_sample(labels, target, most, key), key=key))
     about = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"), *(f(F.get("features", F.lit(i))).alias(f"{k}{i}") for i in range(len(FEATURES)) for k, f in (("a", F.avg), ("s", F.stddev_pop)))).first()
     if not about.n or about.m in (0.0, 1.0):
@@ -130,10 +135,13 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
 def keep(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", target: str = "quality", threshold: float = 0.7) -> DataFrame:
     """The rows of docs, all columns kept, whose score is at least threshold.
 
-    The fit reads the statistics of all rows; the filter takes them again from each text as it passes, so that no text is
-    shuffled. Columns may have any names.
+    The fit takes statistics of the labelled sample only; the filter takes them from each text as it passes, so that no
+    text is shuffled and each is looked at once. A null or empty text is scored as one without words; repeated rows and
+    null keys are judged by their text; an empty table gives no rows. Columns may have any names.
     """
-    model = fit(S.written(with_statistics(docs, key=key, text=text)), labels, target=target, key=key)
+    sample = S.label_sample(labels, target, MAX_LABELLED, key).select(F.col(key).alias("_wanted"))
+    labelled_docs = docs.select(key, text).join(F.broadcast(sample), F.col(key) == F.col("_wanted")).select(key, text)  # MAX_LABELLED bounds the sample
+    model = fit(with_statistics(labelled_docs, key=key, text=text), labels, target=target, key=key)
     rows = docs.select(S.text_bytes(text).alias("_b"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(docs.columns)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:])
 
