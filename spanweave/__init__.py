@@ -6,7 +6,7 @@ from spanweave.dataset import (
     CallSpec, Coupling, Dataset, DatasetContext, FieldHandle, FieldSelection, RowSequence, SourceInfo, UnpicklableCallWarning, active_context, register_exit, register_field_exit, validation,
 )
 from spanweave.dimensions import AxisWindow, CategoricalDimension, Dimension, IndexDimension, TemporalDimension, interval
-from spanweave.functions import anti, distinct, latest, limit, order_by, sample, semi
+from spanweave.functions import anti, distinct, intersect, latest, limit, order_by, sample, semi, subtract
 from spanweave.operators import columns as _columns
 from spanweave.operators import composition as _composition
 from spanweave.operators import groups as _groups
@@ -60,6 +60,8 @@ compose_slice = operator(Transition(schema="extend"), columns=compose_slice_late
 slice_data = operator(Transition(), columns=slice_data_later)(_windows.slice_data)
 materialize = operator(Transition(), columns=materialize_later)(_windows.materialize)
 
+ColumnCollisionStrategy = ColumnCollision
+
 _OLD_NAMES = {"bind_slice": "slice_data", "bind_dimensions": "compose_slice", "bind_materialize": "materialize"}
 
 

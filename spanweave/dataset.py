@@ -218,6 +218,13 @@ class Dataset:
             return self.df.select(*self.index_names, *(c for c in self.schema.get(key).columns if c not in self.index_names))
         labels = key if isinstance(key, tuple) else (key,)
         found = self.consumed().df.where(F.lit(True) if not labels else _all(F.col(f"`{n}`") == F.lit(v) for n, v in zip(self.index_names, labels))).limit(1).collect()
+        if not found and isinstance(key, int) and not isinstance(key, bool):
+            try:
+                row = self.rows()[key]
+            except IndexError:
+                raise KeyError(key) from None
+            warnings.warn(f"{key} is no label; rows by position are rows()[{key}]", DeprecationWarning, stacklevel=2)
+            return row
         if not found:
             raise KeyError(key)
         return exited(found[0], self.schema)

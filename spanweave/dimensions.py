@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 class Dimension:
     name: str
 
+    def spec(self, start: Any = None, stop: Any = None) -> dict[str, Any]:
+        """[start, stop) as a value."""
+        return {"start": start, "stop": stop}
+
     def comparable_with(self, other: Dimension) -> bool:
         return type(self) is type(other) and self.name == other.name
 
@@ -41,6 +45,10 @@ class TemporalDimension(Dimension):
 class CategoricalDimension(Dimension):
     categories: tuple[Any, ...] = ()
 
+    def spec(self, *labels: Any) -> Any:
+        """One label, or a tuple of several."""
+        return labels[0] if len(labels) == 1 else labels
+
     def position(self, label: Column) -> Column:
         """Where a label stands; an unknown one fails."""
         at = F.array_position(F.array(*(F.lit(c) for c in self.categories)), label)

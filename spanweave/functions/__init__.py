@@ -24,6 +24,16 @@ def sample(ds: Dataset, fraction: float, seed: int = 0) -> Dataset:
     return ds.with_(ds.df.sample(fraction=fraction, seed=seed))
 
 
+def intersect(a: Dataset, b: Dataset) -> Dataset:
+    """Rows of a that b has too, repeats by the smaller count."""
+    return a.with_(a.df.intersectAll(b.df.select(a.df.columns)))
+
+
+def subtract(a: Dataset, b: Dataset) -> Dataset:
+    """Rows of a less those of b, one for one."""
+    return a.with_(a.df.exceptAll(b.df.select(a.df.columns)))
+
+
 def semi(ds: Dataset, plan: Dataset, ref: str = "left_index") -> Dataset:
     """Rows that a plan points to."""
     return ds.with_(ds.df.join(plan.df.select(F.col(ref).alias("_ref")), F.col(ds.index_name) == F.col("_ref"), "left_semi"))

@@ -19,7 +19,9 @@ from spanweave.schema import (
 )
 
 
-def make_from_dataframe(table: DataFrame | pd.DataFrame, schema: Schema, *, source_info: SourceInfo | None = None, spark: SparkSession | None = None) -> Dataset:
+def make_from_dataframe(
+    table: DataFrame | pd.DataFrame, schema: Schema, *, couplings: Sequence[Coupling] = (), source_info: SourceInfo | None = None, spark: SparkSession | None = None
+) -> Dataset:
     """A dataset over a DataFrame, or over a pandas frame whose index becomes the index field's column."""
     if isinstance(table, pd.DataFrame):
         names = list(schema.index.columns) if schema.index else ["index"]
@@ -29,7 +31,7 @@ def make_from_dataframe(table: DataFrame | pd.DataFrame, schema: Schema, *, sour
         flat = flat.reset_index().convert_dtypes(convert_integer=False)
         table = spark.createDataFrame(flat.astype(object).where(flat.notna(), None).values.tolist(), _struct(flat, schema)) if len(flat) else spark.createDataFrame([], _struct(flat, schema))
     schema.check(table.schema)
-    out = Dataset(table, schema, sources=(source_info or SourceInfo("memory://dataframe", "dataframe"),))
+    out = Dataset(table, schema, tuple(couplings), (source_info or SourceInfo("memory://dataframe", "dataframe"),))
     return checked_unique(out)
 
 
@@ -208,7 +210,7 @@ def _batched(fn: Callable, many: int, kind) -> Callable:
     def run(*series: pd.Series) -> pd.Series:
         return fn(*series)
 
-    return F.pandas_udf(run, kind, F.PandasUDFType.SCALAR) if many else F.udf(fn, kind)
+    return F.pandas_udf(run, kind) if many else F.udf(fn, kind)
 
 
 def consume(ds: Dataset, target: str | Coupling | None = None) -> Dataset:
@@ -216,8 +218,10 @@ def consume(ds: Dataset, target: str | Coupling | None = None) -> Dataset:
     return ds.consumed(target.output if isinstance(target, Coupling) else target)
 
 
-def set_index(ds: Dataset, field: str, *, index_name: str | None = None) -> Dataset:
+def set_index(ds: Dataset, field: str, *, index_name: str | None = None, drop: bool = True) -> Dataset:
     """Promotes a column to row identity of a new namespace; the old identity becomes a column that remembers its own."""
+    if not drop:
+        raise NotImplementedError("drop=False")
     old, new = ds.schema.index, ds.schema.get(field)
     if isinstance(old, CompositeIndexField):
         raise ValueError("a composite index cannot be replaced")

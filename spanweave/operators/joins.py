@@ -10,7 +10,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanweave.dataset import Coupling, Dataset, ordered, strict, union_sources
+from spanweave.dataset import Coupling, Dataset, FieldHandle, ordered, strict, union_sources
 from spanweave.operators.columns import with_label, with_row_id
 from spanweave.plans.predicates import MatchPredicate, equals, overlap, range_join
 from spanweave.schema import DimensionedSliceField, Field, ForeignIndexField, IndexField, Schema, ValueField
@@ -298,8 +298,15 @@ def _foreign(plan: Dataset, ds: Dataset, name: str | None) -> str:
     return found[0]
 
 
-def make_plan(target: Dataset, labels, *, source_index_field: str = "source_index", plan_index_name: str = "plan_id", dense: bool = True) -> Dataset:
-    """A plan over target's rows: labels is a list, or a DataFrame whose column source_index_field has them (more columns stay)."""
+def make_plan(target: Dataset, labels, *, source_index_field: str = "source_index", plan_index_name: str = "plan_id", dense: bool = True, metadata: dict | None = None) -> Dataset:
+    """A plan over target's rows: labels is a list, or a DataFrame whose column source_index_field has them (more columns
+    stay). target may be a handle on the rows' index field."""
+    if isinstance(target, FieldHandle):
+        if target.context.dataset.schema.index is None or target.name != target.context.dataset.schema.index.name:
+            raise ValueError("the handle is on no index field")
+        target = target.context.dataset
+    if not isinstance(labels, DataFrame) and any(v is None for v in labels):
+        raise ValueError("null labels")
     kind = target.df.schema[target.index_name].dataType
     if not isinstance(labels, DataFrame):
         labels = target.df.sparkSession.createDataFrame([(i, v) for i, v in enumerate(labels)], f"{plan_index_name} long, {source_index_field} {kind.simpleString()}")
@@ -311,7 +318,7 @@ def make_plan(target: Dataset, labels, *, source_index_field: str = "source_inde
             raise ValueError(f"labels without a row: {[x[source_index_field] for x in lost]}")
     rest = [c for c in labels.columns if c not in (plan_index_name, source_index_field)]
     schema = Schema((IndexField(plan_index_name), ForeignIndexField(source_index_field, target=target.identity), *(ValueField(c) for c in rest)))
-    return Dataset(labels.select(plan_index_name, source_index_field, *rest), schema, sources=target.sources, metadata={"plan": True})
+    return Dataset(labels.select(plan_index_name, source_index_field, *rest), schema, sources=target.sources, metadata={"plan": True} | (metadata or {}))
 
 
 def _plan_from_dataframe(target: Dataset, table, **names) -> Dataset:
@@ -340,6 +347,8 @@ def explode(source: Dataset, plan: Dataset, *, foreign_index_field: str | None =
     """
     key = _foreign(plan, source, foreign_index_field)
     _meets(plan, source, key)
+    if plan.couplings:
+        warnings.warn(f"the plan's pending columns are left out: {[c.output for c in plan.couplings]}", UserWarning, stacklevel=2)
     if overlay_fields is not None and not overlay_fields:
         raise ValueError("no overlay field is named")
     shared = [f.name for f in plan.values if source.schema.has(f.name) and f.name != source.index_name]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 from dataclasses import replace
 
@@ -24,6 +25,8 @@ def window_expansion_plan(
     Several dimensions give their product, the first named slowest; other dimensions of a slice stay as they are. The
     tiling is an expression per row, so it needs no shuffle unless ids are dense.
     """
+    if ds.metadata.get("plan"):
+        warnings.warn("windows over a plan: explode it first for windows of rows", UserWarning, stacklevel=2)
     if (field is None) == (bindings is None):
         raise ValueError("give field or bindings")
     if field is not None:

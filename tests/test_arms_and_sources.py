@@ -399,6 +399,28 @@ def test_modes(spark, mode):
     assert len(sw.concat_rows(l, sw.rename(ds(spark, [("q", 5)], "id string, k long"), {}))) == 3
 
 
+def test_small_print(spark, base):
+    with pytest.warns(DeprecationWarning, match="no label"):
+        assert ds(spark, [(10, "x"), (20, "y")], "id long, k string")[1]["id"] == 20
+    with pytest.raises(KeyError):
+        base["nobody"]
+    with pytest.raises(NotImplementedError):
+        sw.set_index(base, "k", drop=False)
+    with pytest.raises(ValueError, match="null labels"):
+        sw.make_plan(base, ["a", None])
+    context = base.context()
+    assert got(sw.make_plan(context["id"], ["b"], metadata={"why": "test"}), "source_index") == [("b",)]
+    with pytest.raises(ValueError, match="no index field"):
+        sw.make_plan(context["k"], ["b"])
+    plan = sw.make_plan(base, ["b", "a"])
+    with pytest.warns(UserWarning, match="left out"):
+        sw.explode(base, sw.map_fields(plan, "plan_id", add_one, "w", lazy=True))
+    assert TemporalDimension("t").spec(0, 1) == {"start": 0, "stop": 1} and CategoricalDimension("c").spec("a") == "a"
+    x_rows = sw.where(base, "k = 'x'")
+    assert got(sw.intersect(base, x_rows), "id") == [("a",), ("c",)] and got(sw.subtract(base, x_rows), "id") == [("b",)]
+    assert sw.ColumnCollisionStrategy is sw.ColumnCollision
+
+
 def test_stream_joins_and_first_seen(spark, tmp_path):
     from spanweave import streaming
 
