@@ -88,16 +88,19 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, h - l) for a, b, l, h in zip(begin, stop, low, high)]
 
 
-def _look(words: list[bytes], scores: _Scores, model: ToxicityModel) -> tuple[list[float], list[tuple[int, int, float]], float]:
-    """Features of a document, its significant passages and its best score."""
-    n = len(words)
-    found = segments(np.fromiter(map(scores.__getitem__, words), float, n)) if n else []
-    expected = lambda s: model.log_k + np.log(max(n, 1)) - model.scale * s  # noqa: E731  log E
-    good = [x for x in found if expected(x[2]) < np.log(SIGNIFICANT)]
-    top = max((x[2] for x in found), default=0.0)
-    p = -np.expm1(-np.exp(min(expected(top), 50.0))) if found else 1.0
+def _found(words: list[bytes], scores: _Scores) -> list[tuple[int, int, float]]:
+    return segments(np.fromiter(map(scores.__getitem__, words), float, len(words))) if words else []
+
+
+def _features(n: int, found: list[float], model: ToxicityModel) -> tuple[list[float], np.ndarray]:
+    """Features of a document of n words from the scores of its segments, and which of these are significant."""
+    sums = np.array(found, float)
+    expected = model.log_k + np.log(max(n, 1)) - model.scale * sums  # log E
+    good = expected < np.log(SIGNIFICANT)
+    top = sums.max() if len(sums) else 0.0
+    p = -np.expm1(-np.exp(min(float(expected.min()), 50.0))) if len(sums) else 1.0
     surprise = -np.log(max(p, 1e-30))
-    return [min(surprise, 40.0) / 10, np.log1p(sum(x[2] for x in good)), np.log1p(len(good)), float(top > 0), np.log1p(n) / 5, 1.0], good, top
+    return [min(surprise, 40.0) / 10, np.log1p(sums[good].sum()), np.log1p(good.sum()), float(top > 0), np.log1p(n) / 5, 1.0], good
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -179,9 +182,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
     Without labels of both classes there is no table and each score is 0.5.
     """
+    with S.scratch(docs.sparkSession):
+        return _fit(docs, labels, key, text, target, most)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, key: str, text: str, target: str, most: int) -> ToxicityModel:
     sample = S.label_sample(labels, target, most, key)
     rows = docs.select(key, S.text_bytes(text).alias("b")).join(F.broadcast(sample), key)  # `most` rows bound the broadcast
-    texts = S.written(rows.select("b", "y", "fold"))
+    texts = S.written(rows.groupBy(key, "y", "fold").agg(F.min("b").alias("b")).select("b", "y", "fold"))  # an id that repeats counts once
     counted = _unit_counts(texts.where(F.col("fold") != CALIBRATION_FOLD)).where(F.col("c0") + F.col("c1") >= LEAST_COUNT)
     got = counted.orderBy(F.desc(F.col("c0") + F.col("c1")), "unit").limit(MAX_UNITS).toPandas()
     if not len(got) or not got.c1.sum() or not got.c0.sum():
@@ -193,31 +201,28 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     values = np.array([scores[bytes(u)] for u in got.unit[is_word]])
     model = ToxicityModel(table, _scale(values, np.maximum(y0[is_word], 1e-9)))
     raw = _scan(texts.where(F.col("fold") == CALIBRATION_FOLD), model)
-    if not len(raw):
+    if not raw:
         return model
-    calm = raw[(raw.y == 0) & (raw.n > 0)]
-    log_k = -float(np.log(np.mean(np.exp(-(model.scale * calm.top - np.log(calm.n)).clip(-50, 50))))) if len(calm) else 0.0
+    calm = [(n, max(found, default=0.0)) for y, n, found in raw if y == 0 and n > 0]
+    n, top = (np.array(x, float) for x in zip(*calm)) if calm else (np.ones(1), np.zeros(1))
+    log_k = -float(np.log(np.mean(np.exp(-(model.scale * top - np.log(n)).clip(-50, 50))))) if calm else 0.0
     model = ToxicityModel(table, model.scale, log_k)
-    raw = _scan(texts.where(F.col("fold") == CALIBRATION_FOLD), model)
-    return ToxicityModel(table, model.scale, log_k, _fit_logistic(np.array(raw.features.tolist()), raw.y.to_numpy(float)))
+    x = np.array([_features(n, found, model)[0] for _, n, found in raw])
+    return ToxicityModel(table, model.scale, log_k, _fit_logistic(x, np.array([y for y, _, _ in raw], float)))
 
 
-def _scan(texts: DataFrame, model: ToxicityModel):
-    """y, n, top and features of the sampled documents, on the driver: bounded by the sample."""
+def _scan(texts: DataFrame, model: ToxicityModel) -> list[tuple[float, int, list[float]]]:
+    """Label, words and segment scores of the sampled documents, on the driver: bounded by the sample."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value.table)
         for batch in batches:
-            rows = []
-            for b in S.byte_values(batch.column(0)):
-                words = tokens(b)
-                features, _, top = _look(words, scores, shared.value)
-                rows.append((len(words), top, features))
-            n, top, features = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.array(features, pa.list_(pa.float64()))], ["y", "n", "top", "features"])
+            words = [tokens(b) for b in S.byte_values(batch.column(0))]
+            found = [[x[2] for x in _found(w, scores)] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(map(len, words)), pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["y", "n", "found"])
 
-    return texts.select("b", "y").mapInArrow(look, "y double, n long, top double, features array<double>").toPandas()
+    return [tuple(r) for r in texts.select("b", "y").mapInArrow(look, "y double, n long, found array<double>").collect()]
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -229,11 +234,13 @@ def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: s
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(shared.value.table)
-        for batch in batches:
-            got = [_look(tokens(b), scores, shared.value) for b in S.byte_values(batch.column(2))]
+        for batch in S.slices(batches):
+            words = [tokens(b) for b in S.byte_values(batch.column(2))]
+            found = [_found(w, scores) for w in words]
+            got = [_features(len(w), [x[2] for x in f], shared.value) for w, f in zip(words, found)]
             x = np.array([g[0] for g in got]).reshape(-1, len(shared.value.weights))
             p = 1 / (1 + np.exp(-np.clip(x @ shared.value.weights, -30, 30)))
-            passages = pa.array([[{"start": a, "end": b, "score": s} for a, b, s in g[1]] for g in got], passage)
+            passages = pa.array([[{"start": a, "end": b, "score": s} for (a, b, s), good in zip(f, g[1]) if good] for f, g in zip(found, got)], passage)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), passages], [key, "held_out", "score", "passages"])
 
     scored = rows.mapInArrow(apply, f"`{key}` {kind}, held_out boolean, score double, passages array<struct<start:int,end:int,score:double>>")
@@ -244,6 +251,7 @@ def detect(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """fit(), then score() of every row's whole text.
 
     A null text is empty; a text without words has no passage and gets the curve's value there. Equal texts get equal
-    scores; repeated rows and null keys stay.
+    scores; repeated rows and null keys stay; no rows give none. A text of any length is scanned whole, in time linear
+    in its words; its words are the most that a worker holds besides the texts of 256 rows. Other columns are left out.
     """
     return score(docs, fit(docs, labels, key=key, text=text, target=target), key=key, text=text, threshold=threshold)
