@@ -114,6 +114,16 @@ def test_links_lose_no_component(spark):
     assert {s: roots.get(s, s) for s in signed} == expected
 
 
+def test_bitmaps_miss_no_key(spark):
+    from spanweave.llm import _support
+
+    keys = spark.range(0, 3000, 3).selectExpr("id", "cast(id as string) as name")
+    rows = spark.range(30_000).selectExpr("id", "cast(id as string) as name")
+    hit = {r.id for r in _support.with_hits(rows, _support.bitmap(keys, "id", "name"), "id", "name").where("_hit").collect()}
+    assert hit >= set(range(0, 3000, 3)) and len(hit) < 1000 + 20
+    assert _support.with_hits(rows, _support.bitmap(keys.where("false"), "id"), "id").where("_hit").count() == 0
+
+
 def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
     from spanweave.llm import _support
 
@@ -310,6 +320,14 @@ def test_media_round_trip(docs, corpus, empty):
     assert media.read_digests(media.store_texts(empty)).count() == 0
 
 
+def test_reading_back_corrects_and_carves(spark):
+    """A WAV cell that was declared as something else, with a picture among its samples."""
+    host = media.to_wav(b"x" * 64 + png() + bytes(64))
+    cells = spark.createDataFrame([(1, 9, host, "image/png", 0), (2, 9, media.to_wav(bytes(64)), None, 0)], "doc_id long, n_bytes long, media binary, declared string, detected int")
+    got = {r.doc_id: r.feature for r in media.read_digests(cells).collect()}
+    assert got[1].endswith(f"declared=corrected;embedded=1;carved={zlib.crc32(png())}") and got[2].endswith("declared=corrected;embedded=0;carved=0")
+
+
 def png():
     chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + zlib.crc32(k + d).to_bytes(4, "big")
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", b"\0\0\0\1\0\0\0\1\x08\0\0\0\0") + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
