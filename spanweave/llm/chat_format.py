@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, SEP, END, NEWLINE = "<|turn|>", "<|sep|>", "<|end|>\n", "<|nl|>"
+#: Turns whose spans are gathered in one array before the arrays are joined.
+STRETCH = 256
 #: What follows the first character of a control string. None holds `<`, `[` or begins with `~`: matches never overlap.
 _TAILS = r"\|(?:turn|sep|end|nl|im_start|im_end|endoftext)\|>|/?s>|/?INST\]"
 _PLAIN, _ESCAPED = rf"([<\[])(~*)({_TAILS})", rf"([<\[])~(~*)({_TAILS})"
@@ -57,12 +59,20 @@ def format_chats(
         return F.struct((start + F.length(p["body"])).alias("pos"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     none = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
+    origin = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<int>)").alias("starts"))
+
+    def spans_of(turns: Column) -> Column:
+        """Spans of a stretch of turns, from its own start; an array grows by copying, so stretches are short."""
+        return F.aggregate(turns, none, step)
+
+    stretches = F.transform(F.sequence(F.lit(0), F.ceil(F.size("_p") / F.lit(STRETCH)).cast("int") - 1), lambda i: spans_of(F.slice("_p", i * STRETCH + 1, F.lit(STRETCH))))
+    onward = lambda acc, x: F.struct((acc["pos"] + x["pos"]).alias("pos"), F.concat(acc["starts"], F.array(acc["pos"])).alias("starts"))
+    starts = F.aggregate("_s", origin, onward)["starts"]
     parts = sorted_turns.select("_c", F.transform("_ts", part).alias("_p"))
-    return parts.select(
-        F.col("_c").alias(conv),
-        F.concat(F.array_join(F.transform("_p", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END)).alias("formatted"),
-        F.aggregate("_p", none, step, lambda acc: acc["spans"]).alias("loss_spans"),
-    )
+    text_of = F.concat(F.array_join(F.transform("_p", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END))
+    told = parts.select("_c", text_of.alias("formatted"), stretches.alias("_s")).withColumn("_starts", starts)
+    moved = lambda x, i: F.transform(x["spans"], lambda s: F.struct((s["start"] + F.get("_starts", i)).alias("start"), s["length"].alias("length")))
+    return told.select(F.col("_c").alias(conv), "formatted", F.flatten(F.transform("_s", moved)).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, *, conv: str = "conv_id") -> DataFrame:
