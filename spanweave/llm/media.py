@@ -29,7 +29,7 @@ def _png(d: bytes, at: int) -> int:
     i = at + 8
     while i + 12 <= len(d):
         n, kind = int.from_bytes(d[i : i + 4], "big"), d[i + 4 : i + 8]
-        if i + 12 + n > len(d) or (i == at + 8) != (kind == b"IHDR") or zlib.crc32(d[i + 4 : i + 8 + n]) != int.from_bytes(d[i + 8 + n : i + 12 + n], "big"):
+        if i + 12 + n > len(d) or (i == at + 8) != (kind == b"IHDR") or kind == b"IHDR" and n != 13 or zlib.crc32(d[i + 4 : i + 8 + n]) != int.from_bytes(d[i + 8 + n : i + 12 + n], "big"):
             return 0
         i += 12 + n
         if kind == b"IEND":
@@ -79,7 +79,7 @@ def _jpeg(d: bytes, at: int) -> int:
 
 def _riff(d: bytes, at: int) -> int:
     end = at + 8 + int.from_bytes(d[at + 4 : at + 8], "little")
-    if d[at + 8 : at + 12] != b"WAVE" or end > len(d):
+    if d[at + 8 : at + 16] != b"WAVEfmt " or end > len(d):
         return 0
     i, seen = at + 12, []
     while i + 8 <= end:
@@ -103,23 +103,30 @@ def _gzip(d: bytes, at: int) -> int:
         return 0
     decoder = zlib.decompressobj(31)
     try:
-        i = at
-        while i < len(d) and not decoder.eof:  # in steps: the plain bytes are not kept
-            decoder.decompress(d[i : i + 65536])
-            i += 65536
+        i, step = at, 256
+        while i < len(d) and not decoder.eof:  # in growing steps: bytes that are no gzip file cost little, the plain ones are not kept
+            decoder.decompress(d[i : i + step])
+            i, step = i + step, min(2 * step, 65536)
     except zlib.error:
         return 0
     return min(i, len(d)) - len(decoder.unused_data) - at if decoder.eof else 0
 
 
-def _zip(d: bytes, at: int) -> int:
-    end = d.find(b"PK\x05\x06", at)
+@lru_cache(maxsize=1)
+def _zip_ends(d: bytes) -> dict[int, int]:
+    """Where each archive in d starts, by its end record, and its length: found once for a cell, whatever its entries."""
+    found: dict[int, int] = {}
+    end = d.find(b"PK\x05\x06")
     while end >= 0 and end + 22 <= len(d):
         n, start = struct.unpack_from("<II", d, end + 12)
-        if at + start + n == end and d[end - n : end - n + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-            return end + 22 + int.from_bytes(d[end + 20 : end + 22], "little") - at
+        if d[end - n : end - n + 4] in (b"PK\x01\x02", b"PK\x05\x06") and end - n - start >= 0:
+            found.setdefault(end - n - start, n + start + 22 + int.from_bytes(d[end + 20 : end + 22], "little"))
         end = d.find(b"PK\x05\x06", end + 4)
-    return 0
+    return found
+
+
+def _zip(d: bytes, at: int) -> int:
+    return _zip_ends(d).get(at, 0)
 
 
 _PDF_END = re.compile(rb"startxref\s+(\d+)\s+%%EOF")
@@ -203,7 +210,7 @@ def from_wav(data: bytes) -> bytes:
 def store_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, media, declared: each text's UTF-8, filled with zero bytes to a positive multiple of 64, as a WAV file.
 
-    A null text is empty (64 zero samples); repeated rows and null keys stay.
+    A null text is empty (64 zero samples); repeated rows and null keys stay; no rows give none.
     """
     rows = docs.select(F.col(key).alias("_k"), S.text_bytes(text).alias("_b"))
     kind = rows.schema["_k"].dataType.simpleString()
@@ -245,26 +252,25 @@ def carve(media: bytes, embedded: list[dict]) -> list[bytes]:
 
 
 def read_digests(stored: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """Sniffs stored WAV cells, reads them back: payload and stored digests and a feature of the samples.
+    """Corrects the types of stored cells, reads them back as WAV and carves what is embedded: payload and stored digests
+    and a feature of the samples.
 
-    A cell that is no WAV file fails. The types are found as in correct_types(), here in the pass that reads the cell.
+    A cell that is no WAV file fails. carved in the feature is the crc32 of all embedded media, one after the other.
     """
-    rows = stored.select(key, "n_bytes", "media", "declared")
+    rows = correct_types(stored.select(key, "n_bytes", "media", "declared")).select(key, "n_bytes", "media", "detected", "embedded", "type_ok")
     kind = rows.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in S.slices(batches):
             out = []
-            for data, declared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                spans = sniff(data)
-                found, inner = detected(spans), [x for x in spans if x[0]]
+            for data, found, embedded, ok in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
                 if found != "audio/wav":
                     raise ValueError(f"a stored cell is {found}, not audio/wav")
-                payload = from_wav(data)
+                payload, inner = from_wav(data), carve(data, embedded)
                 samples = np.frombuffer(payload, np.uint8)
                 high = samples >= 128
                 turns = int((high[1:] != high[:-1]).sum())
-                feature = f"{found};{RATE};8;samples={len(samples)};sum={int(samples.sum(dtype=np.int64))};turns={turns};declared={'ok' if found == declared else 'corrected'};embedded={len(inner)}"
+                feature = f"{found};{RATE};8;samples={len(samples)};sum={int(samples.sum(dtype=np.int64))};turns={turns};declared={'ok' if ok else 'corrected'};embedded={len(inner)};carved={zlib.crc32(b''.join(inner))}"
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             cols = list(zip(*out)) if out else [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -109,7 +109,7 @@ tab AS (SELECT list(c ORDER BY n) AS l FROM crc WHERE k = 8),
 e AS (SELECT doc_id, list(v::BIGINT ORDER BY i) AS last FROM b WHERE i >= m - 64 GROUP BY 1),
 z AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295, last), lambda a, x: xor(a >> 8, l[(xor(a, x) & 255) + 1])), 4294967295) AS tail FROM e, tab)
 SELECT w.doc_id, n::BIGINT AS n_bytes, m::BIGINT AS payload_bytes, sha256(unhex(h)) AS payload_sha256, tail::BIGINT AS tail_crc32, (m + 44)::BIGINT AS media_bytes, sha256(unhex(wav)) AS media_sha256,
-       'audio/wav;8000;8;samples=' || m || ';sum=' || total || ';turns=' || turns || ';declared=ok;embedded=0' AS feature
+       'audio/wav;8000;8;samples=' || m || ';sum=' || total || ';turns=' || turns || ';declared=ok;embedded=0;carved=0' AS feature
 FROM w JOIN s USING (doc_id) JOIN z USING (doc_id)
 """,
 }
