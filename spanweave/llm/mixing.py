@@ -124,7 +124,7 @@ def memberships(docs: DataFrame, model: DomainModel, *, key: str = "doc_id", tex
     rows = docs.select(F.col(key).alias("_key"), S.text_bytes(text).alias("_b"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in S.slices(batches, 1024):
+        for batch in S.slices(batches, 512):
             texts = S.byte_values(batch.column(1))
             p = pa.array(model.posterior(texts).tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(token_counts(texts, path)), p], ["_key", "t", "p"])
@@ -214,9 +214,11 @@ def planned(members: DataFrame, mix: Mix, *, key: str = "doc_id") -> DataFrame:
 
 
 def labelled_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", domain: str = "lang", most: int = MAX_LABELLED) -> DataFrame:
-    """Text and domain of at most `most` documents of the labelled table, which bounds the broadcast."""
+    """Text and domain of at most `most` documents of the labelled table, which bounds the broadcast; an id that repeats
+    counts once."""
     sample = S.label_sample(labels, key, most, key).select(key)
-    return docs.select(key, text, domain).join(F.broadcast(sample), key).select(text, domain)
+    found = docs.select(key, text, domain).join(F.broadcast(sample), key)
+    return found.groupBy(key).agg(F.min(F.struct(text, domain)).alias("_one")).select("_one.*")
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, *, key: str = "doc_id", text: str = "text", domain: str = "lang", **limits) -> DataFrame:

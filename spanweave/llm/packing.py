@@ -23,9 +23,9 @@ from spanweave.llm.words import chunks, word_hashes, word_spans
 
 MAX_TOKENS, END_ID = 4096, 2
 #: Words that a worker remembers (some 40 bytes each) over all its tasks; emptied when full. Longer words never are.
-CACHED_WORDS, CACHED_LENGTH = 700_000, 48
-#: Text bytes that are encoded at once.
-CHUNK = 3_000_000
+CACHED_WORDS, CACHED_LENGTH = 500_000, 48
+#: Text bytes that are encoded at once; some 60 bytes of arrays each.
+CHUNK = 1_000_000
 
 
 def default_tokenizer() -> str:
