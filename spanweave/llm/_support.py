@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,8 +88,18 @@ def byte_values(array: pa.Array) -> list[bytes]:
     return array.to_pylist()
 
 
+def trim() -> None:
+    """Gives a worker's freed memory back to the machine: workers outlive their tasks, and the next may need it more."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows in short batches, so that a worker holds few texts as Python objects at a time."""
     for batch in batches:
         for at in range(0, max(batch.num_rows, 1), rows):
             yield batch.slice(at, rows)
+    trim()

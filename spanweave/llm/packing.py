@@ -304,6 +304,7 @@ def pack(
             texts = S.byte_values(batch.column(1))
             for a, b in chunks(texts, CHUNK):
                 yield pieces_of(batch.column(0).slice(a, b - a), texts[a:b], coder.encode)
+        S.trim()
 
     schema = f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids array<int>" * with_ids
     pieces = rows.mapInArrow(cut, schema)

@@ -266,7 +266,9 @@ def _rows(left: pa.Table) -> tuple[list[bytes], np.ndarray]:
 
 def _anchor_run(left: pa.Table) -> pa.Table:
     texts, _ = _rows(left)
-    return _table(_cut(left.column("run")[0].as_py(), 0, np.unique(Windows(texts, checks=False).anchor)), _UP)
+    made = _table(_cut(left.column("run")[0].as_py(), 0, np.unique(Windows(texts, checks=False).anchor)), _UP)
+    S.trim()
+    return made
 
 
 def _window_run(left: pa.Table, right: pa.Table | None) -> pa.Table:
@@ -276,8 +278,10 @@ def _window_run(left: pa.Table, right: pa.Table | None) -> pa.Table:
     texts, ids = _rows(left)
     w = Windows(texts)
     some = np.isin(w.anchor, _told(right)[0]) if right is not None else slice(None)
-    h, c, d = _first_of(w.h[some], w.check[some], _unsigned(ids)[w.of[some].astype(np.int64)])
-    return _table(_cut(left.column("run")[0].as_py(), 0, h, c, d), _UP)
+    made = _table(_cut(left.column("run")[0].as_py(), 0, *_first_of(w.h[some], w.check[some], _unsigned(ids)[w.of[some].astype(np.int64)])), _UP)
+    del w, texts
+    S.trim()
+    return made
 
 
 def _covered(left: pa.Table, right: pa.Table) -> tuple[list[bytes], Windows, list[np.ndarray | None]]:
@@ -315,6 +319,7 @@ def _result(left: pa.Table, right: pa.Table, with_text: bool) -> pa.Table:
         removed.append(0 if cover is None else int(cover.sum()))
         sha.append(hashlib.sha256(plain).hexdigest())
         kept.append(None if cover is None or not with_text else plain.decode())
+    S.trim()
     out = {
         "_k": left.column("_k"), "n_words": pa.array(w.words if w else [], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
         "kept_sha256": pa.array(sha, pa.string()), "kept_text": pa.array(kept, pa.string()),
