@@ -63,6 +63,20 @@ class Pairing:
         return self.left is l.df and self.right is r.df and self.plan is plan.df
 
 
+@dataclass(frozen=True)
+class Terms:
+    """The predicates that made a plan of all pairs: one more over the same frames and the unfiltered plan is then tested
+    in the same join, not on the written-out pairs."""
+
+    left: DataFrame
+    right: DataFrame
+    plan: DataFrame
+    each: tuple[tuple[Column, Column, MatchPredicate], ...]
+
+    def holds(self, l: Dataset, r: Dataset, plan: Dataset) -> bool:
+        return self.left is l.df and self.right is r.df and self.plan is plan.df
+
+
 def _side(ds: Dataset, columns: dict[str, Column], label: str) -> DataFrame:
     return ds.df.select(F.col(f"`{ds.index_name}`").alias(label), *(c.alias(n) for n, c in columns.items()))
 
@@ -155,19 +169,34 @@ def dimension_join(
     A predicate that is neither equality nor overlap has no key to join on: it needs candidates, or cross=True, which
     compares every pair and is for small sides only.
     """
-    a, b = _side(l, {"_x": _operand(l, left_on, dimension)}, LEFT), _side(r, {"_y": _operand(r, right_on, dimension)}, RIGHT)
-    condition = predicate.condition(F.col("_x"), F.col("_y"))
-    if candidates is not None:
-        if candidates.schema.get(LEFT).target != l.identity or candidates.schema.get(RIGHT).target != r.identity:
-            raise ValueError("the candidates belong to other datasets")
-        pairs = candidates.df.select(LEFT, RIGHT).join(a, LEFT).join(b, RIGHT).where(condition)
-    elif isinstance(predicate, overlap):
-        pairs = range_join(a.where("_x.start is not null and _x.stop is not null"), b.where("_y.start is not null and _y.stop is not null"), "_x", "_y", condition, predicate.pad)
-    elif predicate.stage == "partitioner" or cross:
+    term = (_operand(l, left_on, dimension), _operand(r, right_on, dimension), predicate)
+    if candidates is None:
+        return _matched(l, r, (term,), dense, cross, "a filter predicate needs candidates, or cross=True for small sides")
+    if candidates.schema.get(LEFT).target != l.identity or candidates.schema.get(RIGHT).target != r.identity:
+        raise ValueError("the candidates belong to other datasets")
+    known = candidates.metadata.get("terms")
+    if known is not None and known.holds(l, r, candidates):
+        return _matched(l, r, (*known.each, term), dense, True)
+    a, b = _side(l, {"_x": term[0]}, LEFT), _side(r, {"_y": term[1]}, RIGHT)
+    pairs = candidates.df.select(LEFT, RIGHT).join(a, LEFT).join(b, RIGHT).where(predicate.condition(F.col("_x"), F.col("_y")))
+    return _plan(pairs, l, r, "pair_id", dense)
+
+
+def _matched(l: Dataset, r: Dataset, terms: tuple[tuple[Column, Column, MatchPredicate], ...], dense: bool, cross: bool, lacking: str = "") -> Dataset:
+    """The plan of the pairs that hold all terms: the first overlap pairs them, or else the equalities do."""
+    a = _side(l, {f"_x{i}": t[0] for i, t in enumerate(terms)}, LEFT)
+    b = _side(r, {f"_y{i}": t[1] for i, t in enumerate(terms)}, RIGHT)
+    condition = fold(Column.__and__, (t[2].condition(F.col(f"_x{i}"), F.col(f"_y{i}")) for i, t in enumerate(terms)))
+    pairer = next((i for i, t in enumerate(terms) if isinstance(t[2], overlap)), None)
+    if pairer is None and not cross and all(t[2].stage == "filter" for t in terms):
+        raise ValueError(lacking)
+    if pairer is None:
         pairs = a.join(b, condition)
     else:
-        raise ValueError("a filter predicate needs candidates, or cross=True for small sides")
-    return _plan(pairs, l, r, "pair_id", dense)
+        bounded = lambda c: F.col(c)["start"].isNotNull() & F.col(c)["stop"].isNotNull()
+        pairs = range_join(a.where(bounded(f"_x{pairer}")), b.where(bounded(f"_y{pairer}")), f"_x{pairer}", f"_y{pairer}", condition, terms[pairer][2].pad)
+    plan = _plan(pairs, l, r, "pair_id", dense)
+    return plan.with_(metadata=plan.metadata | {"terms": Terms(l.df, r.df, plan.df, tuple(terms))})
 
 
 def _slice_of(ds: Dataset, dimension: str) -> Column:
@@ -186,16 +215,7 @@ def match(l: Dataset, r: Dataset, *, on: Sequence = (), predicates: Mapping[str,
     terms += [(_slice_of(l, d), _slice_of(r, d), p) for d, p in (predicates or {}).items()]
     if not terms:
         raise ValueError("match needs a term")
-    a = _side(l, {f"_x{i}": t[0] for i, t in enumerate(terms)}, LEFT)
-    b = _side(r, {f"_y{i}": t[1] for i, t in enumerate(terms)}, RIGHT)
-    condition = fold(Column.__and__, (t[2].condition(F.col(f"_x{i}"), F.col(f"_y{i}")) for i, t in enumerate(terms)))
-    pairer = next((i for i, t in enumerate(terms) if isinstance(t[2], overlap)), None)
-    if pairer is None and not cross and all(t[2].stage == "filter" for t in terms):
-        raise ValueError("filter predicates need an equality or overlap term, or cross=True for small sides")
-    if pairer is None:
-        return _plan(a.join(b, condition), l, r, "pair_id", dense)
-    pairs = range_join(a.where(f"_x{pairer} is not null"), b.where(f"_y{pairer} is not null"), f"_x{pairer}", f"_y{pairer}", condition, terms[pairer][2].pad)
-    return _plan(pairs, l, r, "pair_id", dense)
+    return _matched(l, r, tuple(terms), dense, cross, "filter predicates need an equality or overlap term, or cross=True for small sides")
 
 
 @dataclass(frozen=True)

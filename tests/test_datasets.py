@@ -88,6 +88,21 @@ def test_match_and_chain(spark):
         sw.dimension_join(s, w, first, predicate=sw.overlap(), left_on="span", right_on="span", dimension="t")
 
 
+def test_chain_over_a_whole_plan_is_one_join(spark, tmp_path):
+    """The pairs of the first predicate were joined with both sides again, all of them."""
+    w, s = spans(spark, W), spans(spark, SEG)
+    first = sw.dimension_join(w, s, predicate=sw.equals(), left_on="clip", right_on="clip", dense=False)
+    chain = lambda among: sw.dimension_join(w, s, among, predicate=sw.overlap(), left_on="span", right_on="span", dimension="t", dense=False)
+    assert got(chain(first), "left_index", "right_index") == [("w0", "s0"), ("w1", "s0"), ("w1", "s1"), ("w2", "s2")]
+    assert plan_of(chain(first).df).count("Join ") == 1
+    fewer = first.with_(first.df.where("left_index <> 'w1'"))
+    assert got(chain(fewer), "left_index", "right_index") == [("w0", "s0"), ("w2", "s2")]
+    late = sw.dimension_join(w, s, chain(first), predicate=sw.equals(), left_on="a", right_on="b", dense=False)
+    assert got(late, "left_index", "right_index") == []
+    sw.save(first, str(tmp_path / "plan"))
+    assert len(got(sw.load(spark, str(tmp_path / "plan")))) == 5
+
+
 def test_overlap_pad(spark):
     w, s = spans(spark, [("w", "a", 0.0, 2.0)]), spans(spark, [("s", "a", 2.1, 2.4)])
     for pad, n in ((0, 0), (0.25, 1)):
