@@ -47,6 +47,40 @@ def test_field_joins_match_null_keys(spark):
         sw.join(l, r, on="id")
 
 
+def keyed_sides(spark):
+    l = [(i, None if i % 3 == 0 else i % 7) for i in range(60, 0, -1)]
+    r = [(f"r{i:02}", None if i % 4 == 0 else i % 9) for i in range(40)]
+    return l, r, ds(spark, l, "id long, k long"), ds(spark, r, "id string, k long")
+
+
+@pytest.mark.parametrize("how", ["inner"])
+@pytest.mark.parametrize("twice", [False, True])
+def test_field_joins_number_pairs_in_label_order(spark, how, twice, monkeypatch):
+    from spanweave.operators import joins
+
+    monkeypatch.setattr(joins, "PIECE", 3)
+    l, r, a, b = keyed_sides(spark)
+    if twice:  # pairs of a label that repeats interleave
+        l = l + [(7, 2), (7, None)]
+        a = a.with_(spark.createDataFrame(l, "id long, k long"))
+    pairs = [(x, y) for x, k in l for y, m in r if k == m]
+    pairs += [(x, None) for x, k in l if k not in [m for _, m in r]] if how in ("left", "outer") else []
+    pairs += [(None, y) for y, m in r if m not in [k for _, k in l]] if how in ("right", "outer") else []
+    pairs.sort(key=lambda p: tuple((v is not None, v or 0) if not isinstance(v, str) else (True, v) for v in p))
+    found = sorted(tuple(x) for x in sw.join(a, b, on="k", how=how).df.collect())
+    assert found == [(i, *p) for i, p in enumerate(pairs)]
+
+
+def test_field_joins_sort_no_pairs(spark, monkeypatch):
+    """The pairs of a hot key were sorted and written to be numbered."""
+    from spanweave.operators import joins
+
+    _, _, a, b = keyed_sides(spark)
+    sorted_ = []
+    monkeypatch.setattr(joins, "with_row_id", lambda df, *more: sorted_.append(df))
+    assert sw.join(a, b, on="k").df.count() > 100 and not sorted_
+
+
 def boxes(spark, rows):
     y, x = IndexDimension("y"), IndexDimension("x")
     df = spark.createDataFrame(rows, "id string, image string, box struct<y: struct<start: long, stop: long>, x: struct<start: long, stop: long>>")
