@@ -53,7 +53,7 @@ def keyed_sides(spark):
     return l, r, ds(spark, l, "id long, k long"), ds(spark, r, "id string, k long")
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("how", ["inner", "left", "right"])
 @pytest.mark.parametrize("twice", [False, True])
 def test_field_joins_number_pairs_in_label_order(spark, how, twice, monkeypatch):
     from spanweave.operators import joins
