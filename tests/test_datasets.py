@@ -158,7 +158,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["dimension_join_2d", "dimension_join_unscoped", "labelled_tiles", "dimension_join_scoped", "dimension_join_outer", "dimension_join_left"])
+@pytest.mark.parametrize("name", ["dimension_join_2d", "dimension_join_unscoped", "labelled_tiles", "dimension_join_scoped", "dimension_join_outer", "dimension_join_left", "dimension_join_overlap_pad"])
 def test_range_join_broadcasts_no_side(spark, name):
     """Spark takes a side for as large as its rows before they are dealt to cells, so it broadcast the dealt ones."""
     from spanweave.queries import QUERIES
