@@ -168,6 +168,15 @@ def test_range_join_broadcasts_no_side(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin [_" not in plan
 
 
+def test_unscoped_range_join_keeps_its_tasks(spark):
+    """Spark made the tasks fewer by the sides' bytes, which tell nothing of the pairs."""
+    from spanweave.queries import QUERIES
+
+    with sw.validation(False):
+        plan = plan_of(QUERIES["dimension_join_overlap_pad"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_merge(spark, halves):
     l, r = halves
     out = sw.merge(l, r, sw.join(l, r, how="outer"))
