@@ -168,6 +168,25 @@ def test_range_join_broadcasts_no_side(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin [_" not in plan
 
 
+@pytest.mark.parametrize("how", ["inner", "outer"])
+@pytest.mark.parametrize("piece", [1, 3, 256])
+def test_unscoped_range_join_takes_pairs_from_arrays(spark, monkeypatch, how, piece):
+    """Each candidate pair was a row of the join, so that the whole of the pairs went through it one by one."""
+    import random
+
+    from spanweave.plans import predicates
+
+    monkeypatch.setattr(predicates, "PIECE", piece)
+    r = random.Random(5)
+    make = lambda n, p: [(f"{p}{i}", "a", s := r.choice([0.0, 3.5, r.uniform(-20, 20)]), s + r.choice([0.1, 1, 5, 60])) for i in range(n)]
+    a, b = make(50, "l"), [*make(60, "r"), ("far", "a", 900.0, 901.0)]
+    plan = sw.join(spans(spark, a), spans(spark, b), strategy=DimensionJoin("span", "span", ["t"], how=how), dense=False)
+    assert "posexplode" in plan_of(plan.df)
+    pairs = [(x[0], y[0]) for x in a for y in b if y[2] < x[3] and y[3] > x[2]]
+    lone = [(x[0], None) for x in a if x[0] not in {p for p, _ in pairs}] + [(None, y[0]) for y in b if y[0] not in {q for _, q in pairs}]
+    assert got(plan, "left_index", "right_index") == sorted(pairs + (lone if how == "outer" else []), key=repr)
+
+
 def test_unscoped_range_join_keeps_its_tasks(spark):
     """Spark made the tasks fewer by the sides' bytes, which tell nothing of the pairs."""
     from spanweave.queries import QUERIES
