@@ -196,6 +196,15 @@ def test_unscoped_range_join_keeps_its_tasks(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2
 
 
+def test_explode_broadcasts_no_source(spark):
+    """Spark judged a source by its packed file, and sent millions of its rows through the driver."""
+    from spanweave.queries import QUERIES
+
+    with sw.validation(False):
+        plan = plan_of(QUERIES["labelled_tiles"](spark, "/root/testdata/sf0.001"))
+    assert "_si" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_merge(spark, halves):
     l, r = halves
     out = sw.merge(l, r, sw.join(l, r, how="outer"))
