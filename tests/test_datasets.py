@@ -81,6 +81,17 @@ def test_field_joins_sort_no_pairs(spark, monkeypatch):
     assert sw.join(a, b, on="k").df.count() > 100 and not sorted_
 
 
+@pytest.mark.parametrize("how", ["left"])
+def test_field_joins_take_pairs_from_arrays(spark, how):
+    """Each pair was a row of a join, and one task sent all right rows to their squares."""
+    l, r, a, b = keyed_sides(spark)
+    plan = plan_of(sw.join(a, b, on="k", how=how).df)
+    assert "posexplode" in plan and plan.count("REPARTITION_BY_NUM") == 3
+    none = [x.with_(x.df.where("false")) for x in (a, b)]
+    assert sw.join(*none, on="k", how=how).df.count() == 0
+    assert sw.join(a, none[1], on="k", how=how).df.count() == (0 if how == "right" else len(l))
+
+
 def boxes(spark, rows):
     y, x = IndexDimension("y"), IndexDimension("x")
     df = spark.createDataFrame(rows, "id string, image string, box struct<y: struct<start: long, stop: long>, x: struct<start: long, stop: long>>")
