@@ -81,7 +81,7 @@ def test_field_joins_sort_no_pairs(spark, monkeypatch):
     assert sw.join(a, b, on="k").df.count() > 100 and not sorted_
 
 
-@pytest.mark.parametrize("how", ["left", "outer"])
+@pytest.mark.parametrize("how", ["left", "outer", "right"])
 def test_field_joins_take_pairs_from_arrays(spark, how):
     """Each pair was a row of a join, and one task sent all right rows to their squares."""
     l, r, a, b = keyed_sides(spark)
