@@ -222,19 +222,17 @@ def _dimension_pairs(l: Dataset, r: Dataset, s: DimensionJoin, how: str) -> Data
     condition = fold(Column.__and__, (F.col(f"l_k{i}") == F.col(f"r_k{i}") for i in range(len(on))), condition)
     first = next(iter(dims))
     pairs = range_join(a, b, "l" + first, "r" + first, condition, pads[first], scoped=bool(on)).select(LEFT, RIGHT)
-    if how in ("left", "outer"):
-        pairs = _with_lone(pairs, a, LEFT, RIGHT)
-    if how in ("right", "outer"):
-        pairs = _with_lone(pairs, b, RIGHT, LEFT)
-    return pairs
+    lone = [_lone(pairs, side, label, other) for side, label, other, kinds in ((a, LEFT, RIGHT, ("left", "outer")), (b, RIGHT, LEFT, ("right", "outer"))) if how in kinds]
+    return fold(lambda x, y: x.unionByName(y, allowMissingColumns=True), lone, pairs)
 
 
-def _with_lone(pairs: DataFrame, side: DataFrame, label: str, other: str) -> DataFrame:
-    """pairs and, once each, the labels of a side that have none. The pairs are made once: each label comes with an empty
-    pair, which goes if the label has another. Rows of the other side that stand alone keep to themselves."""
-    every = pairs.unionByName(side.select(label), allowMissingColumns=True)
-    own = Window.partitionBy(label, F.when(F.col(label).isNull(), F.xxhash64(other)))
-    return every.withColumn("_some", F.max(F.col(other).isNotNull()).over(own)).where(F.col(other).isNotNull() | ~F.col("_some")).drop("_some")
+def _lone(pairs: DataFrame, side: DataFrame, label: str, other: str) -> DataFrame:
+    """The labels of a side that have no pair. A task makes its pairs' labels distinct before it sends them, so no more is
+    sent than the side's rows in their cells, however many pairs there are. The pairs are made again, of the cells as they
+    were sent: their count, always there, keeps both labels in the plan, and a null-safe equality adds no filter to a side,
+    either of which would make Spark send the cells anew."""
+    some = pairs.groupBy(F.col(label).alias("_some")).agg(F.count(other).alias("_n")).where("_n >= 0")
+    return side.select(label).join(some.hint("merge"), F.col(label).eqNullSafe(F.col("_some")), "left_anti")
 
 
 def _operand(ds: Dataset, on: str | tuple[str, str], dimension: str | None) -> Column:

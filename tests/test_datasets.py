@@ -207,6 +207,19 @@ def test_unscoped_range_join_keeps_its_tasks(spark):
     assert plan.count("REPARTITION_BY_NUM") == 2
 
 
+@pytest.mark.parametrize("name", ["dimension_join_outer"])
+def test_lone_rows_of_range_joins_shuffle_no_pairs(spark, name):
+    """All pairs were shuffled and sorted by each label whose lone rows were wanted."""
+    from spanweave.queries import QUERIES
+
+    with sw.validation(False):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        plan = plan_of(df)
+        df.collect()
+    assert "Window" not in plan and "LeftAnti" in plan and "partial_count" in plan
+    assert df._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 4  # the sides in their cells
+
+
 def test_explode_broadcasts_no_source(spark):
     """Spark judged a source by its packed file, and sent millions of its rows through the driver."""
     from spanweave.queries import QUERIES
