@@ -198,6 +198,37 @@ def test_unscoped_range_join_takes_pairs_from_arrays(spark, monkeypatch, how, pi
     assert got(plan, "left_index", "right_index") == sorted(pairs + (lone if how == "outer" else []), key=repr)
 
 
+@pytest.mark.parametrize("pad", [0, 0.5])
+def test_unscoped_range_join_compares_only_in_arrays_met_in_part(spark, monkeypatch, pad):
+    """Each element of an array was compared, also where the array's ends tell that a left row overlaps all of it."""
+    from spanweave.plans import predicates
+
+    monkeypatch.setattr(predicates, "PIECE", 3)
+    a = [(f"l{i}", "a", float(i), i + n) for i in range(12) for n in (1.0, 40.0)][::-1]
+    b = [(f"r{i}", "a", i / 2, i / 2 + 0.5) for i in range(40)] + [("r_long", "a", -30.0, 30.0)]
+    a = [(f"{x[0]}_{i}", *x[1:]) for i, x in enumerate(a)]
+    plan = sw.match(spans(spark, a), spans(spark, b), predicates={"t": sw.overlap(pad)}, dense=False)
+    assert "_sure" in plan_of(plan.df)
+    assert got(plan, "left_index", "right_index") == sorted((x[0], y[0]) for x in a for y in b if y[2] < x[3] + pad and y[3] > x[2] - pad)
+
+
+@pytest.mark.parametrize("name", ["dimension_join_unscoped", "dimension_join_left"])
+def test_range_join_filters_on_no_level(spark, name):
+    """A filter on the level, which is never null, had Spark compute the interval some thirty times a row."""
+    from spanweave.queries import QUERIES
+
+    with sw.validation(False):
+        plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "LOG(" in plan and not [line for line in plan.splitlines() if "Filter" in line and "LOG(" in line]
+
+
+def test_rows_without_an_interval_meet_nothing(spark):
+    gone = spans(spark, W[:2] + [("w9", "a", None, None)])
+    with sw.validation(False):
+        plan = sw.join(gone, spans(spark, SEG), strategy=DimensionJoin("span", "span", ["t"], how="left"), dense=False)
+        assert [x for x in got(plan, "left_index", "right_index") if x[0] == "w9"] == [("w9", None)]
+
+
 def test_unscoped_range_join_keeps_its_tasks(spark):
     """Spark made the tasks fewer by the sides' bytes, which tell nothing of the pairs."""
     from spanweave.queries import QUERIES
