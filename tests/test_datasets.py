@@ -92,6 +92,19 @@ def test_field_joins_take_pairs_from_arrays(spark, how):
     assert sw.join(a, none[1], on="k", how=how).df.count() == (0 if how == "right" else len(l))
 
 
+@pytest.mark.parametrize("how", ["outer", "right"])
+def test_field_joins_number_no_lone_rows_where_there_are_none(spark, monkeypatch, how):
+    """Lone right rows were sorted, counted and numbered, in jobs of their own, where each key is on both sides."""
+    from spanweave.operators import joins
+
+    numbered = []
+    monkeypatch.setattr(joins, "with_row_id", lambda df, *more: numbered.append(df))
+    a, b = ds(spark, [(1, "x"), (2, "y"), (3, None)], "id long, k string"), ds(spark, [(7, "y"), (8, None), (9, "x"), (10, "x")], "id long, k string")
+    plan = sw.join(a, b, on="k", how=how)
+    assert got(plan, "join_id", "left_index", "right_index") == [(0, 1, 9), (1, 1, 10), (2, 2, 7), (3, 3, 8)]
+    assert not numbered and "Union" not in plan_of(plan.df)
+
+
 def boxes(spark, rows):
     y, x = IndexDimension("y"), IndexDimension("x")
     df = spark.createDataFrame(rows, "id string, image string, box struct<y: struct<start: long, stop: long>, x: struct<start: long, stop: long>>")
